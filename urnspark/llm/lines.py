@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urnspark.llm.shared import read, stage, words_of
+from urnspark.llm.shared import drop, read, stage, words_of
 
 
 @dataclass(frozen=True)
@@ -41,17 +41,22 @@ def unique_lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def _keys(lines: DataFrame, p: LineJoin) -> DataFrame:
-    """lid and keys: the line's distinct words as longs, rarest first. Equal words have equal keys in all lines."""
-    bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(p.buckets))
-    seen = lines.select(F.explode(F.array_distinct(words_of(F.col("line")))).alias("w")).select(bucket("w").cast("int").alias("b"), F.lit(1).alias("n"))
+    """lid, keys (the line's distinct words as longs, rarest first) and bits (the parity of the words' hashes by their last 6 bits).
+
+    Equal words have equal keys in all lines.
+    """
+    hashes = F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)))
+    bucket = lambda h: F.pmod(h, F.lit(p.buckets)).cast("int")
+    seen = lines.select(F.explode(F.transform(hashes, bucket)).alias("b")).select("b", F.lit(1).alias("n"))
     every = lines.sparkSession.range(p.buckets).select(F.col("id").cast("int").alias("b"), F.lit(0).alias("n"))
     counts = seen.unionAll(every).groupBy("b").agg(F.sum("n").alias("n"))
     # One byte for each bucket, 1 to 127: half octaves of the count.
     rank = F.char(F.least(F.lit(127), 1 + (F.log2(F.col("n") + 1) * 2).cast("int")))
     table = counts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", rank.alias("r")))), lambda x: x["r"]), "").alias("r")).first()["r"].encode()
-    rarity = lambda w: F.ascii(F.substring(F.lit(table), (bucket(w) + 1).cast("int"), F.lit(1)).cast("string")).cast("bigint")
-    key = lambda w: F.shiftleft(rarity(w), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
-    return lines.select("lid", F.sort_array(F.transform(F.array_distinct(words_of(F.col("line"))), key)).alias("keys"))
+    rarity = lambda h: F.ascii(F.substring(F.lit(table), bucket(h) + 1, F.lit(1)).cast("string")).cast("bigint")
+    key = lambda h: F.shiftleft(rarity(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    parity = F.aggregate("h", F.lit(0).cast("bigint"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))))
+    return lines.select("lid", hashes.alias("h")).select("lid", F.sort_array(F.transform("h", key)).alias("keys"), parity.alias("bits"))
 
 
 def similar_lines(lines: DataFrame, p: LineJoin = LineJoin()) -> DataFrame:
@@ -59,22 +64,27 @@ def similar_lines(lines: DataFrame, p: LineJoin = LineJoin()) -> DataFrame:
 
     lines: lid (unique), line (distinct, with a word). Two such lines share a word among the first
     n - ceil(t*n) + 1 of each, in any common order of words: the prefix filter. What a shared word at its places
-    leaves for the rest bounds the overlap: the positional filter. Pairs that pass are verified on the words.
+    leaves for the rest bounds the overlap: the positional filter. Bits that differ in parity bound it too, since each
+    stands for a word that only one line has. Pairs that pass are verified on the words.
     """
     post = _keys(lines, p).withColumn("n", F.size("keys"))
-    post = post.select("lid", "n", F.posexplode(F.slice("keys", F.lit(1), F.col("n") - _ceil(F.col("n") * p.num, p.den) + 1)).alias("i", "key"))
-    post = post.select("key", "lid", (F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("i")).alias("at"))
-    x, y = (post.select("key", F.col("lid").alias(s), F.shiftright("at", 32).cast("int").alias(f"n{s}"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias(f"i{s}")) for s in "xy")
+    post = post.select("lid", "n", "bits", F.posexplode(F.slice("keys", F.lit(1), F.col("n") - _ceil(F.col("n") * p.num, p.den) + 1)).alias("i", "key"))
+    post = post.select("key", "lid", (F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("i")).alias("at"), "bits")
+    x, y = (post.select("key", F.col("lid").alias(s), F.shiftright("at", 32).cast("int").alias(f"n{s}"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias(f"i{s}"), F.col("bits").alias(f"b{s}")) for s in "xy")
     longer = (F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y")))
     length = F.col("ny") * p.den >= F.col("nx") * p.num
-    need = _ceil((F.col("nx") + F.col("ny")) * p.num, p.num + p.den)
-    place = 1 + F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) - 1 >= need
-    pairs = stage(x.join(y, "key").where(longer & length & place).select("x", "y").distinct(), "line-pairs")
-    # Only lines in a pair travel on.
-    some = stage(lines.join(pairs.select(F.explode(F.array("x", "y")).alias("lid")).distinct(), "lid", "left_semi").select("lid", F.array_distinct(words_of(F.col("line"))).alias("w")), "pair-lines")
-    both = pairs.join(some.select(F.col("lid").alias("x"), F.col("w").alias("wx")), "x").join(some.select(F.col("lid").alias("y"), F.col("w").alias("wy")), "y")
-    shared = F.size(F.array_intersect("wx", "wy"))
-    return both.where(shared * p.den >= (F.size("wx") + F.size("wy") - shared) * p.num).select("x", "y")
+    both = F.col("nx") + F.col("ny")
+    need = _ceil(both * p.num, p.num + p.den)
+    place = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= need
+    parity = both - F.bit_count(F.col("bx").bitwiseXOR(F.col("by"))) >= 2 * need
+    pairs = stage(x.join(y, "key").where(longer & length & place & parity).select("x", "y", both.alias("n")).distinct(), "line-pairs")
+    text = lines.select("lid", "line")
+    met = pairs.join(text.select(F.col("lid").alias("x"), F.col("line").alias("lx")), "x").join(text.select(F.col("lid").alias("y"), F.col("line").alias("ly")), "y")
+    # Sizes come with the pairs, so that each line is split once.
+    shared = F.size(F.array_intersect(words_of(F.col("lx")), words_of(F.col("ly"))))
+    out = stage(met.where(shared * (p.num + p.den) >= F.col("n") * p.num).select("x", "y"), "line-links")
+    drop(pairs)
+    return out
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", p: LineJoin = LineJoin()) -> DataFrame:
@@ -86,10 +96,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     document's first occurrences. Null and empty texts stay as they are. Rows that repeat an id are read as one document
     in order of their lines; each such row keeps the lines that are first.
     """
-    spark = docs.sparkSession
     lines = stage(unique_lines(docs, id_col, text).withColumn("lid", F.monotonically_increasing_id()), "lines")
-    pairs = stage(similar_lines(lines, p), "line-links")
-    at = lines.select("lid", "id", "no", _place(F.col("no"), F.col("line")).alias("at"))
+    pairs = similar_lines(lines, p)
+    at = stage(lines.select("lid", "id", "no", _place(F.col("no"), F.col("line")).alias("at")), "line-places")
+    drop(lines)
     ends = at.join(pairs.select(F.explode(F.array("x", "y")).alias("lid")).distinct(), "lid", "left_semi")
     ends = stage(ends, "line-ends", free=False)
     px, py = (ends.select(F.col("lid").alias(s), F.struct("id", "no").alias(f"p{s}")) for s in "xy")

@@ -7,6 +7,7 @@ import os
 import shutil
 import sys
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -42,12 +43,19 @@ def stage(df: DataFrame, name: str, *, codec: str = "zstd", free: bool = True) -
     df.write.option("compression", codec).parquet(path)
     del df
     if free:
-        spark.sparkContext._jvm.System.gc()
+        release(spark)
     out = spark.read.schema(schema).parquet(path)
     out._staged = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of plans that its driver has collected; it takes a second pass to find all."""
+    for pause in (0.3, 0.0):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes staged tables that no later plan reads."""
     for df in tables:
