@@ -2,5 +2,32 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import re
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from urnspark.operators.dialect import CHECK, SPARK, Dialect
+from urnspark.operators.draws import SQL
+from urnspark.plans import lift
+
+_DATES = ("draw_date", "first_date", "last_date", "closed_on")
+
+
+def text(name: str, d: Dialect) -> str:
+    ctes, body = SQL[name](d)
+    if not d.spark:
+        shown = body[: body.index(" FROM ")]
+        if dates := [c for c in _DATES if re.search(rf"\b{c}\b", shown)]:
+            body = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in dates)}) FROM ({body}) dated"
+    return "WITH " + ",\n".join(x for x in (lift.LIFT, lift.PRIZES, ctes) if x) + "\n" + body
+
+
+def _run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = lift.run(spark, sf_dir, text(name, SPARK))
+    return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
+
+
+QUERIES = {name: partial(_run, name) for name in SQL}
+ORACLE_SQL = {name: text(name, CHECK) for name in SQL}
