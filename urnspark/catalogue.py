@@ -18,8 +18,9 @@ _DATES = ("draw_date", "first_date", "last_date", "closed_on")
 def text(name: str, d: Dialect) -> str:
     ctes, body = SQL[name](d)
     if not d.spark:
-        shown = body[: body.index(" FROM ")]
-        if dates := [c for c in _DATES if re.search(rf"\b{c}\b", shown)]:
+        shown = re.sub(r"\([^()]*\)", "", body[len("SELECT ") : body.index(" FROM ")])
+        named = {item.split()[-1].rpartition(".")[2] for item in shown.split(",") if item.split()}
+        if dates := [c for c in _DATES if c in named]:
             body = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in dates)}) FROM ({body}) dated"
     return "WITH " + ",\n".join(x for x in (lift.LIFT, lift.PRIZES, ctes) if x) + "\n" + body
 
