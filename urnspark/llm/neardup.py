@@ -79,6 +79,12 @@ def sketch(h: np.ndarray, p: OrderMinHash) -> np.ndarray:
     return out.view(np.int64)
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """256 bits in four integers: for each value of the hash's last byte, whether an odd number of k-mers has it."""
+    odd = (np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+    return np.packbits(odd).view("<i8")
+
+
 def aligned(a: np.ndarray, b: np.ndarray, p: OrderMinHash) -> bool:
     """Whether k-mers matched in order, over all k-mers of both, reach the similarity.
 
@@ -110,7 +116,8 @@ def aligned(a: np.ndarray, b: np.ndarray, p: OrderMinHash) -> bool:
 def _sketches(p: OrderMinHash):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield pd.DataFrame({"id": x["id"], "ck": x["ck"], "keys": [sketch(kmers(t, p.k), p) for t in x["text"]]})
+            h = [kmers(t, p.k) for t in x["text"]]
+            yield pd.DataFrame({"id": x["id"], "ck": x["ck"], "keys": [sketch(y, p) for y in h], "size": [len(y) for y in h], "bits": [parities(y) for y in h]})
 
     return run
 
@@ -134,7 +141,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     """id, ck, class_id, n_texts for each distinct (id, text): the class is the least id that the text is linked to, over any chain.
 
     Equal texts are one node (null is the empty text). Texts that share a sketch are candidates, linked if their
-    alignment reaches the similarity. Within a bucket, stars come first: each text meets one chosen text, another in
+    alignment reaches the similarity; pairs whose sizes or k-mer parities rule that out aren't aligned. Within a bucket, stars come first: each text meets one chosen text, another in
     each round. Then all pairs of a bucket that are still in different classes meet. Pairs within a class are not tried, as they
     can't change it. So a bucket of a hundred thousand near copies costs a few rounds of its size, and no link between
     classes is lost. Texts without a word match only equal ones. ck: a hash of the text.
@@ -144,8 +151,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("id", F.md5(F.col("text").cast("binary")).alias("ck"), "text")
     id_type = rows.schema["id"].dataType.simpleString()
-    made = stage(rows.mapInPandas(_sketches(p), f"id {id_type}, ck string, keys array<bigint>"), "sketches")
-    node = made.groupBy("ck").agg(F.min("id").alias("first"), F.first("keys").alias("keys"))
+    made = stage(rows.mapInPandas(_sketches(p), f"id {id_type}, ck string, keys array<bigint>, size bigint, bits array<bigint>"), "sketches")
+    node = made.groupBy("ck").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.first(F.struct("size", *(F.col("bits")[i].alias(f"b{i}") for i in range(4)))).alias("own"))
     node = stage(node, "texts")
     flat = node.select("ck", F.explode("keys").alias("key"))
     shared = flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
@@ -153,22 +160,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     inside = stage(buckets.select("ck").distinct(), "bucket-texts", free=False)
     words = rows.join(inside, "ck", "left_semi").dropDuplicates(["ck"]).select("ck", "text")
     words = stage(words, "candidate-texts")
+    own = stage(node.join(inside, "ck", "left_semi").select("ck", "own"), "bucket-sizes", free=False)
     labels = inside.select(F.col("ck").alias("node"), F.col("ck").alias("label"))
 
+    def may(u: str, v: str):
+        """Whether sizes and parities leave room for the similarity: a bit that differs is a k-mer that one text lacks."""
+        both = F.col(f"{u}.size") + F.col(f"{v}.size")
+        need = F.ceil(both * p.num / F.lit(float(p.num + p.den)) - 1e-9)
+        differ = sum((F.bit_count(F.col(f"{u}.b{i}").bitwiseXOR(F.col(f"{v}.b{i}"))) for i in range(1, 4)), F.bit_count(F.col(f"{u}.b0").bitwiseXOR(F.col(f"{v}.b0"))))
+        return (F.least(F.col(f"{u}.size"), F.col(f"{v}.size")) >= need) & (both - differ >= 2 * need)
+
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(words.select(F.col("ck").alias("u"), F.col("text").alias("tu")), "u").join(words.select(F.col("ck").alias("v"), F.col("text").alias("tv")), "v")
         return stage(pairs.mapInPandas(_verify(p), "u string, v string"), "near-links")
 
     for k in range(p.stars + 1):
-        at = buckets.join(labels.select(F.col("node").alias("ck"), "label"), "ck")
+        at = buckets.join(labels.select(F.col("node").alias("ck"), "label").join(own, "ck"), "ck")
         if k < p.stars:
             # One text of each bucket whose texts have different labels.
-            one = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("ck", F.lit(k)).alias("h"), "ck", "label")).alias("m"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
-            pairs = at.join(one.select("key", F.col("m.ck").alias("_c"), F.col("m.label").alias("_l")), "key").where("label <> _l").select(F.col("ck").alias("u"), F.col("_c").alias("v"))
+            one = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("ck", F.lit(k)).alias("h"), "ck", "label", "own")).alias("m"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+            pairs = at.join(one.select("key", F.col("m.ck").alias("_c"), F.col("m.label").alias("_l"), F.col("m.own").alias("_own")), "key").where((F.col("label") != F.col("_l")) & may("own", "_own")).select(F.col("ck").alias("u"), F.col("_c").alias("v"))
         else:
             open_ = at.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
             at = stage(at.join(open_, "key", "left_semi"), "open-buckets", free=False)
-            pairs = at.select("key", F.col("ck").alias("u"), F.col("label").alias("lu")).join(at.select("key", F.col("ck").alias("v"), F.col("label").alias("lv")), "key").where("lu < lv").select("u", "v")
+            pairs = at.select("key", F.col("ck").alias("u"), F.col("label").alias("lu"), F.col("own").alias("ou")).join(at.select("key", F.col("ck").alias("v"), F.col("label").alias("lv"), F.col("own").alias("ov")), "key").where((F.col("lu") < F.col("lv")) & may("ou", "ov")).select("u", "v")
         pairs = stage(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
         if k:
             pairs_new = pairs.join(tried, ["u", "v"], "left_anti")
