@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urnspark.operators.dialect import CHECK, SPARK, Dialect
-from urnspark.operators.draws import SQL
+from urnspark.operators.draws import SQL as DRAWS
+from urnspark.operators.inference import SQL as INFERENCE
 from urnspark.plans import lift
 
+SQL = DRAWS | INFERENCE
 _DATES = ("draw_date", "first_date", "last_date", "closed_on")
 
 

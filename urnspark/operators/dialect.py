@@ -30,6 +30,18 @@ class Dialect:
         """The i-th of an array, from 1."""
         return f"element_at({a}, {i})" if self.spark else f"{a}[{i}]"
 
+    def quantile(self, x: str, q: float) -> str:
+        return f"percentile({x}, {q}e0)" if self.spark else f"quantile_cont({x}, {q})"
+
+    def series(self, n: int) -> str:
+        """A query of x, 0 to n - 1."""
+        return f"SELECT CAST(id AS BIGINT) AS x FROM range({n})" if self.spark else f"SELECT unnest(range(0, {n})) AS x"
+
+    def random(self, x: str) -> str:
+        """32 bits from the hash of a text."""
+        h = f"substring(md5({x}), 1, 8)"
+        return f"CAST(conv({h}, 16, 10) AS BIGINT)" if self.spark else f"CAST('0x' || {h} AS BIGINT)"
+
     def big(self, x: str) -> str:
         return f"CAST({x} AS BIGINT)"
 

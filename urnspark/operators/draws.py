@@ -144,8 +144,4 @@ o AS (SELECT l.draw_id, count(b.number) AS overlap FROM linked l JOIN draw_numbe
     "pending_forecasts": _q("forecasts AS (SELECT draw_id, game, draw_date FROM draws WHERE draw_id % 2 = 0), scores AS (SELECT draw_id FROM draws WHERE draw_id % 4 = 0)", "SELECT f.draw_id, game, draw_date FROM forecasts f LEFT JOIN scores s ON f.draw_id = s.draw_id WHERE s.draw_id IS NULL"),
     "cohort_first_100": _q("s AS (SELECT game, draw_date, draw_id, row_number() OVER (PARTITION BY game ORDER BY draw_date, draw_id) AS r FROM draws WHERE draw_id % 4 = 0)", "SELECT game, count(*) AS n, max(draw_date) AS closed_on, max(draw_id) AS last_id FROM s WHERE r <= 100 GROUP BY game"),
     "cohort_alpha": _q("c AS (SELECT game, year(draw_date) AS y, count(*) AS n FROM draws GROUP BY game, year(draw_date)), i AS (SELECT game, y, n, row_number() OVER (PARTITION BY game ORDER BY y) AS i FROM c)", "SELECT game, CAST(y AS INT) AS cohort, n, round(0.05e0 / (i * (i + 1)), 12) AS alpha FROM i"),
-    "anti_crowd_scores": _q(
-        "g AS (SELECT draw_id, number, number - lag(number) OVER (PARTITION BY draw_id ORDER BY number) AS gap FROM draw_numbers)",
-        lambda d: f"SELECT draw_id, round({d.count_if('number > 31')} / 5e0 + count(DISTINCT number % 10) / 5e0 + (max(number) - min(number)) / 48e0 - {d.count_if('gap = 1')} / 4e0 - {d.count_if('number IN (7, 13)')} / 2e0, 9) AS score FROM g GROUP BY draw_id",
-    ),
 }
