@@ -81,12 +81,12 @@ o AS (SELECT l.draw_id, count(b.number) AS overlap FROM linked l JOIN draw_numbe
     "participation_observations": _q(f"{WIDE}, {OBS}", "SELECT draw_id, draw_date, game, jackpot, w9 AS rank_9_winners, round(tickets, 6) AS tickets FROM obs"),
     "participation_features": _q(
         f"{WIDE}, {OBS}",
-        lambda d: f"SELECT draw_id, round(ln(jackpot) / 20e0, 9) AS log_jackpot, round(pow(ln(jackpot) / 20e0, 2), 9) AS log_jackpot_sq, round({d.days('draw_date')} / 3652e0, 9) AS trend, round(sin(2e0 * pi() * month(draw_date) / 12e0), 9) + 0e0 AS month_sin, round(cos(2e0 * pi() * month(draw_date) / 12e0), 9) + 0e0 AS month_cos, {d.big(d.weekday('draw_date'))} AS weekday, CASE WHEN game = 'loto' THEN 1 ELSE 0 END AS is_loto FROM obs",
+        lambda d: f"SELECT draw_id, round(ln(1e0 + jackpot) / 20e0, 9) AS log_jackpot, round(pow(ln(1e0 + jackpot) / 20e0, 2), 9) AS log_jackpot_sq, round({d.days('draw_date')} / 3652e0, 9) AS trend, round(sin(2e0 * pi() * month(draw_date) / 12e0), 9) + 0e0 AS month_sin, round(cos(2e0 * pi() * month(draw_date) / 12e0), 9) + 0e0 AS month_cos, {d.big(d.weekday('draw_date'))} AS weekday, CASE WHEN game = 'loto' THEN 1 ELSE 0 END AS is_loto FROM obs",
     ),
-    # Medians at three levels, of which the first with ten observations counts.
+    # Medians at three levels: game and weekday with ten observations, else game with any, else all.
     "segmented_median_baseline": _q(
         lambda d: f"{WIDE}, {OBS}, l AS (SELECT draw_id, game, {d.weekday('draw_date')} AS wd, ln(tickets) AS lt FROM obs), a AS (SELECT game, wd, {d.median('lt')} AS m, count(*) AS n FROM l GROUP BY game, wd), b AS (SELECT game, {d.median('lt')} AS m, count(*) AS n FROM l GROUP BY game), c AS (SELECT {d.median('lt')} AS m FROM l)",
-        lambda d: f"SELECT a.game, {d.big('a.wd')} AS weekday, round(CASE WHEN a.n >= 10 THEN a.m WHEN b.n >= 10 THEN b.m ELSE c.m END, 9) AS baseline FROM a JOIN b ON a.game = b.game CROSS JOIN c",
+        lambda d: f"SELECT a.game, {d.big('a.wd')} AS weekday, round(CASE WHEN a.n >= 10 THEN a.m WHEN b.n >= 1 THEN b.m ELSE c.m END, 9) AS baseline FROM a JOIN b ON a.game = b.game CROSS JOIN c",
     ),
     "popularity_observations": _q(f"{WIDE}, {OBS}", f"SELECT draw_id, w1 AS jackpot_winners, w1 + w2 AS main_winners, round(tickets / {comb(49, 5)}e0, 9) AS main_exposure, round(tickets / {comb(49, 5) * 10}e0, 9) AS jackpot_exposure FROM obs WHERE w2 IS NOT NULL"),
     "popularity_features": _q(
