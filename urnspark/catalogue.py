@@ -13,6 +13,7 @@ from urnspark.operators.draws import SQL as DRAWS
 from urnspark.operators.inference import SQL as INFERENCE
 from urnspark.operators.models import QUERIES as MODELS
 from urnspark.plans import lift
+from urnspark.streaming import scorer
 
 SQL = DRAWS | INFERENCE
 _DATES = ("draw_date", "first_date", "last_date", "closed_on")
@@ -33,5 +34,5 @@ def _run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
 
 
-QUERIES = {name: partial(_run, name) for name in SQL} | MODELS
-ORACLE_SQL = {name: text(name, CHECK) for name in SQL}
+QUERIES = {name: partial(_run, name) for name in SQL} | MODELS | scorer.QUERIES
+ORACLE_SQL = {name: text(name, CHECK) for name in SQL} | scorer.ORACLE_SQL
