@@ -273,3 +273,40 @@ def test_chroma(spark):
     assert (0, 3) not in got and (0, 4) not in got
     v = spark.createDataFrame([(0, None), (50, [0.1] * 64), (3, [0.1] * 64)], "vec_id bigint, embedding array<float>")
     assert audio.search(v, "id % 50 = 0", id_col="vec_id", media_col="embedding").count() >= 2
+
+
+def test_chroma_finds_all_alignments(spark):
+    """op10 on whole embeddings against all offsets of all pairs."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pydict()
+    code = {i: audio.fingerprint(audio.chroma_of_vector(v)).astype("<u4") for i, v in zip(table["vec_id"], table["embedding"], strict=True)}
+    name = {}
+    for i in sorted(code):
+        name.setdefault(code[i].tobytes(), i)
+    classes = {i: code[i] for i in name.values()}
+    ids = np.array(list(classes))
+    bits = np.unpackbits(np.stack(list(classes.values())).view(np.uint8), axis=1).reshape(len(ids), -1, 32)
+    want, n = set(), bits.shape[1]
+    for q in (i for i in code if i % 50 == 0):
+        mine = np.unpackbits(code[q].view(np.uint8)).reshape(n, 32)
+        for d in range(16 - n, n - 15):
+            m = n - abs(d)
+            s, t = max(0, -d), max(0, d)
+            error = (mine[s : s + m] != bits[:, t : t + m]).mean(axis=(1, 2))
+            want |= {(q, int(r)) for r in ids[error <= 0.15] if r != name[code[q].tobytes()]}
+    got = {(r["query_id"], r["class_id"]) for r in audio.op10_chroma_search(spark, "/root/testdata/sf0.1").collect()}
+    own = {(i, name[code[i].tobytes()]) for i in code if i % 50 == 0}
+    assert len(want) > 20 and got == want | own
+
+
+def test_chroma_alignment_without_a_shared_code(spark):
+    """Four errors in every code, one in each byte: no three bytes agree anywhere."""
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 1 << 32, 40, dtype=np.int64)
+    b = [int(x) ^ sum(1 << int(8 * k + rng.integers(8)) for k in range(4)) for x in a[10:]]
+    rows = [("a", a.tolist()), ("b", b), ("c", rng.integers(0, 1 << 32, 40, dtype=np.int64).tolist())]
+    t = spark.createDataFrame(rows, "fp string, codes array<bigint>")
+    assert [(r["fp"], r["other"], r["offset"], r["votes"], r["bit_error"]) for r in audio.matches(t.where("fp = 'a'"), t).collect()] == [("a", "b", -10, 0, 0.125)]
+    many = spark.createDataFrame([*rows, *((f"r{i}", rng.integers(0, 1 << 32, 40, dtype=np.int64).tolist()) for i in range(5000))], "fp string, codes array<bigint>")
+    assert [(r["fp"], r["other"], r["offset"]) for r in audio.matches(many.where("fp = 'b'"), many).collect()] == [("b", "a", 10)]

@@ -29,6 +29,8 @@ PITCHES = 12
 #: (shape, first pitch class, pitch classes, frames) of the filters; each gives two bits of a code.
 FILTERS = tuple((i % 4, (5 * i) % 9, 4, 4 * (1 + i % 4)) for i in range(16))
 WIDTH = max(f[3] for f in FILTERS)
+#: Codes of a block of recordings that are compared at once.
+CODES = 1 << 14
 
 
 def chroma_of_pcm(samples: np.ndarray, c: Chroma) -> np.ndarray:
@@ -114,26 +116,94 @@ def fingerprints(media: DataFrame, *, id_col: str, media_col: str, c: Chroma = C
     return stage(rows.mapInPandas(_codes(kind, c), f"id {t}, fp string, codes array<bigint>"), "fingerprints")
 
 
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Recordings packed into rows of at most CODES codes, or of one recording: fps, sizes, codes (32 bits, little-endian)."""
+    for x in batches:
+        out, fps, own = [], [], []
+        for fp, codes in zip(x["fp"], x["codes"], strict=True):
+            if fps and sum(map(len, own)) + len(codes) > CODES:
+                out.append((fps, [len(y) for y in own], np.concatenate(own).astype("<u4").tobytes()))
+                fps, own = [], []
+            fps.append(fp)
+            own.append(np.asarray(codes, dtype=np.int64))
+        if fps:
+            out.append((fps, [len(y) for y in own], np.concatenate(own).astype("<u4").tobytes()))
+        yield pd.DataFrame(out, columns=["fps", "sizes", "codes"])
+
+
+def _by_size(fps, sizes, codes: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each number of codes, the fingerprints of a block and a matrix of their codes."""
+    sizes, flat = np.asarray(sizes), np.frombuffer(codes, dtype="<u4")
+    start, fps = np.r_[0, sizes.cumsum()[:-1]], np.asarray(fps, dtype=object)
+    return [(fps[at], flat[start[at][:, None] + np.arange(n)]) for n in np.unique(sizes) for at in [np.flatnonzero(sizes == n)]]
+
+
+def aligned(a: np.ndarray, b: np.ndarray, c: Chroma) -> tuple[np.ndarray, ...]:
+    """row of a, row of b, offset, votes, bits, codes: every alignment of rows within c.error, at every offset that overlaps enough.
+
+    Bits are summed over a third of the overlap; only pairs that are already beyond c.error of all its bits are left out.
+    """
+    out = []
+    la, lb = a.shape[1], b.shape[1]
+    least = max(1, min(c.overlap, la, lb))
+    two = lambda m: m[:, :-1].astype(np.uint64) | (m[:, 1:].astype(np.uint64) << np.uint64(32))
+    wide = len(a) * len(b) >= 4096
+    a2, b2 = (np.ascontiguousarray(two(a).T), np.ascontiguousarray(two(b).T)) if wide else (None, None)
+    for d in range(least - la, lb - least + 1):
+        s, t = max(0, -d), max(0, d)
+        n = min(la - s, lb - t)
+        limit = int(c.error * 32 * n + 1e-6)
+        if wide:
+            bits = np.zeros((len(a), len(b)), dtype=np.uint16 if n < 2000 else np.uint32)
+            for k in range(0, n - 1 if n < 6 else -(-n // 3), 2):
+                bits += np.bitwise_count(a2[s + k][:, None] ^ b2[t + k][None, :])
+            i, j = np.nonzero(bits <= limit)
+        else:
+            i, j = (x.ravel() for x in np.indices((len(a), len(b))))
+        step = max(1, (1 << 22) // n)
+        for k in range(0, len(i), step):
+            x, y = i[k : k + step], j[k : k + step]
+            differ = a[x, s : s + n] ^ b[y, t : t + n]
+            bits_xy = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+            ok = bits_xy / (32.0 * n) <= c.error
+            if ok.any():
+                differ = differ[ok]
+                votes = sum(((differ & np.uint32(m)) == 0).sum(axis=1) for m in (0x00FFFFFF, 0xFF00FFFF, 0xFFFF00FF, 0xFFFFFF00))
+                out.append((x[ok], y[ok], np.full(len(differ), d), votes, bits_xy[ok], np.full(len(differ), n)))
+    return tuple(np.concatenate(z) for z in zip(*out)) if out else tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
+
+
+def _compare(c: Chroma):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for r in x.itertuples(index=False):
+                for qs, a in _by_size(r.fps, r.sizes, r.codes):
+                    for rs, b in _by_size(r.fps_r, r.sizes_r, r.codes_r):
+                        i, j, d, votes, bits, n = aligned(a, b, c)
+                        found = pd.DataFrame({"fp": qs[i], "other": rs[j], "offset": d, "votes": votes, "bit_error": bits / (32.0 * n)})
+                        found = found[found["fp"] != found["other"]].sort_values(["votes", "offset"], ascending=[False, True])
+                        yield found.drop_duplicates(["fp", "other"]).astype({"offset": "int32", "votes": "int64"})
+
+    return run
+
+
 def matches(asked: DataFrame, known: DataFrame, c: Chroma = Chroma()) -> DataFrame:
-    """fp, other, offset, votes, bit_error: pairs of different fingerprints that align within c.error.
+    """fp, other, offset, votes, bit_error: pairs of different fingerprints that align within c.error; all of them.
 
-    asked, known: fp (distinct), codes. Codes that agree in any three of their four bytes vote for the offset between
-    their places; the offset with most votes (ties: the least) is verified by the share of differing bits over the
-    overlap. Two codes with an error of c.error agree in three bytes often enough that a match of c.overlap codes is
-    found with 0.9 or more; the tests measure it.
+    asked, known: fp (distinct), codes. Every offset of every pair with an overlap of c.overlap codes (or of all codes of
+    the shorter) is compared, by the share of differing bits over the overlap, so recall is 1: at 0.15 of 32 bits, keys
+    that lose no match select too little to be worth a join. Codes that agree in any three of their four bytes vote; of
+    a pair's alignments within c.error, the one with most votes (ties: the least offset) is told. Blocks of both tables
+    meet in tasks of their own, so the work is the product of the tables and any number of machines shares it.
     """
-    parts = [0x00FFFFFF, 0xFF00FFFF, 0xFFFF00FF, 0xFFFFFF00]
-    keys = lambda df, n: df.select(F.col("fp").alias(n), F.posexplode("codes").alias(f"t{n}", "code")).select(n, f"t{n}", F.explode(F.array(*(F.col("code").bitwiseAND(F.lit(m)) + F.lit(i << 33) for i, m in enumerate(parts)))).alias("key"))
-    votes = keys(asked, "q").join(keys(known, "r"), "key").where("q <> r").groupBy("q", "r", (F.col("tr") - F.col("tq")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("q", "r").agg(F.max(F.struct("votes", (-F.col("offset")).alias("o"))).alias("m")).select("q", "r", F.col("m.votes").alias("votes"), (-F.col("m.o")).alias("offset"))
-    best = stage(best, "offsets")
-    both = best.join(asked.select(F.col("fp").alias("q"), F.col("codes").alias("a")), "q").join(known.select(F.col("fp").alias("r"), F.col("codes").alias("b")), "r")
-    first = F.greatest(F.lit(0), -F.col("offset"))
-    n = F.least(F.size("a") - first, F.size("b") - F.greatest(F.lit(0), F.col("offset")))
-    cut = F.slice("a", first + 1, F.greatest(n, F.lit(0))), F.slice("b", F.greatest(F.lit(0), F.col("offset")) + 1, F.greatest(n, F.lit(0)))
-    bits = F.aggregate(F.zip_with(*cut, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    both = both.withColumn("n", n).withColumn("bit_error", bits / (32.0 * F.greatest(n, F.lit(1))))
-    return both.where((F.col("n") >= F.least(F.lit(c.overlap), F.size("a"), F.size("b"))) & (F.col("bit_error") <= c.error)).select(F.col("q").alias("fp"), F.col("r").alias("other"), "offset", "votes", "bit_error")
+    spark = asked.sparkSession
+    kind = "fps array<string>, sizes array<int>, codes binary"
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    block = lambda df, name: stage(df.select("fp", "codes").mapInPandas(_blocks, kind), name)
+    # Asked blocks are few: they are dealt out against one known block after another.
+    left, right = block(asked, "asked-blocks"), block(known, "known-blocks").toDF("fps_r", "sizes_r", "codes_r")
+    pairs = right.repartition(parts).crossJoin(left)
+    return pairs.mapInPandas(_compare(c), "fp string, other string, offset int, votes bigint, bit_error double")
 
 
 def search(media: DataFrame, queries: str, *, id_col: str, media_col: str, c: Chroma = Chroma()) -> DataFrame:
