@@ -310,3 +310,20 @@ def test_chroma_alignment_without_a_shared_code(spark):
     assert [(r["fp"], r["other"], r["offset"], r["votes"], r["bit_error"]) for r in audio.matches(t.where("fp = 'a'"), t).collect()] == [("a", "b", -10, 0, 0.125)]
     many = spark.createDataFrame([*rows, *((f"r{i}", rng.integers(0, 1 << 32, 40, dtype=np.int64).tolist()) for i in range(5000))], "fp string, codes array<bigint>")
     assert [(r["fp"], r["other"], r["offset"]) for r in audio.matches(many.where("fp = 'b'"), many).collect()] == [("b", "a", 10)]
+
+
+def test_mixing_keeps_its_budget_beside_a_tiny_source(spark):
+    """One document that is its own source doesn't set how much of the corpus is kept; full cells leave the excess to others."""
+    rows = [(i, " ".join(["w"] * (60 + i % 7)), "fr" if i % 3 else "en", f"s{i % 4}") for i in range(2000)] + [(2000, " ".join(["w"] * 70), "en", "rare")]
+    t = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    total = sum(len(r[1].split()) for r in rows)
+    out = mixing.sample(t, p=mixing.PIPELINE).select("doc_id", "_mix.*").toPandas()
+    assert out["probability"].between(0, 1).all()
+    assert (out["probability"] * out["n_tokens"]).sum() == pytest.approx(mixing.PIPELINE.keep * total, rel=1e-6)
+    kept = mixing.mix_stage(spark, t, "").select("text").collect()
+    assert sum(len(r["text"].split()) for r in kept) == pytest.approx(mixing.PIPELINE.keep * total, rel=0.05)
+    cells = spark.createDataFrame([("a", "x", "t", 100), ("b", "x", "t", 300), ("c", "x", "t", 600)], "source string, lang string, topic string, tokens bigint")
+    want = spark.createDataFrame([("a", 0.5), ("b", 0.25), ("c", 0.25)], "value string, share double")
+    got = {r["source"]: r["weight"] for r in mixing.rake(cells, mixing.Mix(keep=0.6), {"source": want}).collect()}
+    assert got == pytest.approx({"a": 100, "b": 250, "c": 250}, rel=1e-3)
+    assert {r["weight"] for r in mixing.rake(cells, mixing.Mix(keep=1.0)).collect()} == {100.0, 300.0, 600.0}

@@ -17,12 +17,18 @@ class Mix:
     """Targets of the three margins and of the fit.
 
     targets: by margin, a table (value, share); a margin without one aims at shares in proportion to tokens ** power,
-    which flattens the corpus. rounds: of raking, each over the three margins. seed: of the sample.
+    which flattens the corpus. rounds: of raking, each over the three margins. seed: of the sample. keep: the share of
+    all tokens that the sample is to have; without one, the greatest probability is 1 and rare cells set the share.
     """
 
     power: float = 0.8
     rounds: int = 10
     seed: str = "mix-1"
+    keep: float | None = None
+
+
+#: The pipeline's mix: four fifths of the tokens.
+PIPELINE = Mix(keep=0.8)
 
 
 def topics(words):
@@ -36,8 +42,11 @@ def rake(cells: DataFrame, p: Mix, targets: dict[str, DataFrame] | None = None)
     cells: source, lang, topic, tokens (> 0); a row per combination that occurs, so their number is that of the
     combinations and not of the rows. Each round scales the weights to one margin after another. The sums of a margin
     are grouped and joined back; each round's result is staged, since each margin's plan holds the one before twice.
+    With p.keep the weights add up to that share of all tokens and none is above its cell's tokens: each round cuts what is
+    above, and the next one rakes the excess onto the other cells.
     """
     goals = {}
+    budget = p.keep * float(cells.agg(F.sum("tokens")).first()[0] or 0) if p.keep is not None else 1.0
     for m in MARGINS:
         if targets and m in targets:
             given = targets[m].select(F.col("value").alias(m), F.col("share").cast("double").alias("_goal"))
@@ -50,18 +59,36 @@ def rake(cells: DataFrame, p: Mix, targets: dict[str, DataFrame] | None = None)
             now = w.groupBy(m).agg(F.sum("weight").alias("_sum")).join(goals[m], m, "left")
             now = now.select(F.col(m).alias("_m"), F.when(F.col("_sum") > 0, F.coalesce("_goal", F.lit(0.0)) / F.col("_sum")).otherwise(0.0).alias("_f"))
             w = w.join(now, F.col(m) == F.col("_m")).withColumn("weight", F.col("weight") * F.col("_f")).drop("_m", "_f")
+        if p.keep is not None:
+            w = w.withColumn("weight", F.least(F.col("weight") * F.lit(budget), F.col("tokens").cast("double")))
         w = stage(w, "raked", free=False)
         if k:
             drop(held)
         held = w
-    return w
+    return w if p.keep is None else filled(w, budget)
+
+
+def filled(w: DataFrame, budget: float) -> DataFrame:
+    """weight scaled, and cut at the cell's tokens, so that the sum is the budget, or all that cells with weight have.
+
+    Each step finds the scale at which the cells that aren't full yet take what the full ones leave; scales only rise, so
+    a full cell stays full, and the steps end when no further cell is full.
+    """
+    scale, full = 1.0, -1
+    while True:
+        held = F.col("weight") * F.lit(scale) >= F.col("tokens")
+        n, taken, rest = w.where("weight > 0").agg(F.count_if(held), F.sum(F.when(held, F.col("tokens").cast("double"))), F.sum(F.when(~held, F.col("weight")))).first()
+        if n == full or not rest or budget <= (taken or 0.0):
+            break
+        full, scale = n, (budget - (taken or 0.0)) / rest
+    return w.withColumn("weight", F.least(F.col("weight") * F.lit(scale), F.col("tokens").cast("double")))
 
 
 def sample(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, targets: dict[str, DataFrame] | None = None, p: Mix = Mix()) -> DataFrame:
     """docs and struct _mix: source, lang, topic, n_tokens, probability, kept.
 
     Tokens are words between ASCII blanks. A document's probability is that of its cell: raked weight over tokens,
-    scaled so that the greatest is 1. It is kept if the hash of its id and the seed falls below; rows that repeat an id
+    scaled so that the greatest is 1, or with p.keep so that the kept tokens come to that share. It is kept if the hash of its id and the seed falls below; rows that repeat an id
     share their fate within a cell. Null values of a margin are the value ''. Texts without a word carry no weight: they
     take their cell's probability, or 1 where the cell has no token. An empty table gives an empty one.
     """
@@ -73,7 +100,7 @@ def sample(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", sourc
     raked = rake(stage(cells, "cells"), p, targets)
     ratio = raked.withColumn("_r", F.col("weight") / F.col("tokens"))
     top = stage(ratio, "ratios", free=False)
-    top = stage(top.crossJoin(F.broadcast(top.agg(F.max("_r").alias("_top")))).select(*(F.col(m).alias(f"_m{m}") for m in MARGINS), (F.col("_r") / F.col("_top")).alias("_p")), "shares", free=False)
+    top = stage(top.crossJoin(F.broadcast(top.agg(F.max("_r").alias("_top")))).select(*(F.col(m).alias(f"_m{m}") for m in MARGINS), (F.col("_r") / F.col("_top") if p.keep is None else F.col("_r")).alias("_p")), "shares", free=False)
     # A staged table has a known size: Spark sends it to all executors only if it is small.
     rows = rows.join(top, [F.col(f"_{m}") == F.col(f"_m{m}") for m in MARGINS], "left")
     u = F.conv(F.substring(F.md5(F.concat(F.lit(p.seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
@@ -83,8 +110,8 @@ def sample(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", sourc
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents of the sample."""
-    return sample(docs).where("_mix.kept").select(*docs.columns)
+    """Pipeline stage: the documents of the sample, of PIPELINE.keep of the tokens."""
+    return sample(docs, p=PIPELINE).where("_mix.kept").select(*docs.columns)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
