@@ -327,3 +327,36 @@ def test_mixing_keeps_its_budget_beside_a_tiny_source(spark):
     got = {r["source"]: r["weight"] for r in mixing.rake(cells, mixing.Mix(keep=0.6), {"source": want}).collect()}
     assert got == pytest.approx({"a": 100, "b": 250, "c": 250}, rel=1e-3)
     assert {r["weight"] for r in mixing.rake(cells, mixing.Mix(keep=1.0)).collect()} == {100.0, 300.0, 600.0}
+
+
+def test_secrets_in_layers_that_are_not_plain():
+    import base64
+    import bz2
+    import gzip
+    from urllib.parse import quote, quote_plus
+
+    find = b'password = "abcdef12"'
+    rng = np.random.default_rng(2)
+    noise = "".join(map(chr, rng.integers(97, 123, 600))).encode()
+    b64 = lambda x: base64.b64encode(x).decode()
+    wrapped = base64.encodebytes(gzip.compress(noise + find)).decode()
+    deep = find
+    for _ in range(20):
+        deep = gzip.compress(deep)
+    packed = gzip.compress(b" " + find)
+    for name, text in {
+        "no-break space": b64("prix\u00a0: ".encode() + find), "joiner": b64("\u200d".encode() + find), "byte order mark": b64("\ufeff".encode() + find),
+        "NUL": b64(b"\0" + find), "Latin-1": b64(b"caf\xe9 " + find), "wrapped": wrapped, "wrapped with CRLF": wrapped.replace("\n", "\r\n"),
+        **{f"prefix of {n}": "p" * (n - 1) + "/" + b64(find) for n in range(1, 6)}, **{f"packed, prefix of {n}": "p" * (n - 1) + "_" + b64(packed) for n in range(1, 6)},
+        "members of gzip": b64(gzip.compress(b"first") + packed), "members of bzip2": b64(bz2.compress(b"first") + bz2.compress(find)), "twenty deep": b64(deep),
+        "URL bytes": quote(packed), "form bytes": quote_plus(packed), "literal": repr(packed), "all escaped": "".join(f"\\x{c:02x}" for c in packed), "zlib": quote(zlib.compress(find)),
+    }.items():
+        text = "see: " + text + " . end"
+        base, spans, _, full = secrets.scan(text)
+        mine = [(s, e) for s, k, e in spans if k == 0]
+        assert not base and mine and not full and all(4 <= s < e <= len(text) - 5 for s, e in mine), name
+    most, secrets.MOST = secrets.MOST, 1000
+    try:
+        assert secrets.scan(b64(gzip.compress(b"x" * 5000)))[3]
+    finally:
+        secrets.MOST = most

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -26,6 +25,17 @@ _KEYS = ("passw", "secret", "token", "apikey", "api_key")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs of base64 that are wrapped: every line but the last has 16 characters at least.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[\x20\t]*+\r?\n[\x20\t]*+)+[A-Za-z0-9+/_-]+={0,2}")
+_GAP = re.compile(r"\s+")
+#: Bytes as text with escapes: of URLs, and of literals.
+_URL_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|[!$&-;=?-Z_a-z~])+")
+_RAW_BYTES = re.compile(r"(?:\\x[0-9A-Fa-f]{2}|\\[abfnrtv\\'\"]|[\x20-\x5b\x5d-\x7e])+")
+_URL_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|.")
+_RAW_BYTE = re.compile(r"\\x([0-9A-Fa-f]{2})|\\.|.")
+_LETTER = dict(zip("abfnrtv", b"\a\b\f\n\r\t\v"))
+#: Where a gzip, bzip2, xz or zlib stream may begin.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]")
 #: Characters that the layers of one document may come to; a document beyond it says so.
 MOST = 1 << 26
 
@@ -108,47 +118,106 @@ def _rewritten(text: str, layer: Layer, pattern: re.Pattern, chars) -> Layer | N
     return out
 
 
-def _unpack(raw: bytes) -> bytes | None:
-    """raw decompressed, where it is gzip, zlib, bzip2 or xz; at most MOST bytes."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-            return zlib.decompressobj(wbits=47).decompress(raw, MOST) or None
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, MOST) or None
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, MOST) or None
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        pass
-    return None
-
-
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if len(text) >= 6 and all(c.isprintable() or c in "\t\n\r" for c in text) else None
-
-
-def _from_base64(run: str) -> str | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4))
-    except binascii.Error:
-        return None
-    seen = 0
-    while (more := _unpack(raw)) is not None and seen < 16:
-        raw, seen = more, seen + 1
-    return _readable(raw)
+def _opener(raw: bytes):
+    if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
+        return zlib.decompressobj(wbits=47)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if raw[:6] == b"\xfd7zXZ\x00" else None
+
+
+def _unpack(raw: bytes | memoryview, room: int) -> tuple[bytes, int, bool]:
+    """The members that raw begins with, decompressed; the bytes they take; whether there was more than room."""
+    out, at, raw = [], 0, memoryview(raw)
+    while (d := _opener(bytes(raw[at : at + 8]))) is not None:
+        try:
+            data = d.decompress(raw[at:], room + 1)
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            break
+        out.append(data[:room])
+        if len(data) > room:
+            return b"".join(out), len(raw), True
+        room -= len(data)
+        if not d.eof:
+            at = len(raw)
+            break
+        rest = d.unused_data.lstrip(b"\0")  # padding between members
+        at = len(raw) - len(rest)
+    return b"".join(out), at, False
+
+
+def _payloads(raw: bytes, room: int) -> tuple[list[tuple[bytes, int, int]], bool]:
+    """raw and all that is compressed in it, however deep, with the bytes of raw that each comes from; whether room ran out."""
+    out, seen, cut = [(raw, 0, len(raw))], {hashlib.sha256(raw).digest()}, False
+    for now, start, end in out:  # grows
+        at = 0
+        for m in [0, *(m.start() for m in _MAGIC.finditer(now))]:
+            if m < at:
+                continue
+            data, used, more = _unpack(memoryview(now)[m:], room)
+            cut |= more
+            if data:
+                at = m + used
+                if (key := hashlib.sha256(data).digest()) not in seen:
+                    seen.add(key)
+                    room -= len(data)
+                    out.append((data, m, at) if now is raw else (data, start, end))
+    return out, cut
+
+
+def _telling(text: str) -> bool:
+    """Whether a text is readable, or holds a find or an encoded run; what isn't can't lead to a find."""
+    if len(text) < 6:
+        return False
+    if all(c.isprintable() or c in "\t\n\r" for c in text):
+        return True
+    return bool(_BASE64.search(text) or _PERCENT.search(text) or _ESCAPE.search(text) or base_spans(text))
+
+
+def _texts(raw: bytes, room: int, packed: bool = False) -> tuple[list[tuple[str, int, int]], bool]:
+    """What raw and the compressed data in it (packed: the latter alone) say, bytes that aren't UTF-8 replaced."""
+    found, cut = _payloads(raw, room)
+    return [(t, s, e) for x, s, e in found[packed:] if _telling(t := x.decode("utf-8", "replace"))], cut
+
+
+def _from_base64(run: str, room: int) -> tuple[list[tuple[str, int]], bool]:
+    """Texts of a run and the character each starts at; a prefix may shift the run, so all four alignments are tried."""
+    body, out, cut = run.rstrip("=").replace("-", "+").replace("_", "/"), [], False
+    for k in range(4):
+        part = body[k:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        texts, more = _texts(base64.b64decode(part + "=" * (-len(part) % 4)), room)
+        out += [(t, k + s // 3 * 4) for t, s, _ in texts]
+        cut |= more
+    return out, cut
+
+
+def _from_bytes(run: str, byte: re.Pattern, room: int) -> tuple[list[tuple[str, int, int]], bool]:
+    """Texts of compressed data that is written with escapes, and the characters each comes from."""
+    raw, at = bytearray(), []
+    for m in byte.finditer(run):
+        at.append(m.start())
+        c = m.group()
+        raw.append(int(m[1], 16) if m[1] else ord(c) if len(c) == 1 else _LETTER.get(c[1], ord(c[1])))
+    at.append(len(run))
+    out, cut = [], False
+    for data in {bytes(raw), bytes(raw).replace(b"+", b" ") if byte is _URL_BYTE else bytes(raw)}:
+        texts, more = _texts(data, room, packed=True)
+        out += [(t, at[s], at[e]) for t, s, e in texts]
+        cut |= more
+    return out, cut
+
+
+def _skipped(run: str, n: int) -> int:
+    """Where the character after n that aren't blank is."""
+    return [i for i, c in enumerate(run) if not c.isspace()][n]
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, bool]:
     """Base spans, all spans, layers unwrapped, and whether MOST stopped it; spans are (start, kind, end), sorted.
 
-    A worklist starts at the text. Of each layer, URL escapes, Unicode escapes and readable base64 runs (compressed
-    ones unpacked) make further layers, which are scanned and decoded in turn until none is new. A layer whose text was
+    A worklist starts at the text. Of each layer, URL escapes, Unicode escapes, base64 runs (wrapped ones joined, at all
+    four alignments) and all compressed members in them or in escaped bytes make further layers, which are scanned and decoded in turn until none is new. A layer whose text was
     seen before in this document isn't entered again, so cycles end. Finds map to the span that they were decoded from.
     """
     base = sorted(base_spans(text))
@@ -161,11 +230,21 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
             made.append(_rewritten(now, layer, _PERCENT, _percent))
         if "\\" in now:
             made.append(_rewritten(now, layer, _ESCAPE, _unescape))
-        for m in _BASE64.finditer(now):
-            if (t := _from_base64(m.group())) is not None:
-                one = Layer(layer)
-                one.add(t, m.start(), m.end(), False)
-                made.append(one)
+        texts = []
+        for m in [*_BASE64.finditer(now), *_WRAPPED.finditer(now)]:
+            some, cut = _from_base64(run := _GAP.sub("", m.group()), MOST - total)
+            full |= cut
+            texts += [(t, m.start() + (s if len(run) == m.end() - m.start() else _skipped(m.group(), s)), m.end()) for t, s in some]
+        for mark, runs, byte in (("%", _URL_BYTES, _URL_BYTE), ("\\x", _RAW_BYTES, _RAW_BYTE)):
+            for m in runs.finditer(now) if mark in now else ():
+                if mark in m.group():
+                    some, cut = _from_bytes(m.group(), byte, MOST - total)
+                    full |= cut
+                    texts += [(t, m.start() + s, m.start() + e) for t, s, e in some]
+        for t, s, e in texts:
+            one = Layer(layer)
+            one.add(t, s, e, False)
+            made.append(one)
         for one in filter(None, made):
             t = "".join(one.parts)
             key = hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()
