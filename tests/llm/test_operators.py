@@ -360,3 +360,26 @@ def test_secrets_in_layers_that_are_not_plain():
         assert secrets.scan(b64(gzip.compress(b"x" * 5000)))[3]
     finally:
         secrets.MOST = most
+
+
+def test_near_duplicates_of_few_words(spark):
+    """8 against 9 words, and all pairs of short texts against brute force."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for g in range(60):
+        a = [f"g{g}w{i}" for i in range(5 + g % 12)]
+        texts += [" ".join(a), " ".join([*a, "more"]), " ".join(["before", *a]), " ".join([*a[:-1], "other"]), " ".join(rng.permutation(a))]
+    p = neardup.OrderMinHash()
+    h = [neardup.kmers(t, p.k) for t in texts]
+    label = list(range(len(texts)))
+    links = [(i, j) for i in range(len(h)) for j in range(i) if neardup.aligned(h[i], h[j], p)]
+    for _ in range(5):
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(t).collect()}
+    assert {(len(h[i]), len(h[j])) for i, j in links} >= {(5, 4), (10, 9), (12, 11)}
+    assert got == dict(enumerate(label)) and got[15] == got[16]
+    for i, j in links:
+        if min(len(h[i]), len(h[j])) < p.short:
+            assert set(neardup.exact_keys(h[i], p)) & set(neardup.exact_keys(h[j], p))

@@ -20,8 +20,9 @@ from urnspark.llm.shared import drop, read, ship, stage
 class OrderMinHash:
     """k: words of a k-mer. picks: k-mers a sketch holds, in text order. sketches: drawn for each text.
 
-    num/den: the least similarity. Two texts of similarity s share a sketch with about s ** picks, and any of 20 with
-    0.9997 at 0.8; 0.006 at 0.2. stars: rounds in which a bucket's texts meet one of them, before all the others.
+    num/den: the least similarity. Two long texts of similarity s share a sketch with about s ** picks, and any of 20 with
+    0.9997 at 0.8; 0.006 at 0.2. Short ones share fewer (0.998 for 9 of 10 k-mers each), so pairs in which a text has
+    fewer than short k-mers have exact keys as well. stars: rounds in which a bucket's texts meet one of them, before all the others.
     """
 
     k: int = 5
@@ -30,6 +31,7 @@ class OrderMinHash:
     num: int = 4
     den: int = 5
     stars: int = 3
+    short: int = 10
     seed: int = 12345
 
 
@@ -79,6 +81,19 @@ def sketch(h: np.ndarray, p: OrderMinHash) -> np.ndarray:
     return out.view(np.int64)
 
 
+def exact_keys(h: np.ndarray, p: OrderMinHash) -> np.ndarray:
+    """Keys of a short text, or of one similar in size to a short one; similar texts share one for certain.
+
+    Similar texts have num/den of the longer one's k-mers in common. So of n k-mers by value, the first n - need + 1
+    hold one that both have among their first: the prefix filter.
+    """
+    n = len(h)
+    if not n or p.num * n > p.den * (p.short - 1):
+        return np.zeros(0, dtype=np.int64)
+    need = -(-p.num * n // p.den)
+    return _mix(np.sort(h)[: n - need + 1] ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)
+
+
 def parities(h: np.ndarray) -> np.ndarray:
     """256 bits in four integers: for each value of the hash's last byte, whether an odd number of k-mers has it."""
     odd = (np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
@@ -117,7 +132,7 @@ def _sketches(p: OrderMinHash):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             h = [kmers(t, p.k) for t in x["text"]]
-            yield pd.DataFrame({"id": x["id"], "ck": x["ck"], "keys": [sketch(y, p) for y in h], "size": [len(y) for y in h], "bits": [parities(y) for y in h]})
+            yield pd.DataFrame({"id": x["id"], "ck": x["ck"], "keys": [np.r_[sketch(y, p), exact_keys(y, p)] for y in h], "size": [len(y) for y in h], "bits": [parities(y) for y in h]})
 
     return run
 
@@ -140,7 +155,7 @@ def _verify(p: OrderMinHash):
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", p: OrderMinHash = OrderMinHash()) -> DataFrame:
     """id, ck, class_id, n_texts for each distinct (id, text): the class is the least id that the text is linked to, over any chain.
 
-    Equal texts are one node (null is the empty text). Texts that share a sketch are candidates, linked if their
+    Equal texts are one node (null is the empty text). Texts that share a sketch, or an exact key of short texts, are candidates, linked if their
     alignment reaches the similarity; pairs whose sizes or k-mer parities rule that out aren't aligned. Within a bucket, stars come first: each text meets one chosen text, another in
     each round. Then all pairs of a bucket that are still in different classes meet. Pairs within a class are not tried, as they
     can't change it. So a bucket of a hundred thousand near copies costs a few rounds of its size, and no link between
