@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urnspark.operators.dialect import CHECK, SPARK, Dialect
+from urnspark.operators.draws import PARTS
 from urnspark.operators.draws import SQL as DRAWS
 from urnspark.operators.inference import SQL as INFERENCE
+from urnspark.operators import forecasts
 from urnspark.operators.models import QUERIES as MODELS
 from urnspark.plans import lift
 from urnspark.streaming import scorer
@@ -21,12 +23,14 @@ _DATES = ("draw_date", "first_date", "last_date", "closed_on")
 
 def text(name: str, d: Dialect) -> str:
     ctes, body = SQL[name](d)
+    for word, sides in PARTS.items():
+        ctes = ctes.replace(word, sides[not d.spark])
     if not d.spark:
         shown = re.sub(r"\([^()]*\)", "", body[len("SELECT ") : body.index(" FROM ")])
         named = {item.split()[-1].rpartition(".")[2] for item in shown.split(",") if item.split()}
         if dates := [c for c in _DATES if c in named]:
             body = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in dates)}) FROM ({body}) dated"
-    return "WITH " + ",\n".join(x for x in (lift.LIFT, lift.PRIZES, ctes) if x) + "\n" + body
+    return "WITH " + ",\n".join(x for x in (lift.NUMBERS if d.spark else lift.LIFT, lift.PRIZES, ctes) if x) + "\n" + body
 
 
 def _run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,5 +38,5 @@ def _run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
 
 
-QUERIES = {name: partial(_run, name) for name in SQL} | MODELS | scorer.QUERIES
-ORACLE_SQL = {name: text(name, CHECK) for name in SQL} | scorer.ORACLE_SQL
+QUERIES = {name: partial(_run, name) for name in SQL} | forecasts.QUERIES | MODELS | scorer.QUERIES
+ORACLE_SQL = {name: text(name, CHECK) for name in SQL} | forecasts.ORACLE_SQL | scorer.ORACLE_SQL

@@ -16,16 +16,18 @@ PAIR = comb(47, 3) / comb(49, 5)
 LOWER = "CASE rank " + " ".join(f"WHEN {r} THEN {rank_probability(r)!r}" + "e0" * ("e" not in repr(rank_probability(r))) for r, _, _ in RANKS if r > 1) + " END"
 P9 = f"{rank_probability(9)!r}e0"
 #: Numbers, a spine of 1 to 49.
-SPINE = "spine AS (SELECT DISTINCT CAST(l_partkey % 49 + 1 AS BIGINT) AS number FROM lineitem)"
+SPINE = f"spine AS (SELECT CAST(number AS BIGINT) AS number FROM (VALUES {', '.join(f'({i})' for i in range(1, 50))}) AS t(number))"
 WIDE = """wide AS (SELECT draw_id, max(CASE WHEN rank = 1 THEN winners END) AS w1, max(CASE WHEN rank = 2 THEN winners END) AS w2, max(CASE WHEN rank = 9 THEN winners END) AS w9,
   max(CASE WHEN rank = 1 THEN payout END) AS p1, max(CASE WHEN rank = 2 THEN payout END) AS p2, max(CASE WHEN rank = 8 THEN payout END) AS p8, max(CASE WHEN rank = 9 THEN payout END) AS p9 FROM prizes GROUP BY draw_id)"""
 OBS = f"""obs AS (SELECT d.draw_id, draw_date, game, CASE WHEN w1 > 1 THEN p1 * w1 ELSE p1 END AS jackpot, w9, w9 / {P9} AS tickets, w1, w2, chance
   FROM draws d JOIN wide ON d.draw_id = wide.draw_id WHERE p1 > 0 AND w9 > 0)"""
 #: By date: draws before it, and hits of each number before it.
 DAYS = "days AS (SELECT draw_date, count(*) AS n, coalesce(sum(count(*)) OVER (ORDER BY draw_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h FROM draws GROUP BY draw_date)"
-HITS = f"""{SPINE}, {DAYS}, dayhits AS (SELECT draw_date, number, count(*) AS k FROM draws d JOIN draw_numbers m ON d.draw_id = m.draw_id GROUP BY draw_date, number),
+_HITS = f"""{SPINE}, {DAYS}, dayhits AS (SELECT draw_date, number, count(*) AS k FROM draws d JOIN draw_numbers m ON d.draw_id = m.draw_id GROUP BY draw_date, number),
 grid AS (SELECT y.draw_date, s.number, y.n, y.h, coalesce(k, 0) AS k FROM days y CROSS JOIN spine s LEFT JOIN dayhits x ON x.draw_date = y.draw_date AND x.number = s.number),
 hist AS (SELECT draw_date, number, n, h, k, coalesce(sum(k) OVER (PARTITION BY number ORDER BY draw_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM grid)"""
+#: Stands for _HITS on the checking side, and for the lifted table on Spark's.
+HITS = "@hits"
 PROB = f"{HITS}, prob AS (SELECT draw_date, number, n, h, 5e0 * (c + 20e0) / (5e0 * h + 49e0 * 20e0) AS p FROM hist WHERE h >= 100)"
 HIT = f"""{PROB}, scored AS (SELECT d.draw_id, d.draw_date, sum(p.p) AS hitp FROM draws d JOIN draw_numbers m ON d.draw_id = m.draw_id JOIN prob p ON p.draw_date = d.draw_date AND p.number = m.number GROUP BY d.draw_id, d.draw_date),
 square AS (SELECT draw_date, sum(p * p) AS s2, sum(-ln(1e0 - p)) AS lq FROM prob GROUP BY draw_date),
@@ -36,12 +38,53 @@ def _q(ctes: str, body):
     return lambda d: (ctes(d) if callable(ctes) else ctes, body(d) if callable(body) else body)
 
 
-ROLL = lambda w: f"""{DAYS}, {SPINE}, placed AS (SELECT d.draw_id, y.h + row_number() OVER (PARTITION BY d.draw_date ORDER BY game, d.draw_id) - 1 AS idx FROM draws d JOIN days y ON d.draw_date = y.draw_date),
+def ROLL(w: int):
+    """number, i, draw_date, c: of each date, the draws before it and how many of the last w of them have the number.
+
+    Spark takes the difference of two dates' running counts and corrects it by the draws of the earlier date that stand
+    before the window; so no window orders the draws of a number.
+    """
+    check = f"""{DAYS}, {SPINE}, placed AS (SELECT d.draw_id, y.h + row_number() OVER (PARTITION BY d.draw_date ORDER BY game, d.draw_id) - 1 AS idx FROM draws d JOIN days y ON d.draw_date = y.draw_date),
 ev AS (SELECT number, CAST(idx AS BIGINT) AS i, 1 AS v, CAST(NULL AS DATE) AS draw_date FROM placed p JOIN draw_numbers m ON p.draw_id = m.draw_id
   UNION ALL SELECT number, CAST(h AS BIGINT), 0, draw_date FROM days CROSS JOIN spine),
 roll AS (SELECT number, i, draw_date, coalesce(sum(v) OVER (PARTITION BY number ORDER BY i RANGE BETWEEN {w} PRECEDING AND 1 PRECEDING), 0) AS c,
-  max(CASE WHEN v = 1 THEN i END) OVER (PARTITION BY number ORDER BY i RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM ev)"""
-CHANCE = """ordered AS (SELECT draw_id, game, draw_date, chance, lag(chance) OVER (PARTITION BY game ORDER BY draw_date, draw_id) AS prev, row_number() OVER (PARTITION BY game ORDER BY draw_date, draw_id) AS i FROM draws)"""
+  max(CASE WHEN v = 1 THEN i END) OVER (PARTITION BY number ORDER BY i RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM ev)"""
+    spark = f"""starts AS (SELECT h AS at, 0 AS kind, draw_date AS u, draw_date, h AS uh FROM days UNION ALL SELECT greatest(h - {w}, 0), 1, NULL, draw_date, NULL FROM days),
+held AS (SELECT at, kind, draw_date, last_value(u, true) OVER w AS u, last_value(uh, true) OVER w AS uh FROM starts WINDOW w AS (ORDER BY at, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+bound AS (SELECT draw_date, u, at - uh AS r FROM held WHERE kind = 1),
+part AS (SELECT b.draw_date, number, count(*) AS k FROM bound b JOIN placed p ON p.draw_date = b.u AND p.place < b.r LATERAL VIEW explode(p.numbers) e AS number GROUP BY b.draw_date, number),
+roll AS (SELECT x.number, x.h AS i, x.draw_date, x.c - y.c - coalesce(t.k, 0) AS c FROM hist x JOIN bound b ON b.draw_date = x.draw_date JOIN hist y ON y.draw_date = b.u AND y.number = x.number
+  LEFT JOIN part t ON t.draw_date = x.draw_date AND t.number = x.number)"""
+    return lambda d: spark if d.spark else check
+
+
+def CHANCE(d):
+    """ordered: draw_id, game, draw_date, chance, prev, i: draws of a game in order, and the chance number before.
+
+    Spark counts dates first and joins a draw to the one before by its place; no window orders a whole game.
+    """
+    if not d.spark:
+        return "ordered AS (SELECT draw_id, game, draw_date, chance, lag(chance) OVER (PARTITION BY game ORDER BY draw_date, draw_id) AS prev, row_number() OVER (PARTITION BY game ORDER BY draw_date, draw_id) AS i FROM draws)"
+    return """gamedays AS (SELECT game, draw_date, coalesce(sum(count(*)) OVER (PARTITION BY game ORDER BY draw_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h FROM draws GROUP BY game, draw_date),
+inday AS (SELECT d.draw_id, d.game, d.draw_date, chance, h + row_number() OVER (PARTITION BY d.game, d.draw_date ORDER BY draw_id) AS i FROM draws d JOIN gamedays g ON d.game = g.game AND d.draw_date = g.draw_date),
+ordered AS (SELECT a.draw_id, a.game, a.draw_date, a.chance, b.chance AS prev, a.i FROM inday a LEFT JOIN inday b ON a.game = b.game AND a.i = b.i + 1)"""
+
+
+def _rolled(d):
+    """Of each draw: the class counts of the last fifty draws of its game, k1 to k10."""
+    span = range(1, 11)
+    if not d.spark:
+        return CHANCE(d) + ", rolled AS (SELECT draw_id, i, " + ", ".join(f"count(CASE WHEN chance = {c} THEN 1 END) OVER (PARTITION BY game ORDER BY i ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS k{c}" for c in span) + " FROM ordered)"
+    day = ", ".join(f"coalesce(sum(count_if(chance = {c})) OVER (PARTITION BY game ORDER BY draw_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b{c}" for c in span)
+    run = ", ".join(f"b{c} + count_if(chance = {c}) OVER (PARTITION BY o.game, o.draw_date ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s{c}" for c in span)
+    return f"""{CHANCE(d)}, classdays AS (SELECT game, draw_date, {day} FROM draws GROUP BY game, draw_date),
+sums AS (SELECT draw_id, o.game, i, {run} FROM ordered o JOIN classdays y ON o.game = y.game AND o.draw_date = y.draw_date),
+rolled AS (SELECT a.draw_id, a.i, {", ".join(f"coalesce(b.s{c}, 0) - coalesce(e.s{c}, 0) AS k{c}" for c in span)} FROM sums a
+  LEFT JOIN sums b ON a.game = b.game AND a.i = b.i + 1 LEFT JOIN sums e ON a.game = e.game AND a.i = e.i + 51)"""
+
+
+#: What stands for a name on Spark's side and on the checking side.
+PARTS = {"@hits": ("dayhits AS (SELECT draw_date, number, k FROM hist WHERE k > 0)", _HITS)}
 
 SQL = {
     "main_frequency": _q(
@@ -104,10 +147,10 @@ o AS (SELECT l.draw_id, count(b.number) AS overlap FROM linked l JOIN draw_numbe
     ),
     "bayesian_posterior": _q(HITS, f"SELECT draw_date, number, round((c + 200e0 * {P5}) / (h + 200e0), 9) AS p FROM hist"),
     **{f"rolling_frequency_{w}": _q(ROLL(w), f"SELECT draw_date, number, round(c / (CASE WHEN i > {w} THEN {w}e0 ELSE greatest(i, 1) * 1e0 END), 9) AS frequency FROM roll WHERE draw_date IS NOT NULL") for w in (10, 50, 200)},
-    "number_gap": _q(ROLL(1), "SELECT draw_date, number, round(ln(1e0 + CASE WHEN seen IS NULL THEN i + 1 ELSE i - seen END) / ln(1e0 + greatest(i, 1)), 9) AS gap FROM roll WHERE draw_date IS NOT NULL"),
+    "number_gap": _q(lambda d: "roll AS (SELECT draw_date, number, h AS i, seen FROM hist)" if d.spark else ROLL(1)(d), "SELECT draw_date, number, round(ln(1e0 + CASE WHEN seen IS NULL THEN i + 1 ELSE i - seen END) / ln(1e0 + greatest(i, 1)), 9) AS gap FROM roll WHERE draw_date IS NOT NULL"),
     "previous_date_presence": _q(f"{HITS}, lagged AS (SELECT draw_date, number, lag(k) OVER (PARTITION BY number ORDER BY draw_date) AS k FROM hist)", "SELECT draw_date, number, CASE WHEN k > 0 THEN 1 ELSE 0 END AS present FROM lagged WHERE k IS NOT NULL"),
     # Per draw: the class counts of the last fifty draws of the game.
-    "chance_rolling": _q(f"{CHANCE}", lambda d: "SELECT draw_id, " + ", ".join(f"round((count(CASE WHEN chance = {c} THEN 1 END) OVER (PARTITION BY game ORDER BY i ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) + 1e0) / (least(i - 1, 50) + 10e0), 9) AS p{c}" for c in range(1, 11)) + " FROM ordered"),
+    "chance_rolling": _q(_rolled, "SELECT draw_id, " + ", ".join(f"round((k{c} + 1e0) / (least(i - 1, 50) + 10e0), 9) AS p{c}" for c in range(1, 11)) + " FROM rolled"),
     "chance_transitions": _q(CHANCE, "SELECT game, prev, chance, count(*) AS n, round((count(*) + 2e0) / (sum(count(*)) OVER (PARTITION BY game, prev) + 20e0), 9) AS p FROM ordered WHERE prev IS NOT NULL GROUP BY game, prev, chance"),
     "chance_weekday": _q("", lambda d: f"SELECT game, {d.big(d.weekday('draw_date'))} AS weekday, chance, count(*) AS n FROM draws GROUP BY game, {d.weekday('draw_date')}, chance"),
     "date_folds": _q(
@@ -142,6 +185,11 @@ o AS (SELECT l.draw_id, count(b.number) AS overlap FROM linked l JOIN draw_numbe
     ),
     # Forecasts of a ledger stand for draws of even id, scores for those of ids divisible by four.
     "pending_forecasts": _q("forecasts AS (SELECT draw_id, game, draw_date FROM draws WHERE draw_id % 2 = 0), scores AS (SELECT draw_id FROM draws WHERE draw_id % 4 = 0)", "SELECT f.draw_id, game, draw_date FROM forecasts f LEFT JOIN scores s ON f.draw_id = s.draw_id WHERE s.draw_id IS NULL"),
-    "cohort_first_100": _q("s AS (SELECT game, draw_date, draw_id, row_number() OVER (PARTITION BY game ORDER BY draw_date, draw_id) AS r FROM draws WHERE draw_id % 4 = 0)", "SELECT game, count(*) AS n, max(draw_date) AS closed_on, max(draw_id) AS last_id FROM s WHERE r <= 100 GROUP BY game"),
+    "cohort_first_100": _q(
+        lambda d: "q AS (SELECT game, draw_date, coalesce(sum(count(*)) OVER (PARTITION BY game ORDER BY draw_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h FROM draws WHERE draw_id % 4 = 0 GROUP BY game, draw_date), s AS (SELECT d.game, d.draw_date, draw_id, h + row_number() OVER (PARTITION BY d.game, d.draw_date ORDER BY draw_id) AS r FROM draws d JOIN q ON d.game = q.game AND d.draw_date = q.draw_date WHERE draw_id % 4 = 0 AND h < 100)"
+        if d.spark
+        else "s AS (SELECT game, draw_date, draw_id, row_number() OVER (PARTITION BY game ORDER BY draw_date, draw_id) AS r FROM draws WHERE draw_id % 4 = 0)",
+        "SELECT game, count(*) AS n, max(draw_date) AS closed_on, max(draw_id) AS last_id FROM s WHERE r <= 100 GROUP BY game",
+    ),
     "cohort_alpha": _q("c AS (SELECT game, year(draw_date) AS y, count(*) AS n FROM draws GROUP BY game, year(draw_date)), i AS (SELECT game, y, n, row_number() OVER (PARTITION BY game ORDER BY y) AS i FROM c)", "SELECT game, CAST(y AS INT) AS cohort, n, round(0.05e0 / (i * (i + 1)), 12) AS alpha FROM i"),
 }

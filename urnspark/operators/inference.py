@@ -7,7 +7,7 @@ draw the same.
 from __future__ import annotations
 
 from urnspark.functions.probability import RANKS, any_prize, rank_probability
-from urnspark.operators.draws import HIT, PROB, SPINE, _q
+from urnspark.operators.draws import HIT, PROB, _q
 
 UNIFORM = 5 * 44 / 49 / 49
 #: Replicates of a resampling test, and draws of a block.
@@ -93,5 +93,5 @@ SQL = {
         f"SELECT a, b, c, d, e, round(hits, 9) AS hits, round({crowd(list('abcde'))}, 9) + 0e0 AS crowd FROM tickets ORDER BY round(round(hits, 9) + 0.01e0 * ({crowd(list('abcde'))}), 9) DESC, a, b, c, d, e LIMIT 20",
     ),
     "ledger_chains": _q(_chained, _chain_hash),
-    "any_prize_rate": _q(f"{SPINE}, n AS (SELECT CAST(count(*) AS BIGINT) AS n FROM draws)", f"SELECT n AS draws, round(n * {any_prize()!r}e0, 6) AS expected_prizes, round(n * 2.2e0, 6) AS stake FROM n"),
+    "any_prize_rate": _q("n AS (SELECT CAST(count(*) AS BIGINT) AS n FROM draws)", f"SELECT n AS draws, round(n * {any_prize()!r}e0, 6) AS expected_prizes, round(n * 2.2e0, 6) AS stake FROM n"),
 }

@@ -15,7 +15,7 @@ SHAPE = ("low", "months", "adjacent", "even", "span")
 
 
 def _base(*more: str) -> str:
-    return "WITH " + ",\n".join((lift.LIFT, lift.PRIZES, *more))
+    return "WITH " + ",\n".join((lift.NUMBERS, lift.PRIZES, *more))
 
 
 def participation(spark: SparkSession, sf_dir: str) -> DataFrame:

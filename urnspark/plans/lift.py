@@ -1,12 +1,16 @@
-"""Draws, their numbers and their prizes, lifted from the order tables in Spark SQL."""
+"""Draws, their numbers and their prizes, lifted from the order tables once for all queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import atexit
+import shutil
+import tempfile
+import uuid
 
-BASE = ("orders", "lineitem")
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-#: The views that every draw query reads. Five distinct numbers per order that has as many residues.
+#: The views in SQL, for the checking side. Five distinct numbers per order that has as many residues.
 LIFT = """nums AS (SELECT DISTINCT l_orderkey AS k, CAST(l_partkey % 49 + 1 AS BIGINT) AS n FROM lineitem),
 ranked AS (SELECT k, n, row_number() OVER (PARTITION BY k ORDER BY (n * 31 + k * 17) % 53) AS rn, count(*) OVER (PARTITION BY k) AS c FROM nums),
 draw_numbers AS (SELECT k AS draw_id, n AS number FROM ranked WHERE c >= 5 AND rn <= 5),
@@ -16,6 +20,9 @@ draws AS (SELECT o_orderkey AS draw_id, CAST(o_orderdate AS DATE) AS draw_date,
   CAST(o_custkey % 10 + 1 AS BIGINT) AS chance, o_custkey AS ck, CAST(floor(o_totalprice) AS BIGINT) AS tp
   FROM orders JOIN ids ON o_orderkey = draw_id)"""
 
+#: The same on Spark's side, of the lifted tables.
+NUMBERS = "draw_numbers AS (SELECT draw_id, number FROM draws LATERAL VIEW explode(numbers) e AS number)"
+
 #: Base winners and payouts of the nine ranks: fixed values of the published schedule.
 SCHEDULE = ((1, 0, 2e6), (2, 0, 1e5), (3, 46, 1236.4), (4, 463, 443.0), (5, 2440, 50.2), (6, 23747, 18.5), (7, 35802, 9.5), (8, 335317, 4.0), (9, 300000, 2.2))
 
@@ -29,12 +36,83 @@ prizes AS (SELECT draw_id, CAST(rank AS INT) AS rank,
   FROM draws CROSS JOIN base)"""
 
 
-def tables(spark: SparkSession, sf_dir: str) -> None:
-    """Names the tables that the lifted views read."""
-    for t in BASE:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where unset, a local one, for a local master only."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="urnspark-draws-")
+    atexit.register(shutil.rmtree, own, True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
+    return f"file://{own}"
+
+
+def lifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """draw_id, draw_date, game, chance, ck, tp, numbers (five, in the lifting's order) of each order with five residues.
+
+    One pass of the line items: residues are gathered by order (at most 49 of them) and the order's row joined once.
+    """
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), (F.col("l_partkey") % 49 + 1).cast("bigint").alias("n"))
+    ranked = F.transform(F.collect_set("n"), lambda n: F.struct(((n * 31 + F.col("k") * 17) % 53).alias("r"), n.alias("n")))
+    five = items.groupBy("k").agg(F.slice(F.sort_array(ranked), 1, 5).alias("five")).where(F.size("five") == 5)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("draw_id"),
+        F.to_date("o_orderdate").alias("draw_date"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "super_loto").when(F.col("o_orderpriority") == "2-HIGH", "grand_loto").otherwise("loto").alias("game"),
+        (F.col("o_custkey") % 10 + 1).cast("bigint").alias("chance"),
+        F.col("o_custkey").alias("ck"),
+        F.floor("o_totalprice").cast("bigint").alias("tp"),
+    )
+    return orders.join(five, F.col("draw_id") == F.col("k")).select(*orders.columns, F.transform("five", lambda x: x["n"]).alias("numbers"))
+
+
+def days(draws: DataFrame) -> DataFrame:
+    """draw_date, n, h: draws of a date, and of all dates before. Windows over dates are as long as the calendar."""
+    before = Window.orderBy("draw_date").rowsBetween(Window.unboundedPreceding, -1)
+    return draws.groupBy("draw_date").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
+def placed(draws: DataFrame, days: DataFrame) -> DataFrame:
+    """draw_id, draw_date, game, chance, numbers, place, idx: place of a draw in its date by (game, id), and in all draws; both from 0."""
+    w = Window.partitionBy("draw_date").orderBy("game", "draw_id")
+    return draws.join(days.select("draw_date", "h"), "draw_date").select("draw_id", "draw_date", "game", "chance", "numbers", (F.row_number().over(w) - 1).alias("place"), (F.col("h") + F.row_number().over(w) - 1).alias("idx"))
+
+
+def hist(spark: SparkSession, placed: DataFrame, days: DataFrame) -> DataFrame:
+    """draw_date, number, n, h, k, c, seen: a number's draws on a date and before it, and the index of its last draw before it."""
+    hits = placed.select("draw_date", "idx", F.explode("numbers").alias("number")).groupBy("draw_date", "number").agg(F.count(F.lit(1)).alias("k"), F.max("idx").alias("at"))
+    grid = days.crossJoin(F.broadcast(spark.range(1, 50).select(F.col("id").alias("number")))).join(hits, ["draw_date", "number"], "left")
+    before = Window.partitionBy("number").orderBy("draw_date").rowsBetween(Window.unboundedPreceding, -1)
+    return grid.select("draw_date", "number", "n", "h", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("c"), F.max("at").over(before).alias("seen"))
+
+
+#: Where a session has put the lifted tables, by folder of the source.
+_kept: dict[tuple[str, str], str] = {}
+
+
+def tables(spark: SparkSession, sf_dir: str) -> str:
+    """Lifts the draws once for a session and a source, as Parquet; all queries read these. Returns their folder.
+
+    draws and placed grow with the input; days and hist with the calendar.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _kept:
+        path = f"{shared_dir(spark)}/lifted-{uuid.uuid4().hex}"
+        write = lambda df, name: (df.write.parquet(f"{path}/{name}"), spark.read.parquet(f"{path}/{name}"))[1]
+        draws = write(lifted(spark, sf_dir), "draws")
+        by_day = write(days(draws).coalesce(1), "days")
+        rows = write(placed(draws, by_day), "placed")
+        write(hist(spark, rows, by_day), "hist")
+        _kept[key] = path
+    return _kept[key]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{tables(spark, sf_dir)}/{name}")
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    tables(spark, sf_dir)
+    for t in ("draws", "days", "placed", "hist"):
+        table(spark, sf_dir, t).createOrReplaceTempView(t)
     return spark.sql(sql)

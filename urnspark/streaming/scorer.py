@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where unset, a local one, for a local master only."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="urnspark-stream-")
-    atexit.register(shutil.rmtree, own, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+from urnspark.plans.lift import shared_dir
 
 
 def score_results(results: DataFrame, forecasts: DataFrame, *, late: str = "7 days") -> DataFrame:
