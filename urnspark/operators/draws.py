@@ -86,6 +86,11 @@ rolled AS (SELECT a.draw_id, a.i, {", ".join(f"coalesce(b.s{c}, 0) - coalesce(e.
 #: What stands for a name on Spark's side and on the checking side.
 PARTS = {"@hits": ("dayhits AS (SELECT draw_date, number, k FROM hist WHERE k > 0)", _HITS)}
 
+#: Features of the five numbers m, in ascending order.
+SHAPES = """CAST(size(filter(m, x -> x > 31)) AS DOUBLE) AS high, CASE WHEN m[4] <= 31 THEN 1e0 ELSE 0e0 END AS all_low,
+  CAST(size(filter(sequence(1, 4), i -> m[i] - m[i - 1] = 1)) AS DOUBLE) AS adjacent, CAST(size(filter(m, x -> x IN (7, 13))) AS DOUBLE) AS lucky,
+  round((m[0] + m[1] + m[2] + m[3] + m[4]) / 150e0, 9) AS total, round(abs(m[0] + m[1] + m[2] + m[3] + m[4] - 125) / 100e0, 9) AS off_centre"""
+
 SQL = {
     "main_frequency": _q(
         f"{SPINE}, n AS (SELECT count(*) AS n FROM draws), c AS (SELECT number, count(*) AS hits FROM draw_numbers GROUP BY number)",
@@ -120,7 +125,7 @@ o AS (SELECT l.draw_id, count(b.number) AS overlap FROM linked l JOIN draw_numbe
     "prize_pivot": _q(WIDE, "SELECT * FROM wide"),
     "complete_prize_draws": _q("c AS (SELECT draw_id FROM prizes WHERE payout IS NOT NULL GROUP BY draw_id HAVING count(DISTINCT rank) = 9)", "SELECT game, count(*) AS n FROM draws d JOIN c ON d.draw_id = c.draw_id GROUP BY game"),
     "lower_rank_ev": _q("c AS (SELECT draw_id FROM prizes WHERE payout IS NOT NULL GROUP BY draw_id HAVING count(DISTINCT rank) = 9)", f"SELECT p.draw_id, round(sum({LOWER} * payout), 9) AS lower_ev FROM prizes p JOIN c ON p.draw_id = c.draw_id WHERE rank > 1 GROUP BY p.draw_id"),
-    "mean_code_pool": _q("codes AS (SELECT game, CASE WHEN draw_id % 6 = 0 THEN NULL ELSE 10 END AS w, CASE WHEN draw_id % 6 = 0 THEN NULL ELSE 20000e0 END AS p FROM draws)", "SELECT game, coalesce(avg(CASE WHEN w > 0 AND p > 0 THEN w * p END), 0e0) AS mean_pool FROM codes GROUP BY game"),
+    "mean_code_pool": _q("codes AS (SELECT game, CASE WHEN draw_id % 6 = 0 THEN NULL ELSE draw_id % 11 END AS w, CASE WHEN draw_id % 6 = 0 THEN NULL ELSE 20000e0 + tp % 1000 END AS p FROM draws)", "SELECT game, coalesce(avg(CASE WHEN w > 0 AND p > 0 THEN w * p END), 0e0) AS mean_pool FROM codes GROUP BY game"),
     "participation_observations": _q(f"{WIDE}, {OBS}", "SELECT draw_id, draw_date, game, jackpot, w9 AS rank_9_winners, round(tickets, 6) AS tickets FROM obs"),
     "participation_features": _q(
         f"{WIDE}, {OBS}",
@@ -131,13 +136,19 @@ o AS (SELECT l.draw_id, count(b.number) AS overlap FROM linked l JOIN draw_numbe
         lambda d: f"{WIDE}, {OBS}, l AS (SELECT draw_id, game, {d.weekday('draw_date')} AS wd, ln(tickets) AS lt FROM obs), a AS (SELECT game, wd, {d.median('lt')} AS m, count(*) AS n FROM l GROUP BY game, wd), b AS (SELECT game, {d.median('lt')} AS m, count(*) AS n FROM l GROUP BY game), c AS (SELECT {d.median('lt')} AS m FROM l)",
         lambda d: f"SELECT a.game, {d.big('a.wd')} AS weekday, round(CASE WHEN a.n >= 10 THEN a.m WHEN b.n >= 1 THEN b.m ELSE c.m END, 9) AS baseline FROM a JOIN b ON a.game = b.game CROSS JOIN c",
     ),
-    "popularity_observations": _q(f"{WIDE}, {OBS}", f"SELECT draw_id, w1 AS jackpot_winners, w1 + w2 AS main_winners, round(tickets / {comb(49, 5)}e0, 9) AS main_exposure, round(tickets / {comb(49, 5) * 10}e0, 9) AS jackpot_exposure FROM obs WHERE w2 IS NOT NULL"),
+    # Winners of the five numbers need rank 2 as well; the jackpot alone doesn't.
+    "popularity_observations": _q(WIDE, f"SELECT draw_id, w1 AS jackpot_winners, w1 + w2 AS main_winners, round(w9 / {P9} / {comb(49, 5)}e0, 9) AS main_exposure, round(w9 / {P9} / {comb(49, 5) * 10}e0, 9) AS jackpot_exposure FROM wide WHERE w1 IS NOT NULL AND w9 > 0"),
     "popularity_features": _q(
-        "g AS (SELECT draw_id, number, number - lag(number) OVER (PARTITION BY draw_id ORDER BY number) AS gap FROM draw_numbers)",
-        lambda d: f"SELECT draw_id, {d.count_if('number <= 31')} AS low, {d.count_if('number <= 12')} AS months, {d.count_if('gap = 1')} AS adjacent, {d.count_if('number % 2 = 0')} AS even, {d.big('sum(number)')} AS total, {d.big('count(DISTINCT number % 10)')} AS endings, {d.big('max(number) - min(number)')} AS span FROM g GROUP BY draw_id",
+        lambda d: "" if d.spark else "g AS (SELECT draw_id, number, number - lag(number) OVER (PARTITION BY draw_id ORDER BY number) AS gap FROM draw_numbers)",
+        lambda d: f"SELECT draw_id, {SHAPES} FROM (SELECT draw_id, array_sort(numbers) AS m FROM draws) t"
+        if d.spark
+        else "SELECT draw_id, CAST(count(*) FILTER (WHERE number > 31) AS DOUBLE) AS high, CASE WHEN max(number) <= 31 THEN 1e0 ELSE 0e0 END AS all_low, CAST(count(*) FILTER (WHERE gap = 1) AS DOUBLE) AS adjacent, CAST(count(*) FILTER (WHERE number = 7 OR number = 13) AS DOUBLE) AS lucky, round(sum(number) / 150e0, 9) AS total, round(abs(sum(number) - 125) / 100e0, 9) AS off_centre FROM g GROUP BY draw_id",
+    ),
+    "chance_observations": _q(WIDE, "SELECT d.draw_id, game, chance, w1 AS successes, w1 + w2 AS trials FROM draws d JOIN wide ON d.draw_id = wide.draw_id WHERE w1 >= 0 AND w2 >= 0 AND w1 + w2 > 0"),
+    "chance_posterior": _q(
+        lambda d: f"{WIDE}, c AS (SELECT CAST(chance AS BIGINT) AS chance FROM (VALUES {', '.join(f'({i})' for i in range(1, 11))}) AS t(chance)), g AS (SELECT DISTINCT game FROM draws), o AS (SELECT game, chance, sum(w1) AS s, sum(w1 + w2) AS t FROM draws d JOIN wide ON d.draw_id = wide.draw_id WHERE w1 >= 0 AND w2 >= 0 AND w1 + w2 > 0 GROUP BY game, chance)",
+        "SELECT g.game, c.chance, round((coalesce(s, 0) + 10e0 * 0.1e0) / (coalesce(t, 0) + 10e0), 9) AS share FROM g CROSS JOIN c LEFT JOIN o ON o.game = g.game AND o.chance = c.chance",
     ),
-    "chance_observations": _q(f"{WIDE}, {OBS}", "SELECT draw_id, game, chance, w1 AS successes, w1 + w2 AS trials FROM obs WHERE w1 + w2 > 0"),
-    "chance_posterior": _q(f"{WIDE}, {OBS}", "SELECT game, chance, round((sum(w1) + 10e0 * 0.1e0) / (sum(w1 + w2) + 10e0), 9) AS share FROM obs WHERE w1 + w2 > 0 GROUP BY game, chance"),
     "smoothed_walk_forward": _q(HIT, "SELECT draw_id, round(brier, 9) AS brier FROM brier"),
     "walk_forward_summary": _q(HIT, f"SELECT count(*) AS n, round(avg(brier), 9) AS brier, round(avg(brier - {5 * 44 / 49 / 49!r}e0), 9) AS delta, round(stddev_samp(brier) / sqrt(count(*)), 9) AS stderr FROM brier"),
     "top5_hits": _q(f"{PROB}, best AS (SELECT draw_date, number, row_number() OVER (PARTITION BY draw_date ORDER BY round(p, 12) DESC, number) AS r FROM prob)", lambda d: f"SELECT d.draw_id, {d.count_if('r <= 5')} AS hits FROM draws d JOIN draw_numbers m ON d.draw_id = m.draw_id JOIN best b ON b.draw_date = d.draw_date AND b.number = m.number GROUP BY d.draw_id"),
@@ -167,21 +178,18 @@ o AS (SELECT l.draw_id, count(b.number) AS overlap FROM linked l JOIN draw_numbe
     ),
     "poisson_deviance": _q(f"{WIDE}, {OBS}", f"SELECT draw_id, round(2e0 * (CASE WHEN w1 > 0 THEN w1 * ln(w1 / (tickets / {comb(49, 5) * 10}e0)) ELSE 0e0 END - (w1 - tickets / {comb(49, 5) * 10}e0)), 9) AS deviance FROM obs"),
     "binomial_deviance": _q(
-        f"{WIDE}, {OBS}",
-        "SELECT draw_id, round(2e0 * (CASE WHEN w1 > 0 THEN w1 * ln(w1 / ((w1 + w2) * 0.1e0)) ELSE 0e0 END + CASE WHEN w2 > 0 THEN w2 * ln(w2 / ((w1 + w2) * 0.9e0)) ELSE 0e0 END), 9) AS deviance FROM obs WHERE w1 + w2 > 0",
-    ),
-    "holm_adjust": _q(
-        f"n AS (SELECT game, count(*) AS n FROM draws GROUP BY game), c AS (SELECT game, chance, count(*) AS k FROM draws GROUP BY game, chance), p AS (SELECT c.game, chance, exp(-abs(k - n / 10e0) / sqrt(n * 0.09e0)) AS p FROM c JOIN n ON c.game = n.game), r AS (SELECT game, chance, p, row_number() OVER (PARTITION BY game ORDER BY p, chance) AS r, count(*) OVER (PARTITION BY game) AS m FROM p)",
-        "SELECT game, chance, round(p, 9) AS p, round(max(least(1e0, (m - r + 1) * p)) OVER (PARTITION BY game ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 9) AS adjusted FROM r",
+        WIDE,
+        "SELECT draw_id, round(2e0 * (CASE WHEN w1 > 0 THEN w1 * ln(w1 / ((w1 + w2) * 0.1e0)) ELSE 0e0 END + CASE WHEN w2 > 0 THEN w2 * ln(w2 / ((w1 + w2) * 0.9e0)) ELSE 0e0 END), 9) AS deviance FROM wide WHERE w1 >= 0 AND w2 >= 0 AND w1 + w2 > 0",
     ),
     # A ticket of 7, 14, 21, 28, 35 and chance 3 against every draw.
     "winning_ranks": _q(
         lambda d: f"h AS (SELECT draw_id, {d.count_if('number IN (7, 14, 21, 28, 35)')} AS m FROM draw_numbers GROUP BY draw_id), r AS (SELECT d.draw_id, CASE WHEN m = 5 THEN 1 WHEN m = 4 THEN 3 WHEN m = 3 THEN 5 WHEN m = 2 THEN 7 END AS main, m, chance = 3 AS c FROM draws d JOIN h ON d.draw_id = h.draw_id)",
         "SELECT CASE WHEN main IS NOT NULL THEN CASE WHEN c THEN main ELSE main + 1 END WHEN c THEN 9 ELSE 0 END AS rank, count(*) AS n FROM r GROUP BY 1",
     ),
+    # A draw whose code prizes aren't known has no value. Spark keeps the digits of a small share; the other side writes it out.
     "observed_schedule_ev": _q(
-        f"{WIDE}, {OBS}, c AS (SELECT draw_id FROM prizes WHERE payout IS NOT NULL GROUP BY draw_id HAVING count(DISTINCT rank) = 9), l AS (SELECT p.draw_id, sum({LOWER} * payout) AS ev FROM prizes p JOIN c ON p.draw_id = c.draw_id WHERE rank > 1 GROUP BY p.draw_id), lam AS (SELECT obs.*, tickets / {comb(49, 5) * 10}e0 AS lam FROM obs)",
-        f"SELECT l.draw_id, round(l.ev + CASE WHEN l.draw_id % 6 = 0 THEN 0e0 ELSE 200000e0 END / tickets + {rank_probability(1)!r} * jackpot * ((1e0 - exp(-lam)) / lam), 9) AS ev FROM l JOIN lam ON l.draw_id = lam.draw_id",
+        f"{WIDE}, {OBS}, c AS (SELECT draw_id FROM prizes WHERE payout IS NOT NULL GROUP BY draw_id HAVING count(DISTINCT rank) = 9), l AS (SELECT p.draw_id, sum({LOWER} * payout) AS ev FROM prizes p JOIN c ON p.draw_id = c.draw_id WHERE rank > 1 GROUP BY p.draw_id), lam AS (SELECT obs.*, (obs.draw_id % 11) * (20000e0 + tp % 1000) AS pool, tickets / {comb(49, 5) * 10}e0 AS lam FROM obs JOIN draws d ON obs.draw_id = d.draw_id WHERE obs.draw_id % 6 <> 0)",
+        lambda d: f"SELECT l.draw_id, round(l.ev + pool / tickets + {rank_probability(1)!r} * jackpot * ({'CASE WHEN lam = 0 THEN 1e0 ELSE -expm1(-lam) / lam END' if d.spark else '(1e0 - exp(-lam)) / lam'}), 9) AS ev FROM l JOIN lam ON l.draw_id = lam.draw_id",
     ),
     # Forecasts of a ledger stand for draws of even id, scores for those of ids divisible by four.
     "pending_forecasts": _q("forecasts AS (SELECT draw_id, game, draw_date FROM draws WHERE draw_id % 2 = 0), scores AS (SELECT draw_id FROM draws WHERE draw_id % 4 = 0)", "SELECT f.draw_id, game, draw_date FROM forecasts f LEFT JOIN scores s ON f.draw_id = s.draw_id WHERE s.draw_id IS NULL"),

@@ -30,20 +30,23 @@ def drain(scores: DataFrame, folder: str) -> DataFrame:
 
 
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as results (finished or not) of forecasts for even ids, by what share of their priority is finished."""
+    """Orders from SINCE on as results (finished or not), scored against what the orders before SINCE foretell for their priority."""
     static = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    rates = static.groupBy(F.col("o_orderpriority").alias("kind")).agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("forecast"))
-    forecasts = static.where("o_orderkey % 2 = 0").join(rates, F.col("o_orderpriority") == F.col("kind")).select(F.col("o_orderkey").alias("forecast_id"), "forecast")
+    known = static.where(F.col("o_orderdate") < F.lit(SINCE).cast("timestamp"))
+    rates = known.groupBy(F.col("o_orderpriority").alias("kind")).agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("forecast"))
+    forecasts = static.where(F.col("o_orderdate") >= F.lit(SINCE).cast("timestamp")).join(rates, F.col("o_orderpriority") == F.col("kind")).select(F.col("o_orderkey").alias("forecast_id"), "forecast")
     stream = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/orders.parquet*")
     results = stream.select(F.col("o_orderkey").alias("result_id"), F.col("o_orderdate").cast("timestamp").alias("observed_at"), (F.col("o_orderstatus") == "F").cast("int").alias("outcome"))
     out = drain(score_results(results, forecasts), f"{shared_dir(spark)}/stream-scores-{uuid.uuid4().hex}")
     return out.select("forecast_id", F.date_format("observed_at", "yyyy-MM-dd").alias("observed_on"), F.round("forecast", 9).alias("forecast"), "outcome", F.round("brier", 9).alias("brier"))
 
 
+#: Forecasts are made of what lies before this date.
+SINCE = "1998-01-01"
+
 QUERIES = {"stream_scores": stream_scores}
 ORACLE_SQL = {
-    "stream_scores": """WITH rates AS (SELECT o_orderpriority AS kind, avg(CASE WHEN o_orderstatus = 'F' THEN 1e0 ELSE 0e0 END) AS forecast FROM orders GROUP BY o_orderpriority)
-SELECT o_orderkey AS forecast_id, strftime(o_orderdate, '%Y-%m-%d') AS observed_on, round(forecast, 9) AS forecast, CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS INT) AS outcome,
-  round(pow(forecast - CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END, 2), 9) AS brier
-FROM orders JOIN rates ON o_orderpriority = kind WHERE o_orderkey % 2 = 0"""
+    "stream_scores": f"""WITH r AS (SELECT o_orderpriority AS k, count(*) FILTER (WHERE o_orderstatus = 'F') * 1e0 / count(*) AS f FROM orders WHERE o_orderdate < DATE '{SINCE}' GROUP BY 1),
+o AS (SELECT *, CAST(o_orderstatus = 'F' AS INT) AS y FROM orders WHERE o_orderdate >= DATE '{SINCE}')
+SELECT o_orderkey AS forecast_id, strftime(o_orderdate, '%Y-%m-%d') AS observed_on, round(f, 9) AS forecast, y AS outcome, round((f - y) * (f - y), 9) AS brier FROM o JOIN r ON r.k = o_orderpriority"""
 }
