@@ -52,7 +52,7 @@ def rake(cells: DataFrame, p: Mix, targets: dict[str, DataFrame] | None = None)
             given = targets[m].select(F.col("value").alias(m), F.col("share").cast("double").alias("_goal"))
         else:
             given = cells.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(p.power)).alias("_goal"))
-        goals[m] = stage(given.join(cells.select(m).distinct(), m).crossJoin(F.broadcast(given.agg(F.sum("_goal").alias("_all")))).select(m, (F.col("_goal") / F.col("_all")).alias("_goal")), f"goal-{m}", free=False)
+        goals[m] = stage(given.join(cells.select(m).distinct(), m).crossJoin(F.broadcast(given.agg(F.sum("_goal").alias("_all")))).select(m, (F.col("_goal") / F.col("_all")).alias("_goal")), f"goal-{m}")
     w = cells.withColumn("weight", F.col("tokens").cast("double"))
     for k in range(p.rounds):
         for m in MARGINS:
@@ -61,7 +61,7 @@ def rake(cells: DataFrame, p: Mix, targets: dict[str, DataFrame] | None = None)
             w = w.join(now, F.col(m) == F.col("_m")).withColumn("weight", F.col("weight") * F.col("_f")).drop("_m", "_f")
         if p.keep is not None:
             w = w.withColumn("weight", F.least(F.col("weight") * F.lit(budget), F.col("tokens").cast("double")))
-        w = stage(w, "raked", free=False)
+        w = stage(w, "raked")
         if k:
             drop(held)
         held = w
@@ -99,8 +99,8 @@ def sample(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", sourc
     cells = rows.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_n").alias("tokens")).where("tokens > 0")
     raked = rake(stage(cells, "cells"), p, targets)
     ratio = raked.withColumn("_r", F.col("weight") / F.col("tokens"))
-    top = stage(ratio, "ratios", free=False)
-    top = stage(top.crossJoin(F.broadcast(top.agg(F.max("_r").alias("_top")))).select(*(F.col(m).alias(f"_m{m}") for m in MARGINS), (F.col("_r") / F.col("_top") if p.keep is None else F.col("_r")).alias("_p")), "shares", free=False)
+    top = stage(ratio, "ratios")
+    top = stage(top.crossJoin(F.broadcast(top.agg(F.max("_r").alias("_top")))).select(*(F.col(m).alias(f"_m{m}") for m in MARGINS), (F.col("_r") / F.col("_top") if p.keep is None else F.col("_r")).alias("_p")), "shares")
     # A staged table has a known size: Spark sends it to all executors only if it is small.
     rows = rows.join(top, [F.col(f"_{m}") == F.col(f"_m{m}") for m in MARGINS], "left")
     u = F.conv(F.substring(F.md5(F.concat(F.lit(p.seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))

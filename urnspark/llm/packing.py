@@ -117,7 +117,7 @@ def running_offsets(keyed: DataFrame, order: list[str], size: str) -> DataFrame:
     from pyspark.sql import Window
 
     sums = ranged.groupBy("part").agg(F.sum(size).alias("sum"))
-    start = stage(sums.select("part", (F.sum("sum").over(Window.orderBy("part")) - F.col("sum")).alias("base")), "part-starts", free=False)
+    start = stage(sums.select("part", (F.sum("sum").over(Window.orderBy("part")) - F.col("sum")).alias("base")), "part-starts")
     within = F.sum(size).over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(size)
     return ranged.withColumn("within", within).join(F.broadcast(start), "part").withColumn("before", F.col("base") + F.col("within")).drop("part", "within", "base")
 

@@ -121,7 +121,7 @@ def cutoffs(labelled: DataFrame, rc: RiskControl) -> DataFrame:
         *(F.count_if(F.col("good") & over(f, c)).alias(f"g{i}") for i, (f, c) in enumerate(grid)),
         *(F.count_if(~F.col("good") & over(f, c)).alias(f"b{i}") for i, (f, c) in enumerate(grid)),
     )
-    sums = stage(sums.coalesce(1), "cutoff-counts", free=False)
+    sums = stage(sums.coalesce(1), "cutoff-counts")
     tried = max(1, sums.count()) * len(grid)
     allowed, level = rc.risk / len(rc.grids), (1.0 - rc.confidence) / tried
     best = []

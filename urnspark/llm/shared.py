@@ -7,7 +7,6 @@ import os
 import shutil
 import sys
 import tempfile
-import time
 import uuid
 from pathlib import Path
 
@@ -15,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
-BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 
@@ -32,35 +30,67 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def stage(df: DataFrame, name: str, *, codec: str = "zstd", free: bool = True) -> DataFrame:
+#: Staged folders that are still there.
+_staged: set[str] = set()
+
+
+def stage(df: DataFrame, name: str, *, codec: str = "zstd") -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors.
 
-    free: also lets Spark delete the shuffle files of what is now written.
+    Spark deletes the shuffle files of the write when it ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", codec).parquet(path)
-    del df
-    if free:
-        release(spark)
+    path, schema, before = folder(spark, name), df.schema, spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(schema).parquet(path)
     out._staged = path
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Spark deletes the shuffle files of plans that its driver has collected; it takes a second pass to find all."""
-    for pause in (0.3, 0.0):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(pause)
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path for tables that are appended to it and read together."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _staged:
+        atexit.register(_leave, spark)
+    _staged.add(path)
+    return path
+
+
+def append(df: DataFrame, path: str, k: int) -> DataFrame:
+    """df written as part k of a folder, and that part read again."""
+    df.write.option("compression", "zstd").parquet(f"{path}/k{k}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/k{k}")
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _delete(spark: SparkSession, paths) -> None:
+    sc = spark.sparkContext
+    for path in paths:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        _staged.discard(path)
 
 
 def drop(*tables: DataFrame) -> None:
     """Deletes staged tables that no later plan reads."""
     for df in tables:
-        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, [df._staged])
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this process has staged; call it once the results that read them are written."""
+    _delete(spark, list(_staged))
+
+
+def _leave(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:
+        clear(spark)
 
 
 def ship(spark: SparkSession) -> None:
@@ -79,9 +109,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def words_of(text):
-    """Column: the words of a text, between runs of BLANKS; none for null or blank text."""
-    t = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, BLANK_RUN))
+    """Column: the words of a text, between runs of blanks; none for null or blank text.
+
+    Most texts have no blank but spaces and line feeds, and a plain split is twice as fast as one by a pattern.
+    """
+    t = F.coalesce(text, F.lit(""))
+    odd = F.contains(t, F.lit("\t")) | F.contains(t, F.lit("\n")) | F.contains(t, F.lit("\r")) | F.contains(t, F.lit("\x0b")) | F.contains(t, F.lit("\x0c"))
+    return F.array_remove(F.when(odd, F.split(t, BLANK_RUN)).otherwise(F.split(t, " ")), "")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
