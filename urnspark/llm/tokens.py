@@ -4,21 +4,19 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
 
 import numpy as np
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 END_ID = 1
-#: Words that a worker remembers; a full memory is emptied.
-MEMORY = 800_000
+#: Words, and runs of words without a blank, that a worker remembers in each of two generations.
+WORDS, RUNS = 500_000, 300_000
 
 L = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Texts of these characters are split here as the files' own patterns split them.
 _plain = re.compile(rf"[\t\n\r -~¡-©«-±´¶-¸»¿×÷{L}]*")
-#: The files' patterns, for such texts.
+#: The file's pattern, for such texts.
 _split = {
-    BYTE_BPE: re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[0-9]+| ?[^\s0-9{L}]+|\s+(?!\S)|\s+"),
     WORD_BPE: re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[0-9]|[^\s0-9{L}]+"),
 }
 #: The printable stand-ins of bytes in byte-level vocabularies.
@@ -46,12 +44,36 @@ def _ranked(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+class Memory:
+    """What is made of a text that was met before; the older of two generations goes when the newer one is full."""
+
+    def __init__(self, make, size: int):
+        self.make, self.size = make, size
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def all(self, keys: list[str]) -> list[bytes]:
+        try:
+            return list(map(self.new.__getitem__, keys))
+        except KeyError:
+            out = []
+            for k in keys:
+                if (v := self.new.get(k)) is None:
+                    if (v := self.old.get(k)) is None:
+                        v = self.make(k)
+                    if len(self.new) >= self.size:
+                        self.old, self.new = self.new, {}
+                    self.new[k] = v
+                out.append(v)
+            return out
+
+
 class Encoder:
     """Encodes whole texts; equal to the library's encoding of each, special tokens in the text included.
 
-    Texts of plain Latin characters are split into words, and a word met before isn't merged again; or, where the
-    vocabulary has a file of ranks, are encoded from that. Other texts, and those with a special token's string, are
-    left to the library.
+    Texts of plain Latin characters are split at blanks where the vocabulary drops them, and a run that was met before
+    isn't encoded again; or, where the vocabulary has a file of ranks, are encoded from that. Other texts, and those with
+    a special token's string, are left to the library.
     """
 
     def __init__(self, path: str):
@@ -60,42 +82,29 @@ class Encoder:
         name = os.path.basename(path)
         self.tok = Tokenizer.from_file(path)
         self.split = _split.get(name)
-        self.lower = name == WORD_BPE
-        self.known: dict[str, tuple[int, ...]] = {}
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
         ranks = path.removesuffix(".json") + ".tiktoken"
         self.ranked = _ranked(ranks) if name == BYTE_BPE and os.path.exists(ranks) else None
+        self.words = Memory(self._word, WORDS)
+        self.runs = Memory(self._run, RUNS)
+
+    def _word(self, word: str) -> bytes:
+        y = word if word.isascii() else word.encode().decode("latin-1").translate(_stand_in)
+        return np.array([t.id for t in self.tok.model.tokenize(y)], dtype="<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > MEMORY:
-            self.known.clear()
-        merge, known = self.tok.model.tokenize, self.known
-        for x in words:
-            if x not in known:
-                y = x.replace(" ", "\u0120") if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(_stand_in)
-                known[x] = tuple([t.id for t in merge(y)])
+    def _run(self, run: str) -> bytes:
+        return b"".join(self.words.all(self.split.findall(run)))
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.split is None or not _plain.fullmatch(text) or (self.special and self.special.search(text)):
+        if (self.split is None and not self.ranked) or not _plain.fullmatch(text) or (self.special and self.special.search(text)):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         if self.ranked:
             return self.ranked.encode_to_numpy(text, disallowed_special=())
-        words = self.split.findall(text.lower() if self.lower else text)
-        out: list[int] = []
-        known = self.known
-        for a in range(0, len(words), 100_000):  # so that no text outgrows the memory
-            part = words[a : a + 100_000]
-            try:
-                out.extend(chain.from_iterable([known[x] for x in part]))
-            except KeyError:
-                self._learn(set(part))
-                out.extend(chain.from_iterable([known[x] if x in known else self._again(x) for x in part]))
-        return np.array(out, dtype=np.uint32)
-
-    def _again(self, word: str) -> tuple[int, ...]:
-        self._learn({word})
-        return self.known[word]
+        runs = text.lower().split()
+        # In parts, so that no text outgrows the memory.
+        parts = [b"".join(self.runs.all(runs[a : a + 100_000])) for a in range(0, len(runs), 100_000)]
+        return np.frombuffer(b"".join(parts), dtype="<u4")
 
 
 def encoder(path: str) -> Encoder:
