@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from urnspark.llm.shared import BLANK_RUN, drop, read, stage, words_of
@@ -40,31 +40,33 @@ def rake(cells: DataFrame, p: Mix, targets: dict[str, DataFrame] | None = None)
     """cells and weight: the token weights whose sums over each margin meet the targets, as near as the cells allow.
 
     cells: source, lang, topic, tokens (> 0); a row per combination that occurs, so their number is that of the
-    combinations and not of the rows. Each round scales the weights to one margin after another. The sums of a margin
-    are grouped and joined back; each round's result is staged, since each margin's plan holds the one before twice.
+    combinations and not of the rows. Each round scales the weights to one margin after another, by windows over the
+    cells of a value, and is staged.
     With p.keep the weights add up to that share of all tokens and none is above its cell's tokens: each round cuts what is
     above, and the next one rakes the excess onto the other cells.
     """
-    goals = {}
     budget = p.keep * float(cells.agg(F.sum("tokens")).first()[0] or 0) if p.keep is not None else 1.0
+    w = cells
     for m in MARGINS:
         if targets and m in targets:
-            given = targets[m].select(F.col("value").alias(m), F.col("share").cast("double").alias("_goal"))
+            given = targets[m].select(F.col("value").alias(m), F.col("share").cast("double").alias(f"goal_{m}"))
         else:
-            given = cells.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(p.power)).alias("_goal"))
-        goals[m] = stage(given.join(cells.select(m).distinct(), m).crossJoin(F.broadcast(given.agg(F.sum("_goal").alias("_all")))).select(m, (F.col("_goal") / F.col("_all")).alias("_goal")), f"goal-{m}")
-    w = cells.withColumn("weight", F.col("tokens").cast("double"))
+            given = cells.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(p.power)).alias(f"goal_{m}"))
+        total = given.agg(F.sum(f"goal_{m}").alias("goals"))
+        share = given.crossJoin(F.broadcast(total)).select(m, (F.col(f"goal_{m}") / F.col("goals")).alias(f"goal_{m}"))
+        w = w.join(share, m, "left")
+    w = w.select("source", "lang", "topic", "tokens", *(F.coalesce(f"goal_{m}", F.lit(0.0)).alias(f"goal_{m}") for m in MARGINS), F.col("tokens").cast("double").alias("weight"))
     for k in range(p.rounds):
         for m in MARGINS:
-            now = w.groupBy(m).agg(F.sum("weight").alias("_sum")).join(goals[m], m, "left")
-            now = now.select(F.col(m).alias("_m"), F.when(F.col("_sum") > 0, F.coalesce("_goal", F.lit(0.0)) / F.col("_sum")).otherwise(0.0).alias("_f"))
-            w = w.join(now, F.col(m) == F.col("_m")).withColumn("weight", F.col("weight") * F.col("_f")).drop("_m", "_f")
+            held_ = F.sum("weight").over(Window.partitionBy(m))
+            w = w.withColumn("_sum", held_).withColumn("weight", F.when(F.col("_sum") > 0, F.col("weight") * F.col(f"goal_{m}") / F.col("_sum")).otherwise(0.0)).drop("_sum")
         if p.keep is not None:
             w = w.withColumn("weight", F.least(F.col("weight") * F.lit(budget), F.col("tokens").cast("double")))
         w = stage(w, "raked")
         if k:
             drop(held)
         held = w
+    w = w.drop(*(f"goal_{m}" for m in MARGINS))
     return w if p.keep is None else filled(w, budget)
 
 
@@ -90,28 +92,30 @@ def sample(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", sourc
     Tokens are words between ASCII blanks. A document's probability is that of its cell: raked weight over tokens,
     scaled so that the greatest is 1, or with p.keep so that the kept tokens come to that share. It is kept if the hash of its id and the seed falls below; rows that repeat an id
     share their fate within a cell. Null values of a margin are the value ''. Texts without a word carry no weight: they
-    take their cell's probability, or 1 where the cell has no token. An empty table gives an empty one.
+    take their cell's probability, or 1 where the cell has no token. An empty table gives an empty one. A column _mix is
+    replaced; any other name may occur in docs.
     """
-    n = F.size(words_of(F.col(text))).cast("bigint")
-    rows = docs.withColumn("_n", n)
+    own = [c for c in docs.columns if c != "_mix"]
     margin = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = rows.withColumn("_source", margin(source)).withColumn("_lang", margin(lang)).withColumn("_topic", margin(topic) if topic else topics(F.col("_n")))
-    cells = rows.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_n").alias("tokens")).where("tokens > 0")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("doc"), F.col(id_col).alias("id"), F.size(words_of(F.col(text))).cast("bigint").alias("n"), margin(source).alias("source"), margin(lang).alias("lang"), (margin(topic) if topic else F.lit("")).alias("topic"))
+    if not topic:
+        rows = rows.withColumn("topic", topics(F.col("n")))
+    cells = rows.groupBy(*MARGINS).agg(F.sum("n").alias("tokens")).where("tokens > 0")
     raked = rake(stage(cells, "cells"), p, targets)
-    ratio = raked.withColumn("_r", F.col("weight") / F.col("tokens"))
-    top = stage(ratio, "ratios")
-    top = stage(top.crossJoin(F.broadcast(top.agg(F.max("_r").alias("_top")))).select(*(F.col(m).alias(f"_m{m}") for m in MARGINS), (F.col("_r") / F.col("_top") if p.keep is None else F.col("_r")).alias("_p")), "shares")
+    top = stage(raked.withColumn("r", F.col("weight") / F.col("tokens")), "ratios")
+    top = stage(top.crossJoin(F.broadcast(top.agg(F.max("r").alias("top")))).select(*(F.col(m).alias(f"to_{m}") for m in MARGINS), (F.col("r") / F.col("top") if p.keep is None else F.col("r")).alias("p")), "shares")
     # A staged table has a known size: Spark sends it to all executors only if it is small.
-    rows = rows.join(top, [F.col(f"_{m}") == F.col(f"_m{m}") for m in MARGINS], "left")
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(p.seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-    prob = F.coalesce("_p", F.lit(1.0))
-    mix = F.struct(*(F.col(f"_{m}").alias(m) for m in MARGINS), F.col("_n").alias("n_tokens"), prob.alias("probability"), (u < prob).alias("kept"))
-    return rows.withColumn("_mix", mix).select(*docs.columns, "_mix")
+    rows = rows.join(top, [F.col(m) == F.col(f"to_{m}") for m in MARGINS], "left")
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(p.seed + ":"), F.coalesce(F.col("id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    prob = F.coalesce("p", F.lit(1.0))
+    mix = F.struct(*MARGINS, F.col("n").alias("n_tokens"), prob.alias("probability"), (u < prob).alias("kept"))
+    return rows.select("doc.*", mix.alias("_mix"))
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents of the sample, of PIPELINE.keep of the tokens."""
-    return sample(docs, p=PIPELINE).where("_mix.kept").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("doc"), "doc_id", "text", "source", "lang")
+    return sample(rows, p=PIPELINE).where("_mix.kept").select("doc.*")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

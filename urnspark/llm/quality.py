@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urnspark.llm.shared import BLANK_RUN, drop, read, stage, words_of
+from urnspark.llm.shared import BLANK_RUN, read, stage, words_of
 
 
 @dataclass(frozen=True)
@@ -121,7 +121,7 @@ def cutoffs(labelled: DataFrame, rc: RiskControl) -> DataFrame:
         *(F.count_if(F.col("good") & over(f, c)).alias(f"g{i}") for i, (f, c) in enumerate(grid)),
         *(F.count_if(~F.col("good") & over(f, c)).alias(f"b{i}") for i, (f, c) in enumerate(grid)),
     )
-    sums = stage(sums.coalesce(1), "cutoff-counts")
+    sums = stage(sums, "cutoff-counts")
     tried = max(1, sums.count()) * len(grid)
     allowed, level = rc.risk / len(rc.grids), (1.0 - rc.confidence) / tried
     best = []
@@ -143,24 +143,26 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: s
     labels: doc_id, quality (1: good). A document that repeats in labels is good if every row says so; null quality
     counts for nothing. Strata are the values of a column, null as the empty string. Without labels, with an empty
     table, or where no cutoff is certified, only the base rule rejects. Rows that repeat are judged alike, each kept.
+    Columns _q and _kept are replaced; any other name may be carried. Columns _q and _kept
+    are replaced; any other name may be carried.
     """
-    rows = docs.select(*dict.fromkeys((id_col, text, stratum, *carry)))
-    rows = rows.withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
-    rows = stage(with_features(rows, text).select(*dict.fromkeys((id_col, *carry)), "_stratum", "_q"), "features")
-    good = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg((F.min("quality") == 1).alias("good"))
-    labelled = rows.select(F.col(id_col).alias("_id"), F.col("_stratum").alias("stratum"), "_q").join(good, "_id")
-    cut = stage(cutoffs(labelled, rc), "cutoffs")
+    own = [c for c in dict.fromkeys((id_col, *carry)) if c not in ("_q", "_kept")]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("doc"), F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"))
+    rows = stage(with_features(rows, "text").select("doc", "id", "stratum", "_q"), "features")
+    good = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg((F.min("quality") == 1).alias("good"))
+    cut = stage(cutoffs(rows.select("id", "stratum", "_q").join(good, "id"), rc), "cutoffs")
     # A staged table has a known size: Spark sends it to all executors only if it is small.
-    cut = cut.select(F.col("stratum").alias("_stratum"), F.struct(*(f for f, _ in rc.grids)).alias("_cut"))
+    cut = cut.select("stratum", F.struct(*(f for f, _ in rc.grids)).alias("cut"))
     passed = ~F.col("_q.base_failed")
     for f, _ in rc.grids:
-        passed = passed & ~F.coalesce(F.col(f"_q.{f}") > F.col(f"_cut.{f}"), F.lit(False))
-    return rows.join(cut, "_stratum", "left").withColumn("_kept", passed).drop("_cut")
+        passed = passed & ~F.coalesce(F.col(f"_q.{f}") > F.col(f"cut.{f}"), F.lit(False))
+    return rows.join(cut, "stratum", "left").select("doc.*", "_q", passed.alias("_kept"))
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that pass; a null text fails the base rule."""
-    return judge(docs, read(spark, sf_dir, "labels"), carry=tuple(docs.columns)).where("_kept").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("doc"), "doc_id", "text", "lang")
+    return judge(rows, read(spark, sf_dir, "labels"), carry=("doc",)).where("_kept").select("doc.*")
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
