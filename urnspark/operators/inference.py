@@ -11,7 +11,7 @@ from urnspark.operators.draws import HIT, PROB, _q
 
 UNIFORM = 5 * 44 / 49 / 49
 #: Replicates of a resampling test, and draws of a block.
-RUNS, BLOCK = 200, 20
+RUNS, BLOCK = 2000, 20
 
 #: Deltas of the Brier score against chance, placed by date: i counts from 0 with no window over all draws.
 DELTAS = f"""{HIT}, sdays AS (SELECT draw_date, coalesce(sum(count(*)) OVER (ORDER BY draw_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h, sum(count(*)) OVER () AS n FROM brier GROUP BY draw_date),
