@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from urnspark.llm.shared import drop, read, ship, stage
 
 #: The token at the end of each text. No word equals it, since words hold no blank.
-END = " "
+END = b" "
 
 
 @dataclass(frozen=True)
@@ -22,7 +23,7 @@ class Brown:
     """classes: of words. rounds: of exchange; in each, half of the words may move.
 
     A word is common if it makes up 2**-common of the training tokens or more; so there are at most 2**common, and with
-    longest its characters at most that table has a bound at any size of input. Only common words go to every task;
+    longest its bytes at most that table has a bound at any size of input. Only common words go to every task;
     all other words are joined. weight: of the class model against the word frequency. prior: of the class frequencies
     in a row of transitions, in tokens.
     """
@@ -36,28 +37,24 @@ class Brown:
     seed: int = 11
 
 
-def words(text: str) -> list[str]:
-    """The text's words with A-Z in lower case, then END."""
-    return [*text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").translate(_BLANK).split(" "), END] if not text.isascii() else [*text.lower().translate(_BLANK).split(" "), END]
+def words(text: str) -> list[bytes]:
+    """The text's words with A-Z in lower case, in UTF-8; bytes are split at the six ASCII blanks alone."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-_BLANK = str.maketrans("\t\n\x0b\x0c\r", "     ")
-
-
-def _counted(seen: Counter[str]) -> pd.DataFrame:
+def _counted(seen: Counter[bytes]) -> pd.DataFrame:
     return pd.DataFrame({"word": pd.Series(list(seen), dtype=object), "c": np.fromiter(seen.values(), dtype=np.int64, count=len(seen))})
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen: Counter[str] = Counter()
+    seen: Counter[bytes] = Counter()
     for x in batches:
         for t in x["text"]:
             seen.update(words(t))
+            seen[END] += 1
             if len(seen) > 400_000:
-                seen.pop("", None)
                 yield _counted(seen)
                 seen = Counter()
-    seen.pop("", None)
     yield _counted(seen).astype({"c": "int64"})
 
 
@@ -69,10 +66,10 @@ def _numbered(common) -> object:
         for x in batches:
             ids, rest = [], []
             for t in x["text"]:
-                w = [y for y in words(t) if y]
-                n = [at.get(y, -1) for y in w]
-                ids.append(np.array(n, dtype=np.int32).tobytes())
-                rest.append([y for y, i in zip(w, n) if i < 0])
+                w = [*words(t), END]
+                n = np.fromiter(map(at.get, w, repeat(-1)), dtype=np.int32, count=len(w))
+                ids.append(n.tobytes())
+                rest.append([w[i] for i in np.flatnonzero(n < 0).tolist()])
             yield pd.DataFrame({"id": x["id"], "row": x["row"], "held": x["held"], "ids": ids, "rest": rest})
 
     return run
@@ -81,6 +78,19 @@ def _numbered(common) -> object:
 BLOCK = 1024
 
 
+def _joined(raws) -> Iterator[np.ndarray]:
+    """The ids of many texts one after another, some two million at a time."""
+    held, n = [], 0
+    for raw in raws:
+        held.append(raw)
+        n += len(raw)
+        if n >= 1 << 23:
+            yield np.frombuffer(b"".join(held), dtype=np.int32)
+            held, n = [], 0
+    if held:
+        yield np.frombuffer(b"".join(held), dtype=np.int32)
+
+
 def _contexts(classes, first: int) -> object:
     """block, cells: of the words before first, how often each class stands before and after, as dense int64 blocks."""
 
@@ -89,15 +99,17 @@ def _contexts(classes, first: int) -> object:
         cells = np.zeros(first * 2 * k, dtype=np.int64)
         end = int(cls[-1])  # the class of END stands before each text
         for x in batches:
-            for raw in x["ids"]:
-                ids = np.frombuffer(raw, dtype=np.int32)
+            for ids in _joined(x["ids"]):
                 c = np.where(ids >= 0, cls[ids], -1)
+                # Each text ends with END, so the place before a text's first word has END's class, and nothing is after END.
                 before = np.r_[end, c[:-1]]
                 after = np.r_[c[1:], -1]
+                after[ids == len(cls) - 1] = -1
                 ok = (ids >= 0) & (ids < first)
                 for side, near in ((0, before), (1, after)):
                     m = ok & (near >= 0)
-                    np.add.at(cells, ids[m].astype(np.int64) * (2 * k) + side * k + near[m], 1)
+                    at, n = np.unique(ids[m].astype(np.int64) * (2 * k) + side * k + near[m], return_counts=True)
+                    cells[at] += n
         rows = cells.reshape(first, 2 * k)
         part = [(b, rows[b * BLOCK : (b + 1) * BLOCK]) for b in range(-(-first // BLOCK))]
         yield pd.DataFrame({"block": [b for b, r in part if r.any()], "cells": [r.astype("<i8").tobytes() for _, r in part if r.any()]})
@@ -169,7 +181,7 @@ def exchange(ctx: np.ndarray, cls: np.ndarray, k: int, may: np.ndarray) -> np.nd
     return new
 
 
-def _neared(seen: Counter[tuple[str, int]]) -> pd.DataFrame:
+def _neared(seen: Counter[tuple[bytes, int]]) -> pd.DataFrame:
     n = len(seen)
     return pd.DataFrame({"word": pd.Series([w for w, _ in seen], dtype=object), "near": np.fromiter((c for _, c in seen), dtype=np.int32, count=n), "n": np.fromiter(seen.values(), dtype=np.int64, count=n)})
 
@@ -180,7 +192,7 @@ def _rest_contexts(classes) -> object:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cls, k = classes.value
         end = int(cls[-1])
-        seen: Counter[tuple[str, int]] = Counter()
+        seen: Counter[tuple[bytes, int]] = Counter()
         for x in batches:
             for raw, rest in zip(x["ids"], x["rest"], strict=True):
                 ids = np.frombuffer(raw, dtype=np.int32)
@@ -202,50 +214,87 @@ def _assign(log_next: np.ndarray) -> object:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             m = np.zeros((len(x), k + 1))
-            at = np.repeat(np.arange(len(x)), [len(s) for s in x["near"]])
-            near = np.array([e["near"] for s in x["near"] for e in s], dtype=np.int64)
-            n = np.array([e["n"] for s in x["near"] for e in s], dtype=float)
-            np.add.at(m, (at, near), n)  # -1 falls in the last column
+            if len(x):
+                at = np.repeat(np.arange(len(x)), [len(s) for s in x["near"]])
+                np.add.at(m, (at, np.concatenate(x["near"].to_numpy()).astype(np.int64)), np.concatenate(x["n"].to_numpy()).astype(float))  # -1 falls in the last column
             yield pd.DataFrame({"word": x["word"], "c": x["c"], "cls": np.argmax(m[:, :k] @ log_next, axis=1).astype("int32")})
 
     return run
 
 
+def _read(raw: bytes, slot, c, kind, cls: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class and count of each token of a text; -1 and 0 where training didn't have it."""
+    ids = np.frombuffer(raw, dtype=np.int32)
+    k, n = np.where(ids >= 0, cls[ids], -1).astype(np.int64), np.where(ids >= 0, count[ids], 0).astype(float)
+    if slot is not None and len(slot):
+        at = np.flatnonzero(ids < 0)[np.asarray(slot, dtype=np.int64)]
+        k[at], n[at] = kind, c
+    return k, n
+
+
+def _bigrams(sent) -> object:
+    """cells: how often a class follows another, over all tokens of the texts; one dense table for a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cls, count, k = sent.value
+        cells = np.zeros(k * k, dtype=np.int64)
+        for x in batches:
+            for raw, slot, c, kind in zip(x["ids"], x["slot"], x["c"], x["kind"], strict=True):
+                now, _ = _read(raw, slot, c, kind, cls, count)
+                before = np.r_[int(cls[-1]), now[:-1]]
+                ok = (now >= 0) & (before >= 0)
+                cells += np.bincount(before[ok] * k + now[ok], minlength=k * k)
+        yield pd.DataFrame({"at": np.arange(k * k), "n": cells})
+
+    return run
+
+
 def _score(model) -> object:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cls, count, total, kinds, logs, p_class, size, unseen, weight = model.value
-        end, k = int(cls[-1]), len(p_class)
+        cls, count, total, kinds, logs, size, unseen, weight = model.value
         for x in batches:
             out = []
-            for raw, got in zip(x["ids"], x["got"], strict=True):
-                ids = np.frombuffer(raw, dtype=np.int32)
-                c, n = np.where(ids >= 0, cls[ids], -1).astype(np.int64), np.where(ids >= 0, count[ids], 0).astype(float)
-                if got is not None and len(got):
-                    rest = np.flatnonzero(ids < 0)
-                    slot = rest[[e["slot"] for e in got]]
-                    c[slot], n[slot] = [e["cls"] for e in got], [e["c"] for e in got]
-                before = np.r_[end, c[:-1]]
+            for raw, slot, c, kind in zip(x["ids"], x["slot"], x["c"], x["kind"], strict=True):
+                now, n = _read(raw, slot, c, kind, cls, count)
+                before = np.r_[int(cls[-1]), now[:-1]]
                 known = n > 0
                 # A class of -1 before: the class frequencies, the last row.
-                move = logs[before[known], c[known]]
-                p = (1 - unseen) * (weight * move * n[known] / size[c[known]] + (1 - weight) * n[known] / total)
-                base = np.log10((n + 1) / (total + kinds + 1)).sum()
-                out.append((len(ids), int(known.sum()), base, float(np.log10(p).sum() + (~known).sum() * np.log10(unseen))))
-            y = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"])
-            yield pd.DataFrame({"doc_id": x["id"].values, "held_out": x["held"].values, "n_tokens": y["n_tokens"], "n_known": y["n_known"], "train_tokens": total, "base_score": y["base_score"], "score": y["score"]})
+                move = logs[before[known], now[known]]
+                p = (1 - unseen) * (weight * move * n[known] / size[now[known]] + (1 - weight) * n[known] / total)
+                base, own = np.log10((n + 1) / (total + kinds + 1)), float(np.log10(p).sum())
+                out.append((len(n), int(known.sum()), total, float(base.sum()), own + float((~known).sum() * np.log10(unseen)), own, float(base[known].sum())))
+            y = pd.DataFrame(out, columns=["n_tokens", "n_known", "train_tokens", "base_score", "score", "known_score", "known_base"])
+            yield pd.concat([pd.DataFrame({"doc_id": x["id"].values, "held_out": x["held"].values}), y], axis=1)
 
     return run
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", p: Brown = Brown()) -> DataFrame:
-    """A row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
+@dataclass
+class Fitted:
+    """A fitted model and the texts it was fitted beside.
 
-    Rows whose crc32 of the id as text leaves 2 by 7 are held out; the others train. Exchange clustering gives the
-    common words their classes from counts over all training texts; END is one of them. Other words get the class that
-    is likeliest after the classes before them. A known word's probability mixes transition times emission with its
-    frequency; all unseen words share, as one, the share of training tokens that are the only one of their word
-    (Good-Turing). So the probabilities of known words and the unseen one sum to 1 after any word. Null and empty texts
-    have END alone. With no training text every token is unseen and scores are 0.
+    texts: id, held, ids, and of the words that aren't common slot, c, kind. common, count, cls: the common words, END last.
+    rare: word, c, cls. table: rows of transitions, and the class frequencies last. size: tokens of a class. unseen: the
+    probability of all other words together.
+    """
+
+    texts: DataFrame
+    common: list[bytes]
+    count: np.ndarray
+    cls: np.ndarray
+    rare: DataFrame
+    table: np.ndarray
+    size: np.ndarray
+    total: int
+    kinds: int
+    unseen: float
+    weight: float
+
+
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", p: Brown = Brown()) -> Fitted:
+    """Classes from exchange over the common words' contexts in all training texts; other words by the classes before them.
+
+    Transitions are then counted over all training tokens, rare words included.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -253,17 +302,17 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", p: Bro
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumn("held", F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % 7 == 2)
     kind = rows.schema["id"].dataType.simpleString()
-    counts = rows.where("not held").select("text").mapInPandas(_counts, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    counts = rows.where("not held").select("text").mapInPandas(_counts, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
     counts = stage(counts, "word-counts")
     t = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("one")).first()
     total, kinds = int(t["n"]), int(t["v"])
     unseen = max(int(t["one"]), 1) / (total + 1)
-    freq = counts.where((F.col("c") * (1 << p.common) >= total) & (F.length("word") <= p.longest) & (F.col("word") != END)).orderBy(F.desc("c"), "word").collect()
-    ends = counts.where(F.col("word") == END).collect()
-    common = [r["word"] for r in freq] + [END]
+    freq = counts.where((F.col("c") * (1 << p.common) >= total) & (F.length("word") <= p.longest) & (F.col("word") != F.lit(END))).orderBy(F.desc("c"), "word").collect()
+    ends = counts.where(F.col("word") == F.lit(END)).collect()
+    common = [bytes(r["word"]) for r in freq] + [END]
     count = np.array([r["c"] for r in freq] + [ends[0]["c"] if ends else 0], dtype=np.int64)
     sent = sc.broadcast(common)
-    made = stage(rows.mapInPandas(_numbered(sent), f"id {kind}, row bigint, held boolean, ids binary, rest array<string>"), "numbered")
+    made = stage(rows.mapInPandas(_numbered(sent), f"id {kind}, row bigint, held boolean, ids binary, rest array<binary>"), "numbered")
     train = made.where("not held")
     k, f = p.classes, len(common)
     rng = np.random.default_rng(p.seed)
@@ -284,24 +333,47 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", p: Bro
     smooth = lambda m, q: (m + p.prior * q) / (m.sum(axis=1, keepdims=True) + p.prior)
     log_next = np.log(smooth(moves, share / share.sum()))
     sent2 = sc.broadcast((cls, k))
-    near = train.where(F.size("rest") > 0).select("ids", "rest").mapInPandas(_rest_contexts(sent2), "word string, near int, n bigint")
-    near = near.groupBy("word", "near").agg(F.sum("n").alias("n")).groupBy("word").agg(F.sum("n").alias("c"), F.collect_list(F.struct("near", "n")).alias("near"))
-    rare = stage(near.mapInPandas(_assign(log_next), "word string, c bigint, cls int"), "rare-words")
+    near = train.where(F.size("rest") > 0).select("ids", "rest").mapInPandas(_rest_contexts(sent2), "word binary, near int, n bigint")
+    near = near.groupBy("word", "near").agg(F.sum("n").alias("n")).groupBy("word").agg(F.sum("n").alias("c"), F.collect_list("near").alias("near"), F.collect_list("n").alias("n"))
+    rare = stage(near.mapInPandas(_assign(log_next), "word binary, c bigint, cls int"), "rare-words")
     size = np.bincount(cls, weights=count, minlength=k).astype(float)
     for r in rare.groupBy("cls").agg(F.sum("c").alias("c")).collect():  # a row per class
         size[r["cls"]] += r["c"]
     p_class = size / max(size.sum(), 1.0)
-    # Other words take part in the transitions as their classes' tokens.
-    grow = np.where(moves.sum(axis=0) > 0, size / np.maximum(np.bincount(cls, weights=count, minlength=k), 1.0), 1.0)
-    table = np.vstack([smooth(moves * grow, p_class), p_class])
     asked = made.where(F.size("rest") > 0).select("row", F.posexplode("rest").alias("slot", "word"))
-    got = asked.join(rare, "word").groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("slot", "c", "cls")).alias("got"))
-    both = made.join(got, F.col("row") == F.col("_row"), "left").select("id", "held", "ids", "got")
-    model = sc.broadcast((cls, count, total, kinds, table, p_class, np.maximum(size, 1.0), min(unseen, 1.0), p.weight))
-    out = both.mapInPandas(_score(model), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    got = asked.join(rare, "word").groupBy(F.col("row").alias("_row")).agg(F.collect_list("slot").alias("slot"), F.collect_list("c").alias("c"), F.collect_list("cls").alias("kind"))
+    texts = stage(made.join(got, F.col("row") == F.col("_row"), "left").select("id", "held", "ids", "slot", "c", "kind"), "classed")
+    drop(made)
+    cells = texts.where("not held").select("ids", "slot", "c", "kind").mapInPandas(_bigrams(sc.broadcast((cls, count, k))), "at bigint, n bigint")
+    moves = np.zeros(k * k)
+    for r in cells.groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row per pair of classes
+        moves[r["at"]] = r["n"]
+    table = np.vstack([smooth(moves.reshape(k, k), p_class), p_class])
+    return Fitted(texts, common, count, cls, rare, table, np.maximum(size, 1.0), total, kinds, min(unseen, 1.0), p.weight)
+
+
+def scored(m: Fitted) -> DataFrame:
+    """A row for each text: its scores by the model and by the base, with and without the words that training didn't have."""
+    model = m.texts.sparkSession.sparkContext.broadcast((m.cls, m.count, m.total, m.kinds, m.table, m.size, m.unseen, m.weight))
+    kind = m.texts.schema["id"].dataType.simpleString()
+    out = m.texts.mapInPandas(_score(model), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, known_score double, known_base double")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), F.least(F.lit(300.0), -F.col("score") / F.col("n_tokens"))))
 
 
+def score(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", p: Brown = Brown()) -> DataFrame:
+    """A row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, known_score, known_base, perplexity.
+
+    Rows whose crc32 of the id as text leaves 2 by 7 are held out; the others train. Exchange clustering gives the
+    common words their classes from counts over all training texts; END is one of them. Other words get the class that
+    is likeliest after the classes before them. A known word's probability mixes transition times emission with its
+    frequency; all unseen words share, as one, the share of training tokens that are the only one of their word
+    (Good-Turing). So the probabilities of known words and the unseen one sum to 1 after any word, and a text with unseen
+    words isn't told which they were; known_score and known_base leave these words out. Null and empty texts have END
+    alone. With no training text every token is unseen and scores are 0. Ties between words go by their bytes.
+    """
+    return scored(fit(docs, id_col=id_col, text=text, p=p))
+
+
 def op2_class_ngrams(spark, sf_dir: str) -> DataFrame:
     return score(read(spark, sf_dir, "documents"))
 
