@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urnspark.llm.graph import components
-from urnspark.llm.shared import drop, read, ship, stage
+from urnspark.llm.shared import append, drop, folder, read, ship, stage
 
 
 @dataclass(frozen=True)
@@ -22,7 +22,8 @@ class OrderMinHash:
 
     num/den: the least similarity. Two long texts of similarity s share a sketch with about s ** picks, and any of 20 with
     0.9997 at 0.8; 0.006 at 0.2. Short ones share fewer (0.998 for 9 of 10 k-mers each), so pairs in which a text has
-    fewer than short k-mers have exact keys as well. stars: rounds in which a bucket's texts meet one of them, before all the others.
+    fewer than short k-mers have exact keys as well. stars: the most rounds in which a bucket's texts meet one of them,
+    before all pairs that are still apart; they end when one finds few links. marks: bits of a text's k-mer parities.
     """
 
     k: int = 5
@@ -30,8 +31,9 @@ class OrderMinHash:
     sketches: int = 20
     num: int = 4
     den: int = 5
-    stars: int = 3
+    stars: int = 12
     short: int = 10
+    marks: int = 2048
     seed: int = 12345
 
 
@@ -94,10 +96,14 @@ def exact_keys(h: np.ndarray, p: OrderMinHash) -> np.ndarray:
     return _mix(np.sort(h)[: n - need + 1] ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)
 
 
-def parities(h: np.ndarray) -> np.ndarray:
-    """256 bits in four integers: for each value of the hash's last byte, whether an odd number of k-mers has it."""
-    odd = (np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
-    return np.packbits(odd).view("<i8")
+def parities(h: np.ndarray, bits: int) -> np.ndarray:
+    """A bit for each value of the hash's last bits: whether an odd number of k-mers has it; in bytes."""
+    return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+
+
+def folded(marks: np.ndarray) -> np.ndarray:
+    """Parities by fewer bits, 256 in four integers: the exclusive or of a text's parities in blocks."""
+    return np.bitwise_xor.reduce(marks.reshape(-1, 32), axis=0).view("<i8")
 
 
 def aligned(a: np.ndarray, b: np.ndarray, p: OrderMinHash) -> bool:
@@ -132,7 +138,23 @@ def _sketches(p: OrderMinHash):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             h = [kmers(t, p.k) for t in x["text"]]
-            yield pd.DataFrame({"id": x["id"], "ck": x["ck"], "keys": [np.r_[sketch(y, p), exact_keys(y, p)] for y in h], "size": [len(y) for y in h], "bits": [parities(y) for y in h]})
+            marks = [parities(y, p.marks) for y in h]
+            yield pd.DataFrame({"id": x["id"], "ck": x["ck"], "keys": [np.r_[sketch(y, p), exact_keys(y, p)] for y in h], "size": [len(y) for y in h], "bits": [folded(m) for m in marks], "marks": [m.tobytes() for m in marks]})
+
+    return run
+
+
+def _may(p: OrderMinHash):
+    """Leaves out pairs whose parities by all bits rule the similarity out: a bit that differs is a k-mer that one text lacks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            if len(x):
+                a, b = (np.frombuffer(b"".join(x[c]), dtype=np.uint64).reshape(len(x), -1) for c in ("mu", "mv"))
+                both = x["nu"].to_numpy() + x["nv"].to_numpy()
+                need = -(-p.num * both // (p.num + p.den))
+                x = x[both - np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) >= 2 * need]
+            yield x[["u", "v"]]
 
     return run
 
@@ -166,16 +188,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("id", F.md5(F.col("text").cast("binary")).alias("ck"), "text")
     id_type = rows.schema["id"].dataType.simpleString()
-    made = stage(rows.mapInPandas(_sketches(p), f"id {id_type}, ck string, keys array<bigint>, size bigint, bits array<bigint>"), "sketches")
-    node = made.groupBy("ck").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.first(F.struct("size", *(F.col("bits")[i].alias(f"b{i}") for i in range(4)))).alias("own"))
+    made = stage(rows.mapInPandas(_sketches(p), f"id {id_type}, ck string, keys array<bigint>, size bigint, bits array<bigint>, marks binary"), "sketches")
+    node = made.groupBy("ck").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.first(F.struct("size", *(F.col("bits")[i].alias(f"b{i}") for i in range(4)))).alias("own"), F.first("marks").alias("marks"))
     node = stage(node, "texts")
     flat = node.select("ck", F.explode("keys").alias("key"))
     shared = flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets = stage(flat.join(shared, "key", "left_semi"), "buckets")
-    inside = stage(buckets.select("ck").distinct(), "bucket-texts", free=False)
+    inside = stage(buckets.select("ck").distinct(), "bucket-texts")
     words = rows.join(inside, "ck", "left_semi").dropDuplicates(["ck"]).select("ck", "text")
     words = stage(words, "candidate-texts")
-    own = stage(node.join(inside, "ck", "left_semi").select("ck", "own"), "bucket-sizes", free=False)
+    own = stage(node.join(inside, "ck", "left_semi").select("ck", "own"), "bucket-sizes")
+    marked = stage(node.join(inside, "ck", "left_semi").select("ck", "own.size", "marks"), "bucket-marks")
     labels = inside.select(F.col("ck").alias("node"), F.col("ck").alias("label"))
 
     def may(u: str, v: str):
@@ -186,26 +209,41 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         return (F.least(F.col(f"{u}.size"), F.col(f"{v}.size")) >= need) & (both - differ >= 2 * need)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(words.select(F.col("ck").alias("u"), F.col("text").alias("tu")), "u").join(words.select(F.col("ck").alias("v"), F.col("text").alias("tv")), "v")
-        return stage(pairs.mapInPandas(_verify(p), "u string, v string"), "near-links")
-
-    for k in range(p.stars + 1):
-        at = buckets.join(labels.select(F.col("node").alias("ck"), "label").join(own, "ck"), "ck")
-        if k < p.stars:
-            # One text of each bucket whose texts have different labels.
-            one = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("ck", F.lit(k)).alias("h"), "ck", "label", "own")).alias("m"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
-            pairs = at.join(one.select("key", F.col("m.ck").alias("_c"), F.col("m.label").alias("_l"), F.col("m.own").alias("_own")), "key").where((F.col("label") != F.col("_l")) & may("own", "_own")).select(F.col("ck").alias("u"), F.col("_c").alias("v"))
-        else:
-            open_ = at.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-            at = stage(at.join(open_, "key", "left_semi"), "open-buckets", free=False)
-            pairs = at.select("key", F.col("ck").alias("u"), F.col("label").alias("lu"), F.col("own").alias("ou")).join(at.select("key", F.col("ck").alias("v"), F.col("label").alias("lv"), F.col("own").alias("ov")), "key").where((F.col("lu") < F.col("lv")) & may("ou", "ov")).select("u", "v")
-        pairs = stage(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+        mu, mv = (marked.select(F.col("ck").alias(c), F.col("size").alias(f"n{c}"), F.col("marks").alias(f"m{c}")) for c in "uv")
+        close = stage(pairs.join(mu, "u").join(mv, "v").mapInPandas(_may(p), "u string, v string"), "close-pairs")
+        texts = close.join(words.select(F.col("ck").alias("u"), F.col("text").alias("tu")), "u").join(words.select(F.col("ck").alias("v"), F.col("text").alias("tv")), "v")
+        out = stage(texts.mapInPandas(_verify(p), "u string, v string"), "near-links")
+        drop(close)
+        return out
+
+    path = folder(spark, "near-pairs")
+
+    def met(pairs: DataFrame, k: int) -> DataFrame:
+        """Links among pairs that haven't met in an earlier round."""
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         if k:
-            pairs_new = pairs.join(tried, ["u", "v"], "left_anti")
-            tried = tried.union(pairs)
-        else:
-            pairs_new, tried = pairs, pairs
-        labels = components(labels, linked(pairs_new))
+            pairs = pairs.join(spark.read.schema(pairs.schema).parquet(f"{path}/*"), ["u", "v"], "left_anti")
+        return linked(append(pairs, path, k))
+
+    at = lambda: buckets.join(labels.select(F.col("node").alias("ck"), "label").join(own, "ck"), "ck")
+    most = 0
+    for k in range(p.stars):
+        # One text of each bucket whose texts have different labels.
+        now = at()
+        one = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("ck", F.lit(k)).alias("h"), "ck", "label", "own")).alias("m"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+        one = one.select("key", F.col("m.ck").alias("v"), F.col("m.label").alias("lv"), F.col("m.own").alias("ov"))
+        links = met(now.join(one, "key").where((F.col("label") != F.col("lv")) & may("own", "ov")).select(F.col("ck").alias("u"), "v"), k)
+        n = links.count()
+        if n:
+            labels = components(labels, links)
+        most = max(most, n)
+        if n * 20 <= most:
+            break
+    now = at()
+    open_ = now.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+    now = stage(now.join(open_, "key", "left_semi"), "open-buckets")
+    x, y = (now.select("key", F.col("ck").alias(c), F.col("label").alias(f"l{c}"), F.col("own").alias(f"o{c}")) for c in "uv")
+    labels = components(labels, met(x.join(y, "key").where((F.col("lu") < F.col("lv")) & may("ou", "ov")).select("u", "v"), p.stars))
     all_ = node.join(labels.select(F.col("node").alias("ck"), "label"), "ck", "left").select("ck", "first", F.coalesce("label", "ck").alias("label"))
     groups = all_.groupBy("label").agg(F.min("first").alias("class_id"), F.count(F.lit(1)).alias("n_texts"))
     classes = stage(all_.join(groups, "label").select("ck", "class_id", "n_texts"), "classes")
@@ -214,12 +252,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
 
 def neardup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class, the document with the least id; of equal rows, one."""
-    keep = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("ck").alias("_k")).distinct()
+    keep = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "ck")
     # Rows that share the least id but not the text: one text stays.
-    keep = stage(keep.groupBy("_id").agg(F.min("_k").alias("_k")), "kept")
-    key = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    out = docs.withColumn("_ck", key).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_ck") == F.col("_k")), "left_semi")
-    return out.dropDuplicates(["doc_id", "_ck"]).select(*docs.columns)
+    keep = stage(keep.groupBy(F.col("doc_id").alias("id")).agg(F.min("ck").alias("ck")), "kept")
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("to"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("own"))
+    out = rows.join(keep, F.col("to").eqNullSafe(F.col("id")) & (F.col("own") == F.col("ck")), "left_semi")
+    return out.dropDuplicates(["to", "own"]).select("doc.*")
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
