@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from urnspark.llm import lines, mixing, packing, neardup, quality, scoring, secrets, store, chat, audio
+from urnspark.llm import audio, chat, lines, manifest, mixing, neardup, packing, quality, scoring, secrets, store
 
-MODULES = (chat, scoring, secrets, packing, quality, neardup, store, lines, mixing, audio)
+MODULES = (chat, scoring, secrets, packing, quality, neardup, store, lines, mixing, audio, manifest)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
