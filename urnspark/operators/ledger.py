@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from math import comb
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from urnspark.functions.predicates import recording_open
 from urnspark.operators.forecasts import DRAWN, EXPECTED, POOL, smoothed
 from urnspark.plans import lift
+from urnspark.plans.staging import folder
 
 GENESIS = "0" * 64
 #: Scores that a cohort is judged on; its first ones.
@@ -164,7 +164,7 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _filled(spark: SparkSession, sf_dir: str) -> str:
-    path = f"{lift.shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    path = folder(spark, "ledger")
     record(spark, path, proposals(spark, sf_dir))
     score_pending(spark, path, lift.table(spark, sf_dir, "draws"), F.lit("2030-01-01 00:00:00").cast("timestamp"))
     return path

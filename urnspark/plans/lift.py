@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from urnspark.plans.staging import folder
+
 #: The views in SQL, for the checking side. Five distinct numbers per order that has as many residues.
 LIFT = """nums AS (SELECT DISTINCT l_orderkey AS k, CAST(l_partkey % 49 + 1 AS BIGINT) AS n FROM lineitem),
 ranked AS (SELECT k, n, row_number() OVER (PARTITION BY k ORDER BY (n * 31 + k * 17) % 53) AS rn, count(*) OVER (PARTITION BY k) AS c FROM nums),
@@ -36,18 +33,6 @@ prizes AS (SELECT draw_id, CAST(rank AS INT) AS rank,
   FROM draws CROSS JOIN base)"""
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where unset, a local one, for a local master only."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="urnspark-draws-")
-    atexit.register(shutil.rmtree, own, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
 def lifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """draw_id, draw_date, game, chance, ck, tp, numbers (five, in the lifting's order) of each order with five residues.
 
@@ -98,7 +83,7 @@ def tables(spark: SparkSession, sf_dir: str) -> str:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _kept:
-        path = f"{shared_dir(spark)}/lifted-{uuid.uuid4().hex}"
+        path = folder(spark, "lifted")
         write = lambda df, name: (df.write.parquet(f"{path}/{name}"), spark.read.parquet(f"{path}/{name}"))[1]
         draws = write(lifted(spark, sf_dir), "draws")
         by_day = write(days(draws).coalesce(1), "days")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urnspark.plans.lift import shared_dir
+from urnspark.plans.staging import folder
 
 
 def score_results(results: DataFrame, forecasts: DataFrame, *, late: str = "7 days") -> DataFrame:
@@ -37,7 +36,7 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     forecasts = static.where(F.col("o_orderdate") >= F.lit(SINCE).cast("timestamp")).join(rates, F.col("o_orderpriority") == F.col("kind")).select(F.col("o_orderkey").alias("forecast_id"), "forecast")
     stream = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/orders.parquet*")
     results = stream.select(F.col("o_orderkey").alias("result_id"), F.col("o_orderdate").cast("timestamp").alias("observed_at"), (F.col("o_orderstatus") == "F").cast("int").alias("outcome"))
-    out = drain(score_results(results, forecasts), f"{shared_dir(spark)}/stream-scores-{uuid.uuid4().hex}")
+    out = drain(score_results(results, forecasts), folder(spark, "stream-scores"))
     return out.select("forecast_id", F.date_format("observed_at", "yyyy-MM-dd").alias("observed_on"), F.round("forecast", 9).alias("forecast"), "outcome", F.round("brier", 9).alias("brier"))
 
 
