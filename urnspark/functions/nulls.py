@@ -9,7 +9,7 @@ import numpy as np
 from urnspark.functions.probability import DRAWN, POOL
 
 #: Cells of the grid that the law is summed on, at most.
-CELLS = 1 << 24
+CELLS = 1 << 20
 
 
 def hits_law(above: int, tied: int, left: int) -> dict[tuple[int, int], float]:
@@ -23,8 +23,8 @@ def upper_tail(structures: dict[tuple[int, int, int], int], total: float) -> tup
 
     Hits are above's and left/tied of the tie's, so all sums lie on a grid of the denominators' least multiple. Laws are
     convolved as powers of their transforms, on a circle as wide as twelve deviations each way: what lies beyond is less
-    than 1e-32. Where the grid would have too many cells, hits are rounded up to a coarser one, and the result is an
-    upper bound.
+    than 1e-32. Where the grid would have too many cells, a coarser one takes each value's chance at its two neighbours so
+    that the mean stays, and the result is near.
     """
     laws = {s: hits_law(*s) for s in structures}
     value = lambda s, a, t: a + s[2] * t / s[1] if s[1] else float(a)
@@ -47,7 +47,10 @@ def upper_tail(structures: dict[tuple[int, int, int], int], total: float) -> tup
         law = np.zeros(cells)
         for k, p in laws[s].items():
             at = value(s, *k) * grid
-            law[int(round(at) if exact else np.ceil(at - 1e-9)) % cells] += p
+            first = round(at) if exact else int(np.floor(at))
+            law[first % cells] += p if exact else p * (first + 1 - at)
+            if not exact:
+                law[(first + 1) % cells] += p * (at - first)
         whole *= np.fft.rfft(law) ** m
     law = np.fft.irfft(whole, cells)
     # The circle holds one turn around the mean.
@@ -55,4 +58,4 @@ def upper_tail(structures: dict[tuple[int, int, int], int], total: float) -> tup
     places = low + np.arange(cells)
     first = int(np.ceil(total * grid - 1e-6))
     p = float(law[places[places >= first] % cells].sum()) if first > low else 1.0
-    return min(1.0, max(0.0, p)), exact
+    return min(1.0, max(0.0, p)), bool(exact)

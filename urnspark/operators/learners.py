@@ -6,7 +6,6 @@ pass costs NumPy's time and the driver sees a row per model, never a row of data
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import date
@@ -22,6 +21,8 @@ from urnspark.plans.staging import stage
 
 BLOCK = "days binary, games array<string>, x binary, n binary, k binary"
 EPOCH = date(1970, 1, 1)
+#: Up to so many tasks, their sums are added up on the driver without a shuffle.
+FEW = 16
 
 
 def day_of(d: date) -> int:
@@ -65,7 +66,7 @@ def unpacked(r) -> tuple[np.ndarray, ...]:
 
 
 def summed(data: DataFrame, function: Callable) -> dict[int, np.ndarray]:
-    """What function(block) tells of each model, added up in Spark: model -> vector, a row per model on the driver."""
+    """What function(block) tells of each model, added up in Spark: model -> vector, a row per model, or of each of FEW tasks, on the driver."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
@@ -79,8 +80,15 @@ def summed(data: DataFrame, function: Callable) -> dict[int, np.ndarray]:
     def add(x: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"model": x["model"].iloc[:1], "v": [sum(np.frombuffer(v) for v in x["v"]).tobytes()]})
 
-    rows = data.mapInPandas(each, "model int, v binary").groupBy("model").applyInPandas(add, "model int, v binary")
-    return {r["model"]: np.frombuffer(r["v"]) for r in rows.collect()}
+    rows, out = data.mapInPandas(each, "model int, v binary"), {}
+    if not hasattr(data, "_tasks"):
+        data._tasks = data.rdd.getNumPartitions()
+    if data._tasks > FEW:
+        rows = rows.groupBy("model").applyInPandas(add, "model int, v binary")
+    for r in rows.collect():  # a row per model, or per model and one of few tasks
+        v = np.frombuffer(r["v"])
+        out[r["model"]] = out[r["model"]] + v if r["model"] in out else v
+    return out
 
 
 def with_numbers(x: np.ndarray) -> np.ndarray:
@@ -177,19 +185,18 @@ class Tree:
 
 
 def leaf_of(tree: Tree, b: np.ndarray) -> np.ndarray:
-    """The leaf that each row (bins by column; the last is the number's place) comes to."""
-    column, at, left, right = (np.array(a) for a in (tree.column, tree.bin, tree.left, tree.right))
-    plain = b.shape[1] - 1
-    node = np.zeros(len(b), dtype=np.int64)
-    while True:
-        c = column[node]
-        open_ = np.flatnonzero(c >= 0)
-        if not len(open_):
-            return node
-        c, at_node = c[open_], node[open_]
-        # A column beyond the plain ones is one number's: its rows go right, all others left.
-        value = np.where(c < plain, b[open_, np.minimum(c, plain)], b[open_, plain] == c - plain)
-        node[open_] = np.where(value <= at[at_node], left[at_node], right[at_node])
+    """The leaf that each row comes to; b: a row of bins for each column, and of the numbers' places.
+
+    Splits go over all rows one after another, parents first: comparing whole columns is cheaper than walking each row.
+    """
+    plain = len(b) - 1
+    node = np.zeros(b.shape[1], dtype=np.uint8)
+    for i, c in enumerate(tree.column):
+        if c >= 0:
+            # A column beyond the plain ones is one number's: its rows go right, all others left.
+            right = b[c] > tree.bin[i] if c < plain else b[plain] == c - plain
+            node = np.where(node == i, np.where(right, np.uint8(tree.right[i]), np.uint8(tree.left[i])), node)
+    return node
 
 
 @dataclass
@@ -206,21 +213,21 @@ class Boosted:
 
     def predict(self, days: np.ndarray, x: np.ndarray) -> np.ndarray:
         b = binned(x, self.edges)
-        score = np.full(len(b), self.base)
+        score = np.full(b.shape[1], self.base)
         for t in self.trees:
             score += np.array(t.value)[leaf_of(t, b)]
         return (1 / (1 + np.exp(-score))).reshape(x.shape[:2])
 
 
 def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
-    """Rows of all groups: each column's bin, and the number's place from 0."""
+    """For each column the bins of all groups' rows, then the numbers' places from 0."""
     flat = x.reshape(-1, x.shape[-1])
     b = [np.searchsorted(e, flat[:, i], side="left") for i, e in enumerate(edges)]
-    return np.column_stack([*b, np.tile(np.arange(POOL), len(x))]).astype(np.int16)
+    return np.array([*b, np.tile(np.arange(POOL), len(x))], dtype=np.uint8)
 
 
 def bin_edges(cells: DataFrame, columns: tuple[str, ...], before: date, bins: int) -> list[np.ndarray]:
-    """Upper edges of each column's bins: exact quantiles, by draws, of the dates before; equal ones once."""
+    """Upper edges of each column's bins, at most 255: exact quantiles, by draws, of the dates before; equal ones once."""
     long = cells.where(F.col("draw_date") < F.lit(before)).select("n", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)))).alias("e")).select("e.i", "e.v", "n")
     counted = long.groupBy("i", "v").agg(F.sum("n").alias("n"))
     rows = exact_quantiles(counted, ["i"], "v", [j / bins for j in range(1, bins)], weight="n").collect()  # bins of each column
@@ -229,108 +236,87 @@ def bin_edges(cells: DataFrame, columns: tuple[str, ...], before: date, bins: in
 
 @dataclass
 class Node:
-    """A node while its tree grows: g, h, c (gradient, curvature, draws), best: (gain, column, bin, left g h c) or None, known once counted."""
+    """A node while its tree grows: g, h, c (gradient, curvature, draws); best: (gain, column, bin, left g h c), once counted; kids: once split."""
 
     g: float
     h: float
     c: float
     best: tuple | None = None
-    counted: bool = False
     kids: tuple | None = None
 
 
 def best_split(hist: np.ndarray, sizes: list[int], l2: float, least: int) -> tuple | None:
     """gain, column, bin and the left side's sums of the best split; hist: (3, bins of all columns and 49 numbers)."""
-    start, tops = 0, []
-    g, h, c = hist[:, start : start + sizes[0]].sum(axis=1) if sizes else hist[:, -POOL:].sum(axis=1)
-    whole = g * g / (h + l2)
-    for i, size in enumerate([*sizes, *[1] * POOL]):
-        part = hist[:, start : start + size]
-        left = np.cumsum(part, axis=1)[:, :-1] if i < len(sizes) else np.array([[g], [h], [c]]) - part
-        start += size
-        right = np.array([[g], [h], [c]]) - left
-        ok = (left[2] >= least) & (right[2] >= least) & (left[1] >= 1e-3) & (right[1] >= 1e-3)
-        if ok.any():
-            gain = np.where(ok, left[0] ** 2 / (np.maximum(left[1], 0) + l2) + right[0] ** 2 / (np.maximum(right[1], 0) + l2) - whole, -np.inf)
-            j = int(np.argmax(gain >= gain.max() - 1e-9 * abs(gain.max())))
-            tops.append((float(gain[j]), i, j, *left[:, j]))
-    if not tops:
+    total = hist[:, -POOL:].sum(axis=1, keepdims=True)
+    whole = float(total[0, 0] ** 2 / (total[1, 0] + l2))
+    # Left sides of all splits: of a column's bins but its last, and of all rows but one number's.
+    ends = np.cumsum([0, *sizes])
+    lefts = [np.cumsum(hist[:, a:b], axis=1)[:, :-1] for a, b in zip(ends, ends[1:])] + [total - hist[:, -POOL:]]
+    column = np.repeat([*range(len(sizes)), *range(len(sizes), len(sizes) + POOL)], [*(size - 1 for size in sizes), *[1] * POOL])
+    bin_ = np.concatenate([*(np.arange(size - 1) for size in sizes), np.zeros(POOL, dtype=np.int64)])
+    left = np.concatenate(lefts, axis=1)
+    right = total - left
+    ok = (left[2] >= least) & (right[2] >= least) & (left[1] >= 1e-3) & (right[1] >= 1e-3)
+    if not ok.any():
         return None
-    most = max(t[0] for t in tops)
+    gain = np.where(ok, left[0] ** 2 / (np.maximum(left[1], 0) + l2) + right[0] ** 2 / (np.maximum(right[1], 0) + l2) - whole, -np.inf)
+    most = gain.max()
     # Sums come in any order: the first of those that are as good.
-    return next(t for t in tops if t[0] >= most - 1e-9 * abs(most)) if most > 1e-12 else None
+    j = int(np.argmax(gain >= most - 1e-9 * abs(most)))
+    return (float(gain[j]), int(column[j]), int(bin_[j]), *left[:, j]) if most > 1e-12 else None
 
 
 class Growth:
-    """One tree of a model, grown best first; `wanted` are the nodes whose histograms the next pass is to bring."""
+    """One tree of a model, grown level by level; `wanted` are the nodes whose histograms the next pass is to bring."""
 
     def __init__(self, m: Boosted, sizes: list[int], least: int):
         self.m, self.sizes, self.least = m, sizes, least
         self.root = Node(0.0, 0.0, 0.0)
-        self.wanted = [self.root]
-        self.done = False
+        self.wanted, self.leaves, self.done = [self.root], 1, False
 
     def probe(self) -> tuple[Tree, dict[int, int]]:
-        """A tree of all splits known so far that leads to the wanted nodes, and their places in it by leaf."""
+        """The tree so far, and the places of the wanted nodes by leaf."""
         tree, where = Tree(), {}
         place = {id(n): i for i, n in enumerate(self.wanted)}
 
         def put(n: Node) -> int:
-            at = tree.add(0.0)
+            at = tree.add(-self.m.rate * n.g / (n.h + self.m.l2))
             if id(n) in place:
                 where[at] = place[id(n)]
-            elif n.kids:
-                left, right = put(n.kids[0]), put(n.kids[1])
-                tree.split(at, n.best[1], n.best[2] if n.best[1] < len(self.sizes) else 0, left, right)
+            if n.kids:
+                column, cut = n.best[1:3]
+                tree.split(at, column, cut if column < len(self.sizes) else 0, put(n.kids[0]), put(n.kids[1]))
             return at
 
         put(self.root)
         return tree, where
 
     def take(self, hists: np.ndarray) -> None:
-        """Histograms of the wanted nodes: splits go on, best first, until one waits for its children's or the tree is done."""
+        """Histograms of a level's nodes: those that gain most are split, as long as leaves are left; their children are the next level."""
         for n, hist in zip(self.wanted, hists):
             if n is self.root:
                 n.g, n.h, n.c = hist[:, -POOL:].sum(axis=1)
-            n.best, n.counted = best_split(hist, self.sizes, self.m.l2, self.least), True
-            if n.best:
-                left = n.best[3:6]
-                n.kids = (Node(*left), Node(n.g - left[0], n.h - left[1], n.c - left[2]))
-        tree = Tree()
-        heap, count, order = [], 1, 0
-        leaf = {id(self.root): tree.add(self._value(self.root))}
-        if self.root.best:
-            heap.append((-self.root.best[0], order, self.root))
-        while heap and count < self.m.leaves:
-            n = heap[0][2]
-            last = count + 1 == self.m.leaves
-            if not last and not all(k.counted for k in n.kids):
-                # All that may soon be asked for comes in one pass: the children of this node and of those behind it.
-                self.wanted = [k for _, _, x in heap for k in x.kids if not k.counted]
-                return
-            heapq.heappop(heap)
-            at = [tree.add(self._value(k)) for k in n.kids]
-            leaf.update({id(k): a for k, a in zip(n.kids, at)})
-            tree.split(leaf[id(n)], n.best[1], n.best[2] if n.best[1] < len(self.sizes) else 0, *at)
-            count += 1
-            for k in n.kids:
-                if k.best:
-                    order += 1
-                    heapq.heappush(heap, (-k.best[0], order, k))
-        self.m.trees.append(tree)
-        self.done = True
-
-    def _value(self, n: Node) -> float:
-        return -self.m.rate * n.g / (n.h + self.m.l2)
-
-
-def fit_boosted(cells: DataFrame, columns: tuple[str, ...], models: list[Boosted], *, trees: int = 100, bins: int = 64, least: int = 20, refresh: int = 10) -> list[Boosted]:
-    """Boosted classification trees of hits, grown best first from histograms of gradients by (leaf, column, bin).
-
+            n.best = best_split(hist, self.sizes, self.m.l2, self.least)
+        ranked = sorted((n for n in self.wanted if n.best), key=lambda n: -n.best[0])
+        self.wanted = []
+        for n in ranked[: self.m.leaves - self.leaves]:
+            left = n.best[3:6]
+            n.kids = (Node(*left), Node(n.g - left[0], n.h - left[1], n.c - left[2]))
+            self.leaves += 1
+            self.wanted += n.kids
+        if not self.wanted or self.leaves == self.m.leaves:
+            self.m.trees.append(self.probe()[0])
+            self.done = True
+
+
+def fit_boosted(cells: DataFrame, columns: tuple[str, ...], models: list[Boosted], *, trees: int = 100, bins: int = 64, least: int = 20, refresh: int = 10, data: DataFrame | None = None) -> list[Boosted]:
+    """Boosted classification trees of hits, grown level by level from histograms of gradients by (leaf, column, bin).
+
+    Of a level the nodes that gain most are split first, until a tree has its leaves; so a tree takes a pass a level.
     A pass serves all models, each at its own tree and node. The histograms of a block are counted in its task, added up
     in Spark, and only the sums of the open nodes reach the driver, which chooses the splits. Bins are quantiles of the
     dates before the earliest model's first, so no model sees later ones; scores are kept beside the blocks and renewed
-    every so many trees. A leaf has at least `least` draws of a number. No early stop: all trees are grown.
+    every so many trees. A leaf has at least `least` draws of a number. No early stop: all trees are grown. data: blocks of cells, if made.
     """
     if not models:
         return models
@@ -338,7 +324,7 @@ def fit_boosted(cells: DataFrame, columns: tuple[str, ...], models: list[Boosted
     sizes = [len(e) + 1 for e in edges]
     width = sum(sizes) + POOL
     offset = np.r_[0, np.cumsum(sizes)]
-    data = blocks(cells, columns)
+    data = blocks(cells, columns) if data is None else data
 
     def odds(r):
         days, _, n, k = unpacked(r)
@@ -356,7 +342,7 @@ def fit_boosted(cells: DataFrame, columns: tuple[str, ...], models: list[Boosted
             for r in x.itertuples(index=False):
                 days, v, n, k = unpacked(r)
                 b = binned(v, edges)
-                yield pd.DataFrame({"days": [r.days], "n": [r.n], "k": [r.k], "b": [b.tobytes()], "score": [np.repeat(bases, len(b)).tobytes()]})
+                yield pd.DataFrame({"days": [r.days], "n": [r.n], "k": [r.k], "b": [b.tobytes()], "score": [np.repeat(bases, b.shape[1]).tobytes()]})
 
     held = "days binary, n binary, k binary, b binary, score binary"
     data = stage(data.mapInPandas(first_scores, held), "binned")
@@ -367,12 +353,12 @@ def fit_boosted(cells: DataFrame, columns: tuple[str, ...], models: list[Boosted
 
         def count(r, asked=asked):
             days, n, k = np.frombuffer(r.days, dtype=np.int32), np.frombuffer(r.n), np.frombuffer(r.k)
-            b = np.frombuffer(r.b, dtype=np.int16).reshape(len(k), -1)
+            b = np.frombuffer(r.b, dtype=np.uint8).reshape(-1, len(k))
             scores = np.frombuffer(r.score).reshape(len(firsts), -1)
             for i, (tree, where, wanted, new) in asked.items():
                 use = np.repeat(days < firsts[i], POOL)
                 if use.any():
-                    own, w, hits = b[use], np.repeat(n, POOL)[use], k[use]
+                    own, w, hits = b[:, use], np.repeat(n, POOL)[use], k[use]
                     s = scores[i][use]
                     for t in new:
                         s = s + np.array(t.value)[leaf_of(t, own)]
@@ -381,12 +367,13 @@ def fit_boosted(cells: DataFrame, columns: tuple[str, ...], models: list[Boosted
                     at[list(where)] = list(where.values())
                     node = at[leaf_of(tree, own)]
                     inside = node >= 0
-                    node, own = node[inside] * width, own[inside]
+                    node, own = node[inside] * width, own[:, inside]
                     parts = [(w * p - hits)[inside], (w * p * (1 - p))[inside], w[inside]]
                     out = np.zeros((3, wanted * width))
-                    for c in range(own.shape[1]):
+                    for c in range(len(own)):
+                        place = node + own[c] + offset[c]
                         for j, v in enumerate(parts):
-                            out[j] += np.bincount(node + offset[c] + own[:, c], weights=v, minlength=wanted * width)
+                            out[j] += np.bincount(place, weights=v, minlength=wanted * width)
                     yield i, out.ravel()
 
         told = summed(data, count)
@@ -406,7 +393,7 @@ def fit_boosted(cells: DataFrame, columns: tuple[str, ...], models: list[Boosted
                 for x in batches:
                     out = []
                     for r in x.itertuples(index=False):
-                        b = np.frombuffer(r.b, dtype=np.int16).reshape(len(r.k) // 8, -1)
+                        b = np.frombuffer(r.b, dtype=np.uint8).reshape(-1, len(r.k) // 8)
                         scores = np.frombuffer(r.score).reshape(len(fresh), -1).copy()
                         for i, new in enumerate(fresh):
                             for t in new:

@@ -83,16 +83,40 @@ def tables(spark: SparkSession, sf_dir: str) -> str:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _kept:
-        path = folder(spark, "lifted")
-        write = lambda df, name: (df.write.parquet(f"{path}/{name}"), spark.read.parquet(f"{path}/{name}"))[1]
-        draws = write(lifted(spark, sf_dir), "draws")
-        by_day = write(days(draws).coalesce(1), "days")
-        rows = write(placed(draws, by_day), "placed")
-        write(hist(spark, rows, by_day), "hist")
-        _kept[key] = path
+        _kept[key] = _write(spark, lifted(spark, sf_dir))
     return _kept[key]
 
 
+def only(spark: SparkSession, sf_dir: str, *, game: str | None = None, as_of=None, target=None) -> str:
+    """A source with the draws of one game, or up to a date alone: its name, which every query takes for a folder.
+
+    target: a date after all draws, which then stands in days and hist with all of them before it and none on it.
+    """
+    name = f"{sf_dir}?game={game}&as_of={as_of}&target={target}"
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _kept:
+        draws = table(spark, sf_dir, "draws")
+        if game is not None:
+            draws = draws.where(F.col("game") == game)
+        if as_of is not None:
+            draws = draws.where(F.col("draw_date") <= F.lit(as_of))
+        _kept[key] = _write(spark, draws, target)
+    return name
+
+
+def _write(spark: SparkSession, draws: DataFrame, target=None) -> str:
+    path = folder(spark, "lifted")
+    write = lambda df, name: (df.write.parquet(f"{path}/{name}"), spark.read.parquet(f"{path}/{name}"))[1]
+    draws = write(draws, "draws")
+    by_day = days(draws)
+    if target is not None:
+        by_day = by_day.unionByName(draws.agg(F.lit(target).cast("date").alias("draw_date"), F.lit(0).cast("long").alias("n"), F.count(F.lit(1)).alias("h")))
+    by_day = write(by_day.coalesce(1), "days")
+    rows = write(placed(draws, by_day), "placed")
+    write(hist(spark, rows, by_day), "hist")
+    return path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{tables(spark, sf_dir)}/{name}")
 
