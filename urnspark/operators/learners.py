@@ -1,7 +1,8 @@
 """Logistic regressions and boosted trees fitted from sums that Spark adds up, many models in one pass.
 
-Data are blocks: rows of whole groups (a date, a game, its 49 numbers) as matrices, each group weighed by its draws, so a
-pass costs NumPy's time and the driver sees a row per model, never a row of data. A model trains on the dates before its own.
+Data are blocks: rows of whole groups as matrices, each group weighed by its draws, so a pass costs NumPy's time and the
+driver sees a row per model, never a row of data. A group is a date, a game and its 49 numbers with the hits of each; or
+one observation with its value. A model trains on the dates before its own.
 """
 
 from __future__ import annotations
@@ -59,10 +60,22 @@ def blocks(cells: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return stage(rows.mapInPandas(in_groups(pack), BLOCK), "blocks")
 
 
+def observed(rows: DataFrame, columns: tuple[str, ...], value: str) -> DataFrame:
+    """rows (draw_date, game, columns, value) as staged blocks of groups of one observation each."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            days = np.array([day_of(d) for d in x["draw_date"]], dtype=np.int32)
+            yield pd.DataFrame({"days": [days.tobytes()], "games": [x["game"].tolist()], "x": [x[list(columns)].to_numpy(float).tobytes()], "n": [np.ones(len(x)).tobytes()], "k": [x[value].to_numpy(float).tobytes()]})
+
+    return stage(rows.select("draw_date", "game", *columns, value).mapInPandas(pack, BLOCK), "blocks")
+
+
 def unpacked(r) -> tuple[np.ndarray, ...]:
-    """days (groups), x (groups, 49, columns), n (groups), k (groups, 49) of a block."""
+    """days (groups), x (groups, their rows, columns), n (groups), k (groups, their rows) of a block."""
     days, n = np.frombuffer(r.days, dtype=np.int32), np.frombuffer(r.n)
-    return days, np.frombuffer(r.x).reshape(len(days), POOL, -1), n, np.frombuffer(r.k).reshape(len(days), POOL)
+    k = np.frombuffer(r.k).reshape(len(days), -1)
+    return days, np.frombuffer(r.x).reshape(*k.shape, -1), n, k
 
 
 def summed(data: DataFrame, function: Callable) -> dict[int, np.ndarray]:
@@ -201,7 +214,10 @@ def leaf_of(tree: Tree, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Boosted:
-    """Trains on dates before first. base: log odds of the hits; trees: with the learning rate in their values; edges: of the bins."""
+    """Trains on dates before first. base: log odds of the hits, or the mean; trees: with the learning rate in their values; edges: of the bins.
+
+    value: predicts a value by least squares, instead of the chance of a hit.
+    """
 
     first: int
     rate: float
@@ -210,20 +226,21 @@ class Boosted:
     base: float = 0.0
     trees: list[Tree] = field(default_factory=list)
     edges: list[np.ndarray] = field(default_factory=list)
+    value: bool = False
 
     def predict(self, days: np.ndarray, x: np.ndarray) -> np.ndarray:
         b = binned(x, self.edges)
         score = np.full(b.shape[1], self.base)
         for t in self.trees:
             score += np.array(t.value)[leaf_of(t, b)]
-        return (1 / (1 + np.exp(-score))).reshape(x.shape[:2])
+        return (score if self.value else 1 / (1 + np.exp(-score))).reshape(x.shape[:2])
 
 
 def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     """For each column the bins of all groups' rows, then the numbers' places from 0."""
     flat = x.reshape(-1, x.shape[-1])
     b = [np.searchsorted(e, flat[:, i], side="left") for i, e in enumerate(edges)]
-    return np.array([*b, np.tile(np.arange(POOL), len(x))], dtype=np.uint8)
+    return np.array([*b, np.tile(np.arange(x.shape[1]), len(x))], dtype=np.uint8)
 
 
 def bin_edges(cells: DataFrame, columns: tuple[str, ...], before: date, bins: int) -> list[np.ndarray]:
@@ -246,14 +263,15 @@ class Node:
 
 
 def best_split(hist: np.ndarray, sizes: list[int], l2: float, least: int) -> tuple | None:
-    """gain, column, bin and the left side's sums of the best split; hist: (3, bins of all columns and 49 numbers)."""
-    total = hist[:, -POOL:].sum(axis=1, keepdims=True)
+    """gain, column, bin and the left side's sums of the best split; hist: (3, bins of all columns, then rows of a group by place)."""
+    group = hist.shape[1] - sum(sizes)
+    total = hist[:, -group:].sum(axis=1, keepdims=True)
     whole = float(total[0, 0] ** 2 / (total[1, 0] + l2))
     # Left sides of all splits: of a column's bins but its last, and of all rows but one number's.
     ends = np.cumsum([0, *sizes])
-    lefts = [np.cumsum(hist[:, a:b], axis=1)[:, :-1] for a, b in zip(ends, ends[1:])] + [total - hist[:, -POOL:]]
-    column = np.repeat([*range(len(sizes)), *range(len(sizes), len(sizes) + POOL)], [*(size - 1 for size in sizes), *[1] * POOL])
-    bin_ = np.concatenate([*(np.arange(size - 1) for size in sizes), np.zeros(POOL, dtype=np.int64)])
+    lefts = [np.cumsum(hist[:, a:b], axis=1)[:, :-1] for a, b in zip(ends, ends[1:])] + [total - hist[:, -group:]]
+    column = np.repeat([*range(len(sizes)), *range(len(sizes), len(sizes) + group)], [*(size - 1 for size in sizes), *[1] * group])
+    bin_ = np.concatenate([*(np.arange(size - 1) for size in sizes), np.zeros(group, dtype=np.int64)])
     left = np.concatenate(lefts, axis=1)
     right = total - left
     ok = (left[2] >= least) & (right[2] >= least) & (left[1] >= 1e-3) & (right[1] >= 1e-3)
@@ -295,7 +313,7 @@ class Growth:
         """Histograms of a level's nodes: those that gain most are split, as long as leaves are left; their children are the next level."""
         for n, hist in zip(self.wanted, hists):
             if n is self.root:
-                n.g, n.h, n.c = hist[:, -POOL:].sum(axis=1)
+                n.g, n.h, n.c = hist[:, sum(self.sizes) :].sum(axis=1)
             n.best = best_split(hist, self.sizes, self.m.l2, self.least)
         ranked = sorted((n for n in self.wanted if n.best), key=lambda n: -n.best[0])
         self.wanted = []
@@ -316,13 +334,14 @@ def fit_boosted(cells: DataFrame, columns: tuple[str, ...], models: list[Boosted
     A pass serves all models, each at its own tree and node. The histograms of a block are counted in its task, added up
     in Spark, and only the sums of the open nodes reach the driver, which chooses the splits. Bins are quantiles of the
     dates before the earliest model's first, so no model sees later ones; scores are kept beside the blocks and renewed
-    every so many trees. A leaf has at least `least` draws of a number. No early stop: all trees are grown. data: blocks of cells, if made.
+    every so many trees. A leaf has at least `least` draws of a number, or observations. No early stop: all trees are grown. data: blocks of cells, if made.
     """
     if not models:
         return models
     edges = bin_edges(cells, columns, date.fromordinal(EPOCH.toordinal() + min(m.first for m in models)), bins)
     sizes = [len(e) + 1 for e in edges]
-    width = sum(sizes) + POOL
+    group = 1 if models[0].value else POOL
+    width = sum(sizes) + group
     offset = np.r_[0, np.cumsum(sizes)]
     data = blocks(cells, columns) if data is None else data
 
@@ -330,10 +349,13 @@ def fit_boosted(cells: DataFrame, columns: tuple[str, ...], models: list[Boosted
         days, _, n, k = unpacked(r)
         for i, m in enumerate(models):
             use = days < m.first
-            yield i, np.array([k[use].sum(), POOL * n[use].sum()])
+            yield i, np.array([k[use].sum(), group * n[use].sum()])
 
     for i, (k, n) in summed(data, odds).items():
-        models[i].base = float(np.log(k / (n - k))) if 0 < k < n else 0.0
+        if models[i].value:
+            models[i].base = float(k / max(n, 1))
+        else:
+            models[i].base = float(np.log(k / (n - k))) if 0 < k < n else 0.0
         models[i].edges = edges
     firsts, bases = [m.first for m in models], [m.base for m in models]
 
@@ -356,19 +378,19 @@ def fit_boosted(cells: DataFrame, columns: tuple[str, ...], models: list[Boosted
             b = np.frombuffer(r.b, dtype=np.uint8).reshape(-1, len(k))
             scores = np.frombuffer(r.score).reshape(len(firsts), -1)
             for i, (tree, where, wanted, new) in asked.items():
-                use = np.repeat(days < firsts[i], POOL)
+                use = np.repeat(days < firsts[i], group)
                 if use.any():
-                    own, w, hits = b[:, use], np.repeat(n, POOL)[use], k[use]
+                    own, w, hits = b[:, use], np.repeat(n, group)[use], k[use]
                     s = scores[i][use]
                     for t in new:
                         s = s + np.array(t.value)[leaf_of(t, own)]
-                    p = 1 / (1 + np.exp(-s))
+                    p = s if group == 1 else 1 / (1 + np.exp(-s))
                     at = np.full(len(tree.column), -1)
                     at[list(where)] = list(where.values())
                     node = at[leaf_of(tree, own)]
                     inside = node >= 0
                     node, own = node[inside] * width, own[:, inside]
-                    parts = [(w * p - hits)[inside], (w * p * (1 - p))[inside], w[inside]]
+                    parts = [(w * p - hits)[inside], (w if group == 1 else w * p * (1 - p))[inside], w[inside]]
                     out = np.zeros((3, wanted * width))
                     for c in range(len(own)):
                         place = node + own[c] + offset[c]

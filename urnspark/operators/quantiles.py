@@ -20,6 +20,8 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     and the greatest value of each, and a rank goes on in the bucket that holds it, until one value is left. Counts are
     combined before the shuffle, so a group of any size costs buckets, and no task holds a group's values.
     """
+    if not by:
+        return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, weight=weight, buckets=buckets).drop("_all")
     v, w = F.col(value).cast("double"), (F.lit(1) if weight is None else F.col(weight)).cast("long")
     keys = [f"_k{i}" for i in range(len(by))]
     rows = df.where(v.isNotNull() & ~F.isnan(v) & (w > 0)).select(*(F.col(c).alias(k) for c, k in zip(by, keys)), (v + 0.0).alias("_v"), w.alias("_w"))
