@@ -12,7 +12,7 @@ from urnspark.operators.dialect import CHECK, SPARK, Dialect
 from urnspark.operators.draws import PARTS
 from urnspark.operators.draws import SQL as DRAWS
 from urnspark.operators.inference import SQL as INFERENCE
-from urnspark.operators import backtests, chance, forecasts, ledger, nested, uniformity
+from urnspark.operators import backtests, chance, forecasts, ledger, nested, participation, uniformity, value
 from urnspark.operators.models import QUERIES as MODELS
 from urnspark.plans import lift
 from urnspark.streaming import scorer
@@ -38,5 +38,5 @@ def _run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
 
 
-QUERIES = {name: partial(_run, name) for name in SQL} | forecasts.QUERIES | chance.QUERIES | ledger.QUERIES | backtests.QUERIES | nested.QUERIES | uniformity.QUERIES | MODELS | scorer.QUERIES
+QUERIES = {name: partial(_run, name) for name in SQL} | forecasts.QUERIES | chance.QUERIES | ledger.QUERIES | backtests.QUERIES | nested.QUERIES | uniformity.QUERIES | participation.QUERIES | value.QUERIES | MODELS | scorer.QUERIES
 ORACLE_SQL = {name: text(name, CHECK) for name in SQL} | forecasts.ORACLE_SQL | chance.ORACLE_SQL | ledger.ORACLE_SQL | scorer.ORACLE_SQL
