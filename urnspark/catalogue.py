@@ -12,6 +12,7 @@ from urnspark.operators.dialect import CHECK, SPARK, Dialect
 from urnspark.operators.draws import PARTS
 from urnspark.operators.draws import SQL as DRAWS
 from urnspark.operators.inference import SQL as INFERENCE
+from urnspark.operators.inference import resampled_deltas
 from urnspark.operators import backtests, chance, forecasts, ledger, nested, participation, uniformity, value
 from urnspark.operators.models import QUERIES as MODELS
 from urnspark.plans import lift
@@ -38,5 +39,13 @@ def _run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
 
 
+def _resampled(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block bootstrap's interval, or the block sign test, of the Brier scores' deltas."""
+    out = resampled_deltas(lift.run(spark, sf_dir, text("brier_deltas", SPARK)))
+    columns = ("observed", "low", "high") if kind == "interval" else ("observed", F.col("p_lower").alias("p_value"))
+    return out.select("n", *(F.round(c, 9).alias(c) if isinstance(c, str) else F.round(c, 9).alias("p_value") for c in columns))
+
+
 QUERIES = {name: partial(_run, name) for name in SQL} | forecasts.QUERIES | chance.QUERIES | ledger.QUERIES | backtests.QUERIES | nested.QUERIES | uniformity.QUERIES | participation.QUERIES | value.QUERIES | MODELS | scorer.QUERIES
+QUERIES |= {"block_bootstrap_ci": partial(_resampled, "interval"), "block_sign_permutation": partial(_resampled, "test")}
 ORACLE_SQL = {name: text(name, CHECK) for name in SQL} | forecasts.ORACLE_SQL | chance.ORACLE_SQL | ledger.ORACLE_SQL | scorer.ORACLE_SQL

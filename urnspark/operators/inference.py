@@ -6,8 +6,13 @@ draw the same.
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import DataFrame
+
 from urnspark.functions.probability import RANKS, any_prize, rank_probability
 from urnspark.operators.draws import HIT, PROB, _q
+from urnspark.operators.resampling import bits32_sql, resampled
 
 UNIFORM = 5 * 44 / 49 / 49
 #: Replicates of a resampling test, and draws of a block.
@@ -23,17 +28,32 @@ _ENDS = [(r, sum(rank_probability(x) for x, _, _ in RANKS if x <= r)) for r, _,
 _RANK = lambda u: "CASE " + " ".join(f"WHEN {u} < {e:.17e} THEN {r}" for r, e in _ENDS) + " ELSE 0 END"
 
 
+def _weighed(ends: int) -> str:
+    """A Poisson weight of 32 bits: how many of the ends they reach; the ends' rate is the blocks needed over all starts."""
+    term = lambda k: f"exp(-rate) * pow(rate, {k}) / {math.factorial(k)}"
+    return " + ".join(f"CASE WHEN bits >= floor(({' + '.join(term(j) for j in range(k + 1))}) * 4294967296) THEN 1 ELSE 0 END" for k in range(ends))
+
+
 def _bootstrap(d):
-    """The last block of a replicate is cut so that it has as many draws as there are."""
-    return f"""{DELTAS}, runs AS ({d.series(RUNS)}), steps AS ({d.series(BLOCK)}),
-blocks AS (SELECT i - x AS s, sum(delta) AS whole, sum(CASE WHEN x < (n - 1) % {BLOCK} + 1 THEN delta END) AS part FROM deltas CROSS JOIN steps WHERE i - x >= 0 AND i - x <= n - {BLOCK} GROUP BY i - x),
-picks AS (SELECT runs.x AS r, {d.random(f"concat('boot-', CAST(runs.x AS VARCHAR(20)), '-', CAST(i AS VARCHAR(20)))")} % (n - {BLOCK} + 1) AS s, i + {BLOCK} >= n AS last, n FROM deltas CROSS JOIN runs WHERE i % {BLOCK} = 0),
-means AS (SELECT r, sum(CASE WHEN last THEN part ELSE whole END) / max(n) AS mean FROM picks JOIN blocks ON picks.s = blocks.s GROUP BY r)"""
+    """Means of replicates in which every moving block has a Poisson weight from a hash of both; the checking side's."""
+    if d.spark:
+        return DELTAS
+    return f"""{DELTAS}, runs AS ({d.series(RUNS)}), rate AS (SELECT max(n) AS n, ceil(max(n) / {BLOCK}.0) / (max(n) - {BLOCK - 1}) AS rate FROM deltas),
+blocks AS (SELECT i AS s, sum(delta) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND {BLOCK - 1} FOLLOWING) AS v FROM deltas),
+drawn AS (SELECT r.x AS r, v, rate, {bits32_sql("r.x", "s", 1)} AS bits FROM blocks CROSS JOIN runs r CROSS JOIN rate WHERE s <= n - {BLOCK}),
+means AS (SELECT r, sum(w * v) / sum(w * {BLOCK}) AS mean FROM (SELECT r, v, {_weighed(6)} AS w FROM drawn) t GROUP BY r)"""
 
 
 def _signs(d):
-    return f"""{DELTAS}, runs AS ({d.series(RUNS)}), sums AS (SELECT CAST(floor(i / {BLOCK}e0) AS BIGINT) AS j, sum(delta) AS v, max(n) AS n FROM deltas GROUP BY CAST(floor(i / {BLOCK}e0) AS BIGINT)),
-means AS (SELECT x AS r, sum(CASE WHEN {d.random("concat('sign-', CAST(x AS VARCHAR(20)), '-', CAST(j AS VARCHAR(20)))")} % 2 = 1 THEN v ELSE -v END) / max(n) AS mean FROM sums CROSS JOIN runs GROUP BY x)"""
+    if d.spark:
+        return DELTAS
+    return f"""{DELTAS}, runs AS ({d.series(RUNS)}), sums AS (SELECT i // {BLOCK} AS j, sum(delta) AS v, max(n) AS n FROM deltas GROUP BY 1),
+means AS (SELECT x AS r, sum(CASE WHEN {bits32_sql("x", "j", 2)} % 2 = 1 THEN v ELSE -v END) / max(n) AS mean FROM sums CROSS JOIN runs GROUP BY x)"""
+
+
+def resampled_deltas(deltas: DataFrame) -> DataFrame:
+    """n, observed, low, high, p_lower of the Brier scores' deltas, by place."""
+    return resampled(deltas, [], "delta", "i", replicates=RUNS, block=BLOCK)
 
 
 def _chance_runs(d):
@@ -82,8 +102,9 @@ def _chain_hash(d):
 
 
 SQL = {
+    "brier_deltas": _q(DELTAS, "SELECT i, delta FROM deltas"),
     "block_bootstrap_ci": _q(_bootstrap, lambda d: f"SELECT max(n) AS n, round(max(observed), 9) AS observed, round({d.quantile('mean', 0.025)}, 9) AS low, round({d.quantile('mean', 0.975)}, 9) AS high FROM means CROSS JOIN total"),
-    "block_sign_permutation": _q(_signs, lambda d: f"SELECT max(n) AS n, round(max(observed), 9) AS observed, round(({d.count_if('mean <= observed')} + 1e0) / {RUNS + 1}e0, 9) AS p_value FROM means CROSS JOIN total"),
+    "block_sign_permutation": _q(_signs, lambda d: f"SELECT max(n) AS n, round(max(observed), 9) AS observed, round(({d.count_if('mean <= observed + 1e-12')} + 1e0) / {RUNS + 1}e0, 9) AS p_value FROM means CROSS JOIN total"),
     "chance_monte_carlo": _q(_chance_runs, lambda d: f"SELECT round(max(o.chi), 6) AS chi_square, round(({d.count_if('s.chi >= o.chi')} + 1e0) / 101e0, 9) AS p_value FROM sims s CROSS JOIN observed o"),
     "bankroll_simulation": _q(_bankroll, lambda d: f"SELECT {d.big('count(*)')} AS runs, round(avg(net), 6) AS mean_net, round({d.quantile('net', 0.5)}, 6) AS median_net, round({d.quantile('net', 0.05)}, 6) AS p05_net, round({d.quantile('net', 0.95)}, 6) AS p95_net, round(avg(CASE WHEN net > 0 THEN 1e0 ELSE 0e0 END), 9) AS positive_rate FROM nets"),
     "anti_crowd_scores": _q(_FIVE, f"SELECT draw_id, round({crowd(list('abcde'))}, 9) + 0e0 AS score FROM five"),

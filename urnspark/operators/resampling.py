@@ -30,12 +30,15 @@ def bits32(replicate: np.ndarray, unit: np.ndarray, salt: int) -> np.ndarray:
 
 
 def bits32_sql(replicate: str, unit: str, salt: int) -> str:
-    """The same in the checking SQL: a number of 128 bits keeps each product whole."""
+    """The same in the checking SQL: numbers of 128 bits keep each product whole, and a step is a look at the one before."""
     m = "4294967295::HUGEINT"
-    x = f"((({unit})::HUGEINT & {m}) * 2654435761 + (({unit})::HUGEINT >> 32) * 40503 + ({replicate})::HUGEINT * 2246822519 + {salt}) & {m}"
-    for shift, by in ((16, 2146121005), (15, 2221713035)):
-        x = f"list_transform([{x}], lambda h: ((xor(h, h >> {shift})) * {by}) & {m})[1]"
-    return f"list_transform([{x}], lambda h: xor(h, h >> 16))[1]"
+    steps = [f"((({unit})::HUGEINT & {m}) * 2654435761 + (({unit})::HUGEINT >> 32) * 40503 + ({replicate})::HUGEINT * 2246822519 + {salt}) & {m}"]
+    steps += [f"(xor(h, h >> {shift}) * {by}) & {m}" for shift, by in ((16, 2146121005), (15, 2221713035))] + ["xor(h, h >> 16)"]
+    # (SELECT f(h) FROM (SELECT x AS h)), innermost first.
+    out = f"SELECT {steps[0]} AS h"
+    for s in steps[1:]:
+        out = f"SELECT {s} AS h FROM ({out}) t"
+    return f"({out})"
 
 
 def poisson_ends(rate: float) -> list[int]:
