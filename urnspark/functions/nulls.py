@@ -21,32 +21,42 @@ def hits_law(above: int, tied: int, left: int) -> dict[tuple[int, int], float]:
 def upper_tail(structures: dict[tuple[int, int, int], int], total: float) -> tuple[float, bool]:
     """P(sum of expected hits >= total), and whether it is exact, over draws that have these (above, tied, left).
 
-    Hits are above's and left/tied of the tie's, so all sums lie on a grid of the denominators' least multiple. Laws are
-    convolved as powers of their transforms, on a circle as wide as twelve deviations each way: what lies beyond is less
-    than 1e-32. Where the grid would have too many cells, a coarser one takes each value's chance at its two neighbours so
-    that the mean stays, and the result is near.
+    Hits are above's and left/tied of the tie's.
     """
-    laws = {s: hits_law(*s) for s in structures}
     value = lambda s, a, t: a + s[2] * t / s[1] if s[1] else float(a)
-    mean = variance = span = 0.0
+    laws = []
     for s, m in structures.items():
-        x = np.array([(value(s, *k), p) for k, p in laws[s].items()])
+        law: dict[float, float] = {}
+        for k, p in hits_law(*s).items():
+            law[value(s, *k)] = law.get(value(s, *k), 0.0) + p
+        laws.append((law, s[1] // gcd(s[1], s[2]) if s[1] else 1, m))
+    return summed_tail(laws, total)
+
+
+def summed_tail(laws: list[tuple[dict[float, float], int, int]], total: float) -> tuple[float, bool]:
+    """P(sum >= total), and whether it is exact, of independent values: (value -> chance, denominator of the values, how many).
+
+    All sums lie on a grid of the denominators' least multiple. Laws are convolved as powers of their transforms, on a
+    circle as wide as twelve deviations each way: what lies beyond is less than 1e-32. Where the grid would have too many
+    cells, a coarser one takes each value's chance at its two neighbours so that the mean stays, and the result is near.
+    """
+    mean = variance = span = 0.0
+    grid = 1
+    for law, denominator, m in laws:
+        x = np.array(list(law.items()))
         mu = (x[:, 0] * x[:, 1]).sum()
         mean, variance, span = mean + m * mu, variance + m * ((x[:, 0] - mu) ** 2 * x[:, 1]).sum(), span + m * (x[:, 0].max() - x[:, 0].min())
-    grid = 1
-    for above, tied, left in structures:
-        if tied:
-            grid = lcm(grid, tied // gcd(tied, left))
+        grid = lcm(grid, denominator)
     reach = min(12 * sqrt(variance) + DRAWN, span + 1)
     exact = 2 * reach * grid + 2 <= CELLS
     if not exact:
         grid = int((CELLS - 2) / (2 * reach))
     cells = 1 << int(np.ceil(np.log2(2 * reach * grid + 2)))
     whole = np.ones(cells // 2 + 1, dtype=complex)
-    for s, m in structures.items():
+    for values, _, m in laws:
         law = np.zeros(cells)
-        for k, p in laws[s].items():
-            at = value(s, *k) * grid
+        for v, p in values.items():
+            at = v * grid
             first = round(at) if exact else int(np.floor(at))
             law[first % cells] += p if exact else p * (first + 1 - at)
             if not exact:

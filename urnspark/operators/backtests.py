@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from urnspark.operators.forecasts import DRAWN, EXPECTED, POOL, TIE, UNIFORM, WINDOWS, features
 from urnspark.plans import lift
+from urnspark.plans.staging import stage
 
 #: The parameters tried, and the weights of a forecast against the uniform one.
 PRIORS = (50.0, 200.0, 1000.0)
@@ -25,15 +26,21 @@ MODELS = ("bayesian", "rolling_bayesian", "rolling_ridge_ranker", "ridge_ranker"
 PLAIN = ("history_draws", "count", "frequency_delta", *(f"frequency_{w}_delta" for w in WINDOWS), "gap", "present", "affinity", "weekday_sin", "weekday_cos", "is_super", "is_grand", "year_trend")
 
 
+#: By the folder of the lifted tables; a write that died is never read.
+_cells: dict[str, DataFrame] = {}
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """draw_date, game, number, features, n (draws of the game and date) and k (those with the number), kept beside the lifted tables."""
-    path = f"{lift.tables(spark, sf_dir)}/cells"
+    """draw_date, game, number, features, n (draws of the game and date) and k (those with the number), made once for the lifted tables."""
+    key = lift.tables(spark, sf_dir)
+    if key in _cells:
+        return _cells[key]
     draws = lift.table(spark, sf_dir, "draws")
     n = draws.groupBy("draw_date", "game").agg(F.count(F.lit(1)).alias("n"))
     k = draws.select("draw_date", "game", F.explode("numbers").alias("number")).groupBy("draw_date", "game", "number").agg(F.count(F.lit(1)).alias("k"))
     out = features(spark, sf_dir).join(n, ["draw_date", "game"]).join(k, ["draw_date", "game", "number"], "left").na.fill(0, ["k"])
-    out.write.mode("ignore").parquet(path)
-    return spark.read.parquet(path)
+    _cells[key] = stage(out, "cells")
+    return _cells[key]
 
 
 def plan(data: DataFrame, *, min_train: int, outer: int) -> list[tuple]:

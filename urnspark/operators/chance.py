@@ -8,9 +8,13 @@ from math import log
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from urnspark.functions.nulls import summed_tail
+from urnspark.functions.probability import holm
 from urnspark.operators.dialect import SPARK
 from urnspark.operators.draws import CHANCE, WIDE
+from urnspark.operators.resampling import resampled
 from urnspark.plans import lift
+from urnspark.plans.staging import stage
 
 POOL = 10
 #: The grid of parameters, and the prior strengths of the popularity of chance numbers.
@@ -103,8 +107,8 @@ def chance_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("draw_id", *(F.round(c, 9).alias(n) for c, n in (("drawn", "p"), ("brier", "brier"), ("log_loss", "log_loss"), ("hits", "hits"))), "ties")
 
 
-def backtest(spark: SparkSession, sf_dir: str, *, min_train: int = 500, outer: int = 3) -> DataFrame:
-    """game, fold, the chosen window, prior, transition and weekday weights, n, brier_delta, log_loss_delta, top1_uplift of the fold's test.
+def choices(spark: SparkSession, sf_dir: str, *, min_train: int = 500, outer: int = 3) -> tuple[DataFrame, DataFrame]:
+    """game, fold, k (the setting), and the dates' sums that lie in the fold's test.
 
     A fold's parameters are those of the least log loss, then Brier, over the last fifth of the dates before it. All
     settings are scored in one pass and summed by date; folds and choices work on dates. A game without enough draws has
@@ -113,9 +117,7 @@ def backtest(spark: SparkSession, sf_dir: str, *, min_train: int = 500, outer: i
     data = windows(as_of(spark, sf_dir), (25, 100, 400, 0))
     each = F.array(*(F.struct(F.lit(k).alias("k"), *_scores(distribution(*g))) for k, g in enumerate(GRID)))
     by_date = data.select("game", "draw_date", F.explode(each).alias("x")).groupBy("game", "draw_date", "x.k").agg(F.count(F.lit(1)).alias("n"), F.sum("x.brier").alias("b"), F.sum("x.log_loss").alias("l"), F.sum("x.hits").alias("h"))
-    path = f"{lift.tables(spark, sf_dir)}/chance-scores"
-    by_date.write.mode("overwrite").parquet(path)
-    by_date = spark.read.parquet(path)
+    by_date = stage(by_date, "chance-scores")
     order = Window.partitionBy("game").orderBy("draw_date")
     dates = by_date.where("k = 0").select("game", "draw_date", "n").withColumn("upto", F.sum("n").over(order)).withColumn("at", F.row_number().over(order) - 1)
     tested = dates.where(F.col("upto") > min_train).withColumn("fold", F.ntile(outer).over(order))
@@ -126,12 +128,57 @@ def backtest(spark: SparkSession, sf_dir: str, *, min_train: int = 500, outer: i
     sums = by_date.join(dates.select("game", "draw_date", "at"), ["game", "draw_date"]).join(first, "game")
     chosen = sums.where((F.col("at") >= F.col("split")) & (F.col("at") < F.col("start"))).groupBy("game", "fold", "k").agg((F.sum("l") / F.sum("n")).alias("l"), (F.sum("b") / F.sum("n")).alias("b"))
     chosen = chosen.groupBy("game", "fold").agg(F.min(F.struct(F.round("l", 12).alias("l"), F.round("b", 12).alias("b"), "k"))["k"].alias("k"))
-    test = sums.where((F.col("at") >= F.col("start")) & (F.col("at") <= F.col("end"))).join(chosen, ["game", "fold", "k"]).groupBy("game", "fold", "k").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("l").alias("l"), F.sum("h").alias("h"))
+    return chosen, sums.where((F.col("at") >= F.col("start")) & (F.col("at") <= F.col("end"))).join(chosen, ["game", "fold", "k"])
+
+
+def backtest(spark: SparkSession, sf_dir: str, *, min_train: int = 500, outer: int = 3) -> DataFrame:
+    """game, fold, the chosen window, prior, transition and weekday weights, n, brier_delta, log_loss_delta, top1_uplift of the fold's test."""
+    test = choices(spark, sf_dir, min_train=min_train, outer=outer)[1].groupBy("game", "fold", "k").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("l").alias("l"), F.sum("h").alias("h"))
     grid = F.element_at(F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(g, ("window", "prior", "transition", "weekday")))) for g in GRID)), F.col("k") + 1)
     n = F.col("n")
     return test.withColumn("g", grid).select("game", "fold", "g.*", "n", F.round(F.col("b") / n - uniform_brier(), 9).alias("brier_delta"), F.round(F.col("l") / n - uniform_log_loss(), 9).alias("log_loss_delta"), F.round(F.col("h") / n - 1 / POOL, 9).alias("top1_uplift"))
 
 
+def report(spark: SparkSession, sf_dir: str, *, min_train: int = 500, outer: int = 3, replicates: int = 2000, block: int = 12) -> DataFrame:
+    """A row per game over all folds' tests: means against chance, block-bootstrap intervals, p-values and a verdict.
+
+    p_value: a block sign test of the Brier score. top1_p: the exact chance of as many hits under a uniform chance number, where
+    a forecast with t likeliest numbers hits 1/t with t in ten. Both families are adjusted together by Holm over games. A game
+    qualifies by probability if the interval of its Brier score lies below 0, by ranking if that of its hits lies above 0, each with an adjusted p-value under 5%.
+    """
+    chosen, tested = choices(spark, sf_dir, min_train=min_train, outer=outer)
+    dates = tested.select(F.col("game").alias("_g"), F.col("draw_date").alias("_d"), "fold", "k")
+    data = windows(as_of(spark, sf_dir), (25, 100, 400, 0)).join(dates, (F.col("game") == F.col("_g")) & (F.col("draw_date") == F.col("_d")))
+    of = F.get(F.array(*(F.struct(*_scores(distribution(*g))) for g in GRID)), F.col("k"))
+    within = Window.partitionBy("game", "draw_date").orderBy("draw_id")
+    seen = tested.select(F.col("game").alias("_h"), F.col("draw_date").alias("_e"), (F.sum("n").over(Window.partitionBy("game").orderBy("draw_date")) - F.col("n")).alias("_before"))  # the calendar
+    rows = data.select("game", "draw_date", "draw_id", of.alias("x"), (F.row_number().over(within) - 1).alias("_r")).join(seen, (F.col("game") == F.col("_h")) & (F.col("draw_date") == F.col("_e")))
+    rows = rows.select("game", (F.col("_before") + F.col("_r")).alias("i"), (F.col("x.brier") - uniform_brier()).alias("delta"), (F.col("x.log_loss") - uniform_log_loss()).alias("loss"), (F.col("x.hits") - 1 / POOL).alias("uplift"), F.col("x.hits").alias("hits"), F.col("x.ties").cast("int").alias("ties"))
+    rows = stage(rows, "chance-draws")
+    means = {r["game"]: r for r in rows.groupBy("game").agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("delta"), F.avg("loss").alias("loss"), F.avg("uplift").alias("uplift"), F.sum("hits").alias("hits")).collect()}
+    games = sorted(means)
+    interval = lambda c: {r["game"]: r for r in resampled(rows, ["game"], c, "i", replicates=replicates, block=block).collect()}
+    deltas, hits = interval("delta"), interval("uplift")
+    ties: dict[str, dict[int, int]] = {}
+    for r in rows.groupBy("game", "ties").agg(F.count(F.lit(1)).alias("n")).collect():  # at most ten a game
+        ties.setdefault(r["game"], {})[r["ties"]] = r["n"]
+    tails = {g: summed_tail([({0.0: 1 - t / POOL, 1 / t: t / POOL}, t, n) for t, n in ties[g].items()], means[g]["hits"])[0] for g in games}
+    adjusted = holm([deltas[g]["p_lower"] for g in games] + [tails[g] for g in games])
+    out = []
+    for j, g in enumerate(games):
+        m, d, h = means[g], deltas[g], hits[g]
+        by_p, by_rank = bool(d["high"] < 0 and adjusted[j] < 0.05), bool(h["low"] > 0 and adjusted[len(games) + j] < 0.05)
+        basis = {(True, True): "probability_and_ranking", (True, False): "probability", (False, True): "ranking", (False, False): "none"}[by_p, by_rank]
+        out.append((g, m["n"], m["delta"], d["low"], d["high"], d["p_lower"], adjusted[j], m["loss"], m["uplift"], h["low"], h["high"], tails[g], adjusted[len(games) + j], sum(n for t, n in ties[g].items() if t > 1), basis))
+    kind = "game string, n bigint, brier_delta double, delta_low double, delta_high double, p_value double, adjusted_p double, log_loss_delta double, top1_uplift double, uplift_low double, uplift_high double, top1_p double, adjusted_top1_p double, tied bigint, qualification string"
+    out = spark.createDataFrame(out, kind)
+    return out.select(*(F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
+
+
+def chance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(spark, sf_dir)
+
+
 def chance_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest(spark, sf_dir)
 
@@ -161,7 +208,7 @@ def chance_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.join(best, "game", "left").select("game", "chance", F.coalesce("prior", F.lit(PRIORS[0])).alias("prior")).join(sums.select("game", "chance", "s", "t"), ["game", "chance"]).select("game", "chance", "prior", F.round(factor("", F.col("prior")), 9).alias("factor"))
 
 
-QUERIES = {"chance_predictions": chance_predictions, "chance_backtest": chance_backtest, "chance_popularity": chance_popularity}
+QUERIES = {"chance_predictions": chance_predictions, "chance_backtest": chance_backtest, "chance_report": chance_report, "chance_popularity": chance_popularity}
 
 _PREDICTIONS = f"""WITH {lift.LIFT},
 o AS (SELECT draw_id, game, draw_date, chance, row_number() OVER (PARTITION BY game ORDER BY draw_date, draw_id) AS i, lag(chance) OVER (PARTITION BY game ORDER BY draw_date, draw_id) AS prev FROM draws),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from urnspark.functions.predicates import recording_open
 from urnspark.operators.forecasts import DRAWN, EXPECTED, POOL, smoothed
+from urnspark.operators.resampling import resampled
 from urnspark.plans import lift
 from urnspark.plans.staging import folder
 
@@ -143,6 +144,23 @@ def cohorts(spark: SparkSession, path: str) -> DataFrame:
     return x.select("game", "cohort_index", "forecasts", "scores", "hits", F.round(mean, 9).alias("mean"), F.round(mean - DRAWN * EXPECTED, 9).alias("uplift"), F.round(p, 9).alias("p_value"), F.round(alpha, 12).alias("alpha"), "chance_hits", status.alias("status"))
 
 
+def intervals(spark: SparkSession, path: str, *, replicates: int = 2000) -> DataFrame:
+    """game, cohort_index, scores, uplift, low, high, p_value, alpha, status of the first hundred scores of each cohort that has so many.
+
+    The 95% interval of the mean uplift is an IID bootstrap's; a cohort qualifies if it lies above 0 and the exact tail is
+    below the cohort's share of the level.
+    """
+    met = forecasts(spark, path).join(scores(spark, path).select("game", "target_date", "main_hits"), ["game", "target_date"])
+    place = F.row_number().over(Window.partitionBy("game", "cohort_index").orderBy("target_date")) - 1  # a forecast a date
+    first = met.withColumn("i", place).where(F.col("i") < QUALIFYING).select("game", "cohort_index", "i", (F.col("main_hits") - DRAWN * EXPECTED).alias("uplift"))
+    told = resampled(first, ["game", "cohort_index"], "uplift", "i", replicates=replicates).where(F.col("n") == QUALIFYING)
+    hits = F.round((F.col("observed") + DRAWN * EXPECTED) * QUALIFYING).cast("int")
+    p = F.get(F.array(*(F.lit(float(v)) for v in exact_tail())), hits)
+    alpha = ALPHA / (F.col("cohort_index") * (F.col("cohort_index") + 1))
+    status = F.when((F.col("low") > 0) & (p < alpha), "qualified").otherwise("not_qualified")
+    return told.select("game", "cohort_index", F.col("n").alias("scores"), F.round("observed", 9).alias("uplift"), F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), F.round(p, 9).alias("p_value"), F.round(alpha, 12).alias("alpha"), status.alias("status"))
+
+
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """game, target_date, cohort (the year), main, chance, training_last_date, recorded_at: forecasts of each game for each date it is drawn on.
 
@@ -170,6 +188,11 @@ def _filled(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def cohort_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of a ledger of all dates' forecasts."""
+    return intervals(spark, _filled(spark, sf_dir))
+
+
 def number_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdicts of a ledger of all dates' forecasts."""
     return cohorts(spark, _filled(spark, sf_dir))
@@ -182,7 +205,7 @@ def ledger_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.join(verify(spark, path).groupBy("game").agg(F.count(F.lit(1)).alias("problems")), "game", "left").na.fill(0, ["problems"])
 
 
-QUERIES = {"number_ledger": number_ledger, "ledger_heads": ledger_heads}
+QUERIES = {"cohort_intervals": cohort_intervals, "number_ledger": number_ledger, "ledger_heads": ledger_heads}
 
 _FORECASTS = f"""WITH {lift.LIFT},
 dd AS (SELECT draw_date, count(*) AS n FROM draws GROUP BY 1), cal AS (SELECT a.draw_date, (SELECT sum(b.n) FROM dd b WHERE b.draw_date < a.draw_date) AS h, (SELECT max(b.draw_date) FROM dd b WHERE b.draw_date < a.draw_date) AS pd FROM dd a),
