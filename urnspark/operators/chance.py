@@ -128,6 +128,7 @@ def choices(spark: SparkSession, sf_dir: str, *, min_train: int = 500, outer: in
     sums = by_date.join(dates.select("game", "draw_date", "at"), ["game", "draw_date"]).join(first, "game")
     chosen = sums.where((F.col("at") >= F.col("split")) & (F.col("at") < F.col("start"))).groupBy("game", "fold", "k").agg((F.sum("l") / F.sum("n")).alias("l"), (F.sum("b") / F.sum("n")).alias("b"))
     chosen = chosen.groupBy("game", "fold").agg(F.min(F.struct(F.round("l", 12).alias("l"), F.round("b", 12).alias("b"), "k"))["k"].alias("k"))
+    chosen = stage(chosen, "chance-choices")
     return chosen, sums.where((F.col("at") >= F.col("start")) & (F.col("at") <= F.col("end"))).join(chosen, ["game", "fold", "k"])
 
 
@@ -149,7 +150,9 @@ def report(spark: SparkSession, sf_dir: str, *, min_train: int = 500, outer: int
     chosen, tested = choices(spark, sf_dir, min_train=min_train, outer=outer)
     dates = tested.select(F.col("game").alias("_g"), F.col("draw_date").alias("_d"), "fold", "k")
     data = windows(as_of(spark, sf_dir), (25, 100, 400, 0)).join(dates, (F.col("game") == F.col("_g")) & (F.col("draw_date") == F.col("_d")))
-    of = F.get(F.array(*(F.struct(*_scores(distribution(*g))) for g in GRID)), F.col("k"))
+    of = F.lit(None)
+    for (k,) in chosen.select("k").distinct().collect():  # a setting per game and fold at most
+        of = F.when(F.col("k") == k, F.struct(*_scores(distribution(*GRID[k])))).otherwise(of)
     within = Window.partitionBy("game", "draw_date").orderBy("draw_id")
     seen = tested.select(F.col("game").alias("_h"), F.col("draw_date").alias("_e"), (F.sum("n").over(Window.partitionBy("game").orderBy("draw_date")) - F.col("n")).alias("_before"))  # the calendar
     rows = data.select("game", "draw_date", "draw_id", of.alias("x"), (F.row_number().over(within) - 1).alias("_r")).join(seen, (F.col("game") == F.col("_h")) & (F.col("draw_date") == F.col("_e")))
