@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 from datetime import date, timedelta
 from math import cos, log, pi, sin
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from urnspark.functions.probability import holm
 from urnspark.operators import learners
-from urnspark.operators.learners import Boosted, day_of, summed, unpacked
+from urnspark.operators.learners import EPOCH, Boosted, day_of, summed, unpacked
 from urnspark.operators.models import FEATURES, GAMES, _inner, folds, participation
 from urnspark.operators.quantiles import exact_quantiles
 from urnspark.operators.resampling import resampled
@@ -26,6 +27,8 @@ OWN = 10
 MODELS = ("ridge", "gradient_boosting")
 #: Quantiles that the multipliers of a forecast are kept by.
 STEPS = 1000
+#: What makes day_of's numbers weekdays, Monday 0.
+WEEKDAY = EPOCH.weekday()
 
 
 @dataclass
@@ -42,19 +45,21 @@ class Linear:
 
 def fit_linear(data: DataFrame, models: list[Linear]) -> list[Linear]:
     """Ridge regressions of all dates and penalties from one pass of sums of products."""
-    firsts = sorted({m.first for m in models})
+    firsts = np.array(sorted({m.first for m in models}))
 
     def sums(r):
         days, x, _, y = unpacked(r)
         z = np.c_[np.ones(len(x)), x[:, 0], y[:, 0]]
-        for i, first in enumerate(firsts):
-            use = z[days < first]
-            yield i, (use.T @ use).ravel()
-
-    told = summed(data, sums)
+        part = np.searchsorted(firsts, days, side="right")  # the first of firsts that is later
+        for i in np.unique(part[part < len(firsts)]):
+            use = z[part == i]
+            yield int(i), (use.T @ use).ravel()
+
+    # What lies between two dates is added up once; a date's sums are those of all before it.
+    parts, size = summed(data, sums), len(FEATURES) + 2
+    told = np.cumsum([parts.get(i, np.zeros(size * size)) for i in range(len(firsts))], axis=0)
     for m in models:
-        size = len(FEATURES) + 2
-        s = told[firsts.index(m.first)].reshape(size, size)
+        s = told[np.searchsorted(firsts, m.first)].reshape(size, size)
         m.beta = np.linalg.solve(s[:-1, :-1] + m.alpha * np.diag(np.r_[0.0, np.ones(size - 2)]), s[:-1, -1])
     return models
 
@@ -77,7 +82,8 @@ def errors(data: DataFrame, trials: list[tuple[object, int, int]]) -> list[tuple
 def baselines(rows: DataFrame, starts: list[tuple[int, date]]) -> DataFrame:
     """fold, game, weekday, baseline: medians of y over the dates before each fold's first, exact.
 
-    Of the game's weekday where it has ten observations, else of the game, else of all.
+    Of the game's weekday where it has ten observations, else of the game, else of all. Weekday -1 of a game has the game's,
+    that of the game '' has that of all.
     """
     table = rows.sparkSession.createDataFrame(starts, "fold int, first date")
     past = rows.join(F.broadcast(table), F.col("draw_date") < F.col("first")).select("fold", "game", F.weekday("draw_date").alias("weekday"), "y")  # a row a fold
@@ -87,7 +93,8 @@ def baselines(rows: DataFrame, starts: list[tuple[int, date]]) -> DataFrame:
     long = past.select("fold", "y", F.explode(levels).alias("l")).select("fold", "l.level", "l.g", "l.d", "y")
     m = exact_quantiles(long, ["fold", "level", "g", "d"], "y", [0.5]).select("fold", "level", "g", "d", F.col("quantile").alias("m"))
     n = long.where("level = 1").groupBy(F.col("fold").alias("f"), F.col("g").alias("ng"), F.col("d").alias("nd")).agg(F.count(F.lit(1)).alias("n"))
-    grid = table.select("fold").crossJoin(rows.select("game", F.weekday("draw_date").alias("weekday")).distinct())  # games by weekdays
+    kinds = F.array(F.struct("game", F.weekday("draw_date").alias("weekday")), F.struct("game", F.lit(-1).alias("weekday")), F.struct(F.lit("").alias("game"), F.lit(-1).alias("weekday")))
+    grid = table.select("fold").crossJoin(rows.select(F.explode(kinds).alias("k")).select("k.*").distinct())  # games by weekdays
     at = lambda level, name: m.where(F.col("level") == level).select(F.col("fold").alias(f"{name}f"), F.col("g").alias(f"{name}g"), F.col("d").alias(f"{name}d"), F.col("m").alias(name))
     out = grid.join(at(1, "a"), (F.col("fold") == F.col("af")) & (F.col("game") == F.col("ag")) & (F.col("weekday") == F.col("ad")), "left")
     out = out.join(at(2, "b"), (F.col("fold") == F.col("bf")) & (F.col("game") == F.col("bg")), "left").join(at(3, "c"), F.col("fold") == F.col("cf"), "left")
@@ -114,6 +121,12 @@ class Forecaster:
             return self.baseline.get((game, target.weekday()), self.baseline.get((game, -1), self.baseline["", -1]))
         return float(self.predictor.predict(np.array([day_of(target)]), features_of(jackpot, target, game)[None, None, :])[0, 0])
 
+    def log_medians(self, days: np.ndarray, games: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Of many observations with FEATURES x."""
+        if self.predictor is None:
+            return np.array([self.baseline[g, int(d)] for g, d in zip(games, (days + WEEKDAY) % 7)])
+        return self.predictor.predict(days, x[:, None, :])[:, 0]
+
     def tickets(self, jackpot: float, target: date, game: str) -> float:
         if target <= self.last:
             raise ValueError("the target must lie after all observations")
@@ -134,6 +147,13 @@ def features_of(jackpot: float, day: date, game: str) -> np.ndarray:
     return np.array([size, size * size, (day - date(1990, 1, 1)).days / 3652, sin(turn), cos(turn), *(float(day.weekday() == i) for i in range(7)), *(float(game == g) for g in GAMES)])
 
 
+def _grid(models: tuple[str, ...]) -> list[tuple]:
+    """model, its parameters as text, a maker of one that trains before a day."""
+    grid = [("ridge", f"alpha={a:g}", lambda d, a=a: Linear(d, a)) for a in ALPHAS]
+    grid += [("gradient_boosting", f"rate={r:g} leaves={v} l2={b:g}", lambda d, r=r, v=v, b=b: Boosted(d, r, v, b, value=True)) for r, v, b in BOOSTS]
+    return [g for g in grid if g[0] in models]
+
+
 REPORT = (
     "model string, observations bigint, test_observations bigint, folds int, log_rmse double, baseline_log_rmse double, mape double, baseline_mape double, improvement double, mse_delta double, delta_low double, delta_high double, "
     "p_value double, adjusted_p double, smearing array<double>, bias double, calibrated_bias double, parameters string, final_parameters string, qualified boolean"
@@ -158,8 +178,7 @@ def evaluate(spark: SparkSession, source: str, *, before: date | None = None, mi
     days = sorted(r[0] for r in rows.select("draw_date").distinct().collect())  # the calendar
     end, split = days[-1] + timedelta(days=1), days[min(len(days) - 1, max(1, int(len(days) * 0.8)))]
     spans = [(k, day_of(first), day_of(s)) for k, first, s in marks] + [(0, day_of(end), day_of(split))]
-    grid = [("ridge", f"alpha={a:g}", lambda d, a=a: Linear(d, a)) for a in ALPHAS] + [("gradient_boosting", f"rate={r:g} leaves={v} l2={b:g}", lambda d, r=r, v=v, b=b: Boosted(d, r, v, b, value=True)) for r, v, b in BOOSTS]
-    grid = [g for g in grid if g[0] in models]
+    grid = _grid(models)
     made = {(text, d): make(d) for _, text, make in grid for _, first, s in spans for d in (first, s)}
     blocks = learners.observed(data, FEATURES, "y")
     if lines := [p for p in made.values() if isinstance(p, Linear)]:
@@ -226,14 +245,93 @@ def evaluate(spark: SparkSession, source: str, *, before: date | None = None, mi
     mean = levels.agg(F.avg("v")).first()[0]
     at = exact_quantiles(levels, [], "v", [j / STEPS for j in range(STEPS + 1)]).orderBy("p").collect()
     medians = {(r["game"], r["weekday"]): r["baseline"] for r in base.where("fold = 0").collect()}
-    # A game's weekday that was never seen takes the game's median, a game never seen that of all.
-    more = exact_quantiles(rows.select(F.explode(F.array("game", F.lit(""))).alias("g"), "y"), ["g"], "y", [0.5]).collect()
-    medians |= {(r["g"], -1): r["quantile"] for r in more}
     spans_ = {r["game"]: (r["a"], r["b"]) for r in rows.groupBy("game").agg(F.min("jackpot_level").alias("a"), F.max("jackpot_level").alias("b")).collect()}
     forecaster = Forecaster(best, chosen[best["model"], 0][1] if qualified else None, chosen[best["model"], 0][2] if qualified else 1.0, medians, np.array([r["quantile"] for r in at]) / mean, spans_, count, days[-1])
     return out, forecaster
 
 
+def walk(rows: DataFrame, befores: list[date], *, n: int = 2, replicates: int = 500, trees: int = 150, models: tuple[str, ...] = MODELS) -> dict[date, Forecaster]:
+    """The forecasters of evaluate for many dates at once, each from what lies before its date, in passes that all share.
+
+    rows: participation with jackpot_level. Of a date's observations half, or a hundred at least, are before its n folds;
+    a date with no more than these is an error. Ridge sums are differences of running ones; an observation is tested once by
+    each date whose folds hold it, so rows grow with the number of dates, which the calendar bounds.
+    """
+    spark = rows.sparkSession
+    counted = rows.groupBy("draw_date").agg(F.count(F.lit(1)).alias("c")).orderBy("draw_date").collect()  # the calendar
+    days, run = [r["draw_date"] for r in counted], np.cumsum([r["c"] for r in counted])
+    befores, spans, zero = sorted(set(befores)), [], {}
+    for k, before in enumerate(befores):
+        m = bisect_left(days, before)
+        seen = int(run[m - 1]) if m else 0
+        if seen <= (least := max(100, seen // 2)):
+            raise ValueError(f"too few observations before {before}")
+        parts = [p for p in np.array_split(np.arange(np.searchsorted(run, least, side="right"), m), n) if len(p)]
+        zero[k] = int(run[parts[0][0] - 1])
+        at = [(j, int(p[0]), days[p[0]], int(p[-1]) + 1) for j, p in enumerate(parts, 1)] + [(0, m, days[m - 1] + timedelta(days=1), m)]
+        spans += [(k, j, first, days[min(i - 1, max(1, int(i * 0.8)))], days[end - 1] + timedelta(days=1)) for j, i, first, end in at]
+    grid = _grid(models)
+    made = {(text, d): make(day_of(d)) for _, text, make in grid for _, _, first, split, _ in spans for d in (first, split)}
+    blocks = learners.observed(rows, FEATURES, "y")
+    if lines := [p for p in made.values() if isinstance(p, Linear)]:
+        fit_linear(blocks, lines)
+    if boosts := [p for p in made.values() if isinstance(p, Boosted)]:
+        learners.fit_boosted(rows.withColumn("n", F.lit(1)), FEATURES, boosts, trees=trees, data=blocks)
+    asked = sorted({(text, split, first) for _, _, first, split, _ in spans for _, text, _ in grid if split < first})
+    error = dict(zip(asked, errors(blocks, [(made[text, split], day_of(split), day_of(first)) for text, split, first in asked])))
+    chosen = {}
+    for k, j, first, split, _ in spans:
+        for model in models:
+            texts = [text for name, text, _ in grid if name == model]
+            best = texts[0] if split >= first else min(texts, key=lambda t: (round(error[t, split, first][0], 14), texts.index(t)))
+            chosen[k, j, model] = (best, made[best, first], error[best, split, first][1] if split < first else 1.0)
+    starts = sorted({first for _, _, first, _, _ in spans})
+    base = stage(baselines(rows, list(enumerate(starts))), "baselines")
+    tests = [(k, starts.index(first), day_of(first), day_of(end), [chosen[k, j, m][1] for m in models]) for k, j, first, _, end in spans if j]
+
+    def predict(batches):
+        for x in batches:
+            d = np.array([day_of(v) for v in x["draw_date"]])
+            v = x[list(FEATURES)].to_numpy(float)[:, None, :]
+            for k, start, first, end, ps in tests:
+                if (use := (d >= first) & (d < end)).any():
+                    for m, p in enumerate(ps):
+                        yield pd.DataFrame({"k": k, "start": start, "model": m, "game": x["game"][use], "weekday": (d[use] + WEEKDAY) % 7, "i": x["place"][use] - zero[k], "y": x["y"][use], "p": p.predict(d[use], v[use])[:, 0]})
+
+    calendar = spark.createDataFrame([(d, int(r - c["c"])) for d, r, c in zip(days, run, counted)], "_d date, _h bigint")
+    order = Window.partitionBy("draw_date").orderBy("game", "draw_id")
+    placed = rows.withColumn("_r", F.row_number().over(order) - 1).join(F.broadcast(calendar), F.col("draw_date") == F.col("_d")).withColumn("place", F.col("_h") + F.col("_r"))
+    long = placed.select("draw_date", "game", "y", "place", *FEATURES).mapInPandas(predict, "k int, start int, model int, game string, weekday int, i bigint, y double, p double")
+    at = base.select(F.col("fold").alias("_f"), F.col("game").alias("_g"), F.col("weekday").alias("_w"), "baseline")
+    long = long.join(F.broadcast(at), (F.col("start") == F.col("_f")) & (F.col("game") == F.col("_g")) & (F.col("weekday") == F.col("_w")))  # dates by games by weekdays
+    e, b = F.col("p") - F.col("y"), F.col("baseline") - F.col("y")
+    long = stage(long.select("k", "model", "i", "y", "p", "baseline", (e * e - b * b).alias("delta")), "predicted")
+    rmse = {(r["k"], r["model"]): r["e"] for r in long.groupBy("k", "model").agg(F.sqrt(F.avg(e * e)).alias("e")).collect()}
+    tested = {(r["k"], r["model"]): r for r in resampled(long, ["k", "model"], "delta", "i", replicates=replicates).collect()}
+    champions = []
+    for k in range(len(befores)):
+        adjusted = holm([tested[k, m]["p_lower"] for m in range(len(models))])
+        qualified = [m for m in range(len(models)) if tested[k, m]["high"] < 0 and adjusted[m] < 0.05]
+        champions.append((k, min(qualified or range(len(models)), key=lambda m: rmse[k, m]), bool(qualified)))
+    table = spark.createDataFrame(champions, "_k int, _m int, qualified boolean")  # a row a date
+    levels = long.join(F.broadcast(table), (F.col("k") == F.col("_k")) & (F.col("model") == F.col("_m"))).select("k", F.exp(F.col("y") - F.when(F.col("qualified"), F.col("p")).otherwise(F.col("baseline"))).alias("v"))
+    mean = {r["k"]: r["v"] for r in levels.groupBy("k").agg(F.avg("v").alias("v")).collect()}
+    steps: dict[int, list] = {}
+    for r in exact_quantiles(levels, ["k"], "v", [j / STEPS for j in range(STEPS + 1)]).orderBy("k", "p").collect():
+        steps.setdefault(r["k"], []).append(r["quantile"])
+    ends = {starts.index(first): k for k, j, first, _, _ in spans if not j}
+    medians: dict[int, dict] = {k: {} for k in range(len(befores))}
+    for r in base.where(F.col("fold").isin(list(ends))).collect():  # dates by games by weekdays
+        medians[ends[r["fold"]]][r["game"], r["weekday"]] = r["baseline"]
+    out = {}
+    for k, m, qualified in champions:
+        text, predictor, factor = chosen[k, 0, models[m]]
+        champion = {"model": models[m], "parameters": text, "log_rmse": rmse[k, m], "qualified": qualified}
+        past = bisect_left(days, befores[k])
+        out[befores[k]] = Forecaster(champion, predictor if qualified else None, factor if qualified else 1.0, medians[k], np.array(steps[k]) / mean[k], {}, int(run[past - 1]), days[past - 1])
+    return out
+
+
 def told(spark: SparkSession, rows: list[dict], kind: str) -> DataFrame:
     names = [c.split()[0] for c in kind.split(", ")]
     out = spark.createDataFrame([tuple(r[c] for c in names) for r in rows], kind)

@@ -10,24 +10,25 @@ from pyspark.sql import functions as F
 from urnspark.plans.staging import stage
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], *, weight: str | None = None, buckets: int = 256) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], *, weight: str | None = None, nearest: bool = False, buckets: int = 256) -> DataFrame:
     """by, p, quantile: of each group the quantiles of a finite value, with linear interpolation between neighbours.
 
     weight: a column of whole numbers; a row counts so many times. Null and NaN values, and weights of 0, are left out; a
-    group of none has no row. Nulls of by form groups of their own.
+    group of none has no row. Nulls of by form groups of their own. nearest: the value at the nearest place instead, halves going
+    to the even one.
 
     A rank's range begins as all of its group. Each round counts the rows of the open ranges in buckets, with the least
     and the greatest value of each, and a rank goes on in the bucket that holds it, until one value is left. Counts are
     combined before the shuffle, so a group of any size costs buckets, and no task holds a group's values.
     """
     if not by:
-        return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, weight=weight, buckets=buckets).drop("_all")
+        return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, weight=weight, nearest=nearest, buckets=buckets).drop("_all")
     v, w = F.col(value).cast("double"), (F.lit(1) if weight is None else F.col(weight)).cast("long")
     keys = [f"_k{i}" for i in range(len(by))]
     rows = df.where(v.isNotNull() & ~F.isnan(v) & (w > 0)).select(*(F.col(c).alias(k) for c, k in zip(by, keys)), (v + 0.0).alias("_v"), w.alias("_w"))
     every = stage(rows.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "quantile-groups")
     ps = F.array(*(F.lit(float(p)) for p in probs))
-    places = every.select(*keys, "_n", "_lo", "_hi", F.explode(ps).alias("p")).withColumn("_at", F.col("p") * (F.col("_n") - 1))
+    places = every.select(*keys, "_n", "_lo", "_hi", F.explode(ps).alias("p")).withColumn("_at", (lambda at: F.bround(at, 0) if nearest else at)(F.col("p") * (F.col("_n") - 1)))
     ends = F.array(F.floor("_at"), F.ceil("_at"))
     ranks = places.select(*keys, F.explode(ends).alias("_rank"), "_lo", "_hi").distinct().withColumn("_below", F.lit(0).cast("long"))
     now, found = stage(ranks, "ranks"), []

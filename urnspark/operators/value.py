@@ -28,9 +28,10 @@ MOST = 1e9
 
 
 def history(spark: SparkSession, source: str, before: date | None = None) -> DataFrame:
-    """game, i, draw_date, lower_ev, pool, code: the draws whose nine ranks all pay, by place in their game.
+    """draw_id, game, i, draw_date, lower_ev, pool, code, known: the draws whose nine ranks all pay, by place in their game.
 
-    lower_ev: ranks 2 to 9 at their odds. pool: what the draw's codes paid, null if unknown; code: that, if above 0.
+    lower_ev: ranks 2 to 9 at their odds. pool: what the draw's codes paid, null if unknown; code: that, if above 0; known:
+    the game's pools, nulls aside, before this draw.
     """
     rows = lift.run(
         spark,
@@ -43,11 +44,15 @@ def history(spark: SparkSession, source: str, before: date | None = None) -> Dat
     )
     if before is not None:
         rows = rows.where(F.col("draw_date") < F.lit(before))
-    days = rows.groupBy("game", "draw_date").agg(F.count(F.lit(1)).alias("n"))  # the calendar
-    days = days.select(F.col("game").alias("g"), F.col("draw_date").alias("d"), (F.sum("n").over(Window.partitionBy("game").orderBy("draw_date")) - F.col("n")).alias("h"))
-    within = F.row_number().over(Window.partitionBy("game", "draw_date").orderBy("draw_id")) - 1
-    rows = rows.withColumn("r", within).join(days, (F.col("game") == F.col("g")) & (F.col("draw_date") == F.col("d")))
-    return stage(rows.select("game", (F.col("h") + F.col("r")).alias("i"), "draw_date", "lower_ev", "pool", F.when(F.col("pool") > 0, F.col("pool")).alias("code")), "value-history")
+    days = rows.groupBy("game", "draw_date").agg(F.count(F.lit(1)).alias("n"), F.count("pool").alias("c"))  # the calendar
+    before_ = Window.partitionBy("game").orderBy("draw_date")
+    days = days.select(F.col("game").alias("g"), F.col("draw_date").alias("d"), *((F.sum(c).over(before_) - F.col(c)).alias(f"h{c}") for c in "nc"))
+    within = Window.partitionBy("game", "draw_date").orderBy("draw_id")
+    own = F.col("pool").isNotNull().cast("long")
+    rows = rows.withColumns({"r": F.row_number().over(within) - 1, "k": F.sum(own).over(within.rowsBetween(Window.unboundedPreceding, 0)) - own})
+    rows = rows.join(days, (F.col("game") == F.col("g")) & (F.col("draw_date") == F.col("d")))
+    code = F.when(F.col("pool") > 0, F.col("pool")).alias("code")
+    return stage(rows.select("draw_id", "game", (F.col("hn") + F.col("r")).alias("i"), "draw_date", "lower_ev", "pool", code, (F.col("hc") + F.col("k")).alias("known")), "value-history")
 
 
 def nearest(n: int, p: float) -> int:
@@ -55,45 +60,46 @@ def nearest(n: int, p: float) -> int:
     return round(p * (n - 1))
 
 
-def references(rows: DataFrame) -> dict[str, dict]:
-    """Of each game: n, lower (mean), code (mean pool), window, tail, coverage.
+def windows(rows: DataFrame, asked: list[tuple[str, str, int]]) -> dict[str, dict]:
+    """Of each (key, game, n), from the game's first n draws: window, tail, coverage.
 
     With fewer than twenty draws all of them are the window, with the tail 0.025 and a coverage of 1. Else the first four
     fifths give, for each window of their last draws and each tail, an interval of lower_ev; the one whose share of the
     last fifth is nearest the target, then the narrowest, is chosen. The intervals' ends are exact, by counts.
     """
+    out = {key: {"window": n, "tail": 0.025, "coverage": 1.0} for key, _, n in asked if n < 20}
+    cuts = {key: max(10, int(n * 0.8)) for key, _, n in asked}
+    tries = [(key, game, n, w, cuts[key]) for key, game, n in asked if n >= 20 for w in sorted({min(w, cuts[key]) for w in (*WINDOWS, cuts[key])})]
+    if not tries:
+        return out
+    spark = rows.sparkSession
+    table = spark.createDataFrame(tries, "key string, g string, n long, window long, cut long")  # at most four rows a key
+    base = rows.join(F.broadcast(table), (F.col("game") == F.col("g")) & (F.col("i") < F.col("cut")) & (F.col("i") >= F.col("cut") - F.col("window")))
+    got = exact_quantiles(base, ["key", "window"], "lower_ev", sorted({p for t in TAILS for p in (t, 1 - t)}), nearest=True)
+    ends = {(r["key"], r["window"], r["p"]): r["quantile"] for r in got.collect()}
+    tried = []
+    for key, game, n, w, cut in tries:
+        for tail in TAILS:
+            low, high = (ends[key, w, p] for p in (tail, 1 - tail))
+            tried.append((key, game, n, cut, w, tail, low, high))
+    bounds = spark.createDataFrame(tried, "key string, g string, n long, cut long, window long, tail double, low double, high double")
+    late = rows.join(F.broadcast(bounds), (F.col("game") == F.col("g")) & (F.col("i") >= F.col("cut")) & (F.col("i") < F.col("n")))  # twelve rows a key
+    near = 1e-12 * F.abs("lower_ev")
+    inside = (F.col("lower_ev") >= F.col("low") - near) & (F.col("lower_ev") <= F.col("high") + near)
+    got = {(r["key"], r["window"], r["tail"]): r["c"] for r in late.groupBy("key", "window", "tail").agg(F.avg(inside.cast("double")).alias("c")).collect()}
+    best: dict[str, tuple] = {}
+    for key, _, _, _, w, tail, low, high in tried:
+        goal = (round(abs(got[key, w, tail] - TARGET), 12), high - low)
+        if key not in best or goal < best[key][0]:
+            best[key] = (goal, w, tail, got[key, w, tail])
+    return out | {key: {"window": w, "tail": tail, "coverage": c} for key, (_, w, tail, c) in best.items()}
+
+
+def references(rows: DataFrame) -> dict[str, dict]:
+    """Of each game: n, lower (mean), code (mean pool), and its window, tail and coverage."""
     told = {r["game"]: r.asDict() for r in rows.groupBy("game").agg(F.count(F.lit(1)).alias("n"), F.avg("lower_ev").alias("lower"), F.coalesce(F.avg("code"), F.lit(0.0)).alias("code")).collect()}
-    spark, asked = rows.sparkSession, []
-    for game, t in told.items():
-        n = t["n"]
-        cut = max(10, int(n * 0.8))
-        t["cut"] = cut
-        if n >= 20:
-            asked += [(game, w, cut) for w in sorted({min(w, cut) for w in (*WINDOWS, cut)})]
-        else:
-            t |= {"window": n, "tail": 0.025, "coverage": 1.0}
-    if asked:
-        table = spark.createDataFrame(asked, "g string, window int, cut int")  # at most four rows a game
-        base = rows.join(F.broadcast(table), (F.col("game") == F.col("g")) & (F.col("i") < F.col("cut")) & (F.col("i") >= F.col("cut") - F.col("window")))
-        shares = sorted({nearest(w, p) / max(1, w - 1) for _, w, _ in asked for t in TAILS for p in (t, 1 - t)})
-        ends = {(r["game"], r["window"], r["p"]): r["quantile"] for r in exact_quantiles(base.select("game", "window", "lower_ev"), ["game", "window"], "lower_ev", shares).collect()}
-        tried = []
-        for game, w, cut in asked:
-            for tail in TAILS:
-                low, high = (ends[game, w, nearest(w, p) / max(1, w - 1)] for p in (tail, 1 - tail))
-                tried.append((game, cut, w, tail, low, high))
-        bounds = spark.createDataFrame(tried, "g string, cut int, window int, tail double, low double, high double")
-        late = rows.join(F.broadcast(bounds), (F.col("game") == F.col("g")) & (F.col("i") >= F.col("cut")))  # twelve rows a game
-        near = 1e-12 * F.abs("lower_ev")
-        inside = (F.col("lower_ev") >= F.col("low") - near) & (F.col("lower_ev") <= F.col("high") + near)
-        got = {(r["game"], r["window"], r["tail"]): r["c"] for r in late.groupBy("game", "window", "tail").agg(F.avg(inside.cast("double")).alias("c")).collect()}
-        best: dict[str, tuple] = {}
-        for game, _, w, tail, low, high in tried:
-            goal = (round(abs(got[game, w, tail] - TARGET), 12), high - low)
-            if game not in best or goal < best[game][0]:
-                best[game] = (goal, w, tail, got[game, w, tail])
-        for game, (_, w, tail, c) in best.items():
-            told[game] |= {"window": w, "tail": tail, "coverage": c}
+    for game, found in windows(rows, [(g, g, t["n"]) for g, t in told.items()]).items():
+        told[game] |= found
     return told
 
 
