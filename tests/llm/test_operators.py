@@ -383,3 +383,75 @@ def test_near_duplicates_of_few_words(spark):
     for i, j in links:
         if min(len(h[i]), len(h[j])) < p.short:
             assert set(neardup.exact_keys(h[i], p)) & set(neardup.exact_keys(h[j], p))
+
+
+def test_store_root_binds_ids_places_and_coding(docs):
+    kept = store.write_store(docs)
+    root = store.manifest(kept)
+    assert store.read_store(kept, root).count() == kept.count()
+    other = {9: 12, 12: 9}
+    swapped = F.coalesce(*(F.when(F.col("id") == a, F.lit(b).cast(kept.schema["id"].dataType)) for a, b in other.items()), F.col("id"))
+    for name, value in (("id", swapped), ("start", F.col("start") + 100), ("n_tokens", F.col("n_tokens") + 1), ("coding", F.lit("x:2"))):
+        with pytest.raises(ValueError, match="manifest"):
+            store.read_store(kept.withColumn(name, value), root)
+    assert store.manifest(store.write_store(docs, end_id=2)) != root
+
+
+def test_lines_beyond_two_to_the_23(spark):
+    """Places keep their order, and give the line back, as far as an array goes."""
+    ns = [0, 1, (1 << 23) - 1, 1 << 23, (1 << 31) - 2]
+    df = spark.createDataFrame([(n,) for n in ns], "n int").select("n", lines._place(F.col("n"), F.lit("a line")).alias("at"))
+    got = [tuple(r) for r in df.select("n", F.shiftright("at", 32).cast("int"), "at").collect()]
+    assert all(a == b and at >= 0 for a, b, at in got) and [a for a, _, _ in sorted(got, key=lambda r: r[2])] == ns
+
+
+def test_secrets_in_form_bodies_and_long_escapes():
+    for text, at in (("x password+%3D+abcdef12 y", (2, 23)), (r"\U00000070assword=abcdef12", (0, 26)), (r"\u{70}assword=abcdef12", (0, 22)), (r"\u{000070}assword=abcdef12", (0, 26))):
+        base, spans, _, _ = secrets.scan(text)
+        assert not base and spans == [(at[0], 0, at[1])], text
+    assert secrets.scan("password+=+abcdef12 50%41")[1] == []  # no escape in the run
+    assert secrets.scan(r"\U00110000 \u{ffffffff} \u{d800}")[1] == []
+
+
+def test_secrets_in_random_nestings_of_every_document(spark):
+    """A secret under one to four random layers, planted at a random blank of every document: all are found, where they are."""
+    import base64
+    import bz2
+    import gzip
+    import lzma
+    import zlib
+    from urllib.parse import quote, quote_plus
+
+    b64 = lambda x: base64.b64encode(x).decode()
+    layers = [
+        quote, quote_plus, lambda t: "".join(f"%{b:02X}" for b in t.encode()), lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: "".join(f"\\x{ord(c):02x}" for c in t), lambda t: "".join(f"\\U{ord(c):08x}" for c in t),
+        lambda t: "".join(f"\\u{{{ord(c):x}}}" for c in t), lambda t: b64(t.encode()), lambda t: base64.urlsafe_b64encode(t.encode()).decode(), lambda t: base64.encodebytes(t.encode()).decode().strip(),
+        *(lambda t, pack=pack: b64(pack(t.encode())) for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress)), lambda t: quote(gzip.compress(t.encode())), lambda t: b64(gzip.compress(b"first") + gzip.compress(t.encode())),
+    ]
+    rng, missed, n = np.random.default_rng(7), [], 0
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect():
+        find, plan = f"password = Zq{int(rng.integers(10**9)):09d}xk", [int(i) for i in rng.integers(len(layers), size=int(rng.integers(1, 5)))]
+        for i in plan:
+            find = layers[i](find)
+        if len(find) > 200_000:
+            continue
+        text = r["text"] or ""
+        places = [0, *(i for i, c in enumerate(text) if c == " ")]
+        at = places[int(rng.integers(len(places)))]
+        text = text[:at] + " " + find + " " + text[at:]
+        n += 1
+        if not any(k == 0 and at <= s < e <= at + 2 + len(find) for s, k, e in secrets.scan(text)[1]):
+            missed.append((r["doc_id"], plan))
+    assert n > 150 and not missed
+
+
+def test_many_small_members():
+    """A run of members costs what it holds, not its square."""
+    import gzip
+    from time import process_time
+
+    one, began = gzip.compress(b"x"), process_time()
+    data, used, cut = secrets._unpack(one * 100_000 + gzip.compress(b"token=abcdef12"), 1 << 26)
+    assert data.endswith(b"token=abcdef12") and len(data) == 100_014 and not cut and used == len(one) * 100_000 + len(gzip.compress(b"token=abcdef12"))
+    assert process_time() - began < 20
+    assert secrets._unpack(gzip.compress(b"x" * 5000), 1000) == (b"x" * 1000, len(gzip.compress(b"x" * 5000)), True)

@@ -35,8 +35,8 @@ def _ceil(a, b: int):
 
 
 def _place(no, line):
-    """A line's number, and 40 bits of its hash, for rows that repeat an id with another text."""
-    return F.shiftleft(no.cast("bigint"), 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64(line), 24))
+    """A line's number, which any array leaves room for, and 32 bits of its hash, for rows that repeat an id with another text."""
+    return F.shiftleft(no.cast("bigint"), 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64(line), 32))
 
 
 def _wordy(s):
@@ -189,7 +189,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     blank = F.array_compact(F.transform(old, lambda s, i: F.when(~_wordy(s), _place(i, s))))
     stays = F.array_intersect(F.transform(old, lambda s, i: _place(i, s)), F.concat(F.coalesce("at", F.array().cast("array<bigint>")), blank))
     n = lambda a: F.coalesce(F.size(F.filter(a, _wordy)).cast("bigint"), F.lit(0))
-    out = out.select("doc", "n_links", n("old").alias("n_lines"), F.transform(stays, lambda k: F.get(old, F.shiftright(k, 40).cast("int"))).alias("new"))
+    out = out.select("doc", "n_links", n("old").alias("n_lines"), F.transform(stays, lambda k: F.get(old, F.shiftright(k, 32).cast("int"))).alias("new"))
     counts = F.struct("n_lines", n("new").alias("n_kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     kept = [F.array_join("new", "\n").alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in docs.columns if c != "_lines"]
     return out.select(*kept, counts.alias("_lines"))

@@ -23,7 +23,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYS = ("passw", "secret", "token", "apikey", "api_key")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
+_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,8}\})+")
+#: In form bodies a blank is a plus; only runs without a blank that have an escape too are taken for such.
+_RUN = re.compile(r"\S+")
+_FORM = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Runs of base64 that are wrapped: every line but the last has 16 characters at least.
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[\x20\t]*+\r?\n[\x20\t]*+)+[A-Za-z0-9+/_-]+={0,2}")
@@ -87,6 +90,12 @@ def _unescape(run: str) -> list[tuple[str, int]]:
             out.append((chr(int(run[i + 2 : i + 4], 16)), 4))
             i += 4
             continue
+        if run[i + 1] == "U" or run[i + 2] == "{":
+            n = 10 if run[i + 1] == "U" else run.index("}", i) + 1 - i
+            c = int(run[i : i + n].strip("\\uU{}"), 16)
+            out.append((chr(c) if c < 0xD800 or 0xE000 <= c < 0x110000 else "�", n))
+            i += n
+            continue
         c, n = int(run[i + 2 : i + 6], 16), 6
         if 0xD800 <= c < 0xDC00 and run[i + 6 : i + 8] == "\\u" and 0xDC00 <= (d := int(run[i + 8 : i + 12], 16)) < 0xE000:
             c, n = 0x10000 + ((c - 0xD800) << 10) + d - 0xDC00, 12
@@ -103,6 +112,25 @@ def _percent(run: str) -> list[tuple[str, int]]:
     return [(c, 3 * len(c.encode("utf-8"))) for c in text]
 
 
+def _form(text: str, layer: Layer) -> Layer | None:
+    """The text with its form-encoded runs decoded."""
+    out, last = Layer(layer), 0
+    for m in _RUN.finditer(text):
+        run = m.group()
+        if "+" in run and _PERCENT.search(run):
+            for e in _FORM.finditer(run):
+                src = m.start() + e.start()
+                out.add(text[last:src], last, src, True)
+                for c, n in [(" ", 1)] if e.group() == "+" else _percent(e.group()):
+                    out.add(c, src, src + n, False)
+                    src += n
+                last = src
+    if not last:
+        return None
+    out.add(text[last:], last, len(text), True)
+    return out
+
+
 def _rewritten(text: str, layer: Layer, pattern: re.Pattern, chars) -> Layer | None:
     out, last = Layer(layer), 0
     for m in pattern.finditer(text):
@@ -130,19 +158,24 @@ def _unpack(raw: bytes | memoryview, room: int) -> tuple[bytes, int, bool]:
     """The members that raw begins with, decompressed; the bytes they take; whether there was more than room."""
     out, at, raw = [], 0, memoryview(raw)
     while (d := _opener(bytes(raw[at : at + 8]))) is not None:
+        # Ever larger pieces, so that what a member leaves unused is never copied at length.
+        end, step, got, part = at, 1 << 10, 0, []
         try:
-            data = d.decompress(raw[at:], room + 1)
+            while end < len(raw) and not d.eof and got <= room:
+                data = d.decompress(raw[end : end + step], room + 1 - got)
+                end, step, got = min(len(raw), end + step), min(2 * step, 1 << 20), got + len(data)
+                part.append(data)
         except (zlib.error, OSError, lzma.LZMAError, EOFError):
             break
-        out.append(data[:room])
-        if len(data) > room:
+        out.append(b"".join(part)[:room])
+        if got > room:
             return b"".join(out), len(raw), True
-        room -= len(data)
+        room -= got
+        at = end - len(d.unused_data)
         if not d.eof:
-            at = len(raw)
             break
-        rest = d.unused_data.lstrip(b"\0")  # padding between members
-        at = len(raw) - len(rest)
+        while at < len(raw) and raw[at] == 0:  # padding between members
+            at += 1
     return b"".join(out), at, False
 
 
@@ -216,7 +249,7 @@ def _skipped(run: str, n: int) -> int:
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, bool]:
     """Base spans, all spans, layers unwrapped, and whether MOST stopped it; spans are (start, kind, end), sorted.
 
-    A worklist starts at the text. Of each layer, URL escapes, Unicode escapes, base64 runs (wrapped ones joined, at all
+    A worklist starts at the text. Of each layer, URL escapes (also with pluses for blanks), Unicode escapes, base64 runs (wrapped ones joined, at all
     four alignments) and all compressed members in them or in escaped bytes make further layers, which are scanned and decoded in turn until none is new. A layer whose text was
     seen before in this document isn't entered again, so cycles end. Finds map to the span that they were decoded from.
     """
@@ -228,6 +261,8 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
         made = []
         if "%" in now:
             made.append(_rewritten(now, layer, _PERCENT, _percent))
+            if "+" in now:
+                made.append(_form(now, layer))
         if "\\" in now:
             made.append(_rewritten(now, layer, _ESCAPE, _unescape))
         texts = []

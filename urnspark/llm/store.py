@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -199,8 +200,13 @@ def _rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def manifest(store: DataFrame) -> str:
-    """The Merkle root over the documents' roots in order, as hex: rows in blocks of 1,024, and these again, to one."""
-    at = store.select(F.col("row").alias("k"), F.concat(F.col("root"), F.hex("row").cast("binary")).alias("h"))
+    """The Merkle root over the documents in order, as hex: rows in blocks of 1,024, and these again, to one.
+
+    A document counts by its recipe's root, row, start, n_tokens, width, coding and id, each value after its length.
+    """
+    told = [F.col(c).cast("string") for c in ("row", "start", "n_tokens", "wide", "coding", "id")]
+    told = [F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in told]
+    at = store.select(F.col("row").alias("k"), F.unhex(F.sha2(F.concat("root", *(c.cast("binary") for c in told)), 256)).alias("h"))
     for _ in range(7):  # 63 bits
         at = at.groupBy(F.shiftright("k", 10).alias("k")).agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("x"))
         at = at.select("k", F.unhex(F.sha2(F.aggregate(F.transform("x", lambda e: e["h"]), F.lit(b""), lambda a, h: F.concat(a, h)), 256)).alias("h"))
@@ -209,14 +215,14 @@ def manifest(store: DataFrame) -> str:
 
 
 def write_store(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = tokens.END_ID, c: Chunking = Chunking()) -> DataFrame:
-    """The store, staged as Parquet files in ascending order of id: id, row, start, n_tokens, recipe (ends, hashes), root, absent, lent, payload.
+    """The store, staged as Parquet files in ascending order of id: id, row, start, n_tokens, recipe (ends, hashes), root, absent, lent, payload, coding.
 
     A document's ids with end_id are cut at content-defined places. The first document that holds a chunk keeps it in its
     payload, so each chunk is stored once; others name it by hash (absent), and the holder knows which of its chunks are
-    named by others (lent). root: the Merkle root over the recipe. start: ids of all documents before. Null and empty
-    texts have the end id alone. Rows that repeat an id are stored each, in order of a hash of their texts.
+    named by others (lent). root: the Merkle root over the recipe. start: ids of all documents before. coding: a digest of
+    the vocabulary's file, and the end id. Null and empty texts have the end id alone. Rows that repeat an id are stored each, in order of a hash of their texts.
     """
-    spark = docs.sparkSession
+    spark, path = docs.sparkSession, path or tokens.vocabulary(tokens.WORD_BPE)
     ship(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -224,7 +230,7 @@ def write_store(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     # The order is made while the texts are small and no id is counted yet.
     rows = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     schema = f"id {kind}, row bigint, n_tokens bigint, wide int, ids binary, ends binary, hashes binary, root binary"
-    made = stage(rows.mapInPandas(_chunked(path or tokens.vocabulary(tokens.WORD_BPE), end_id, c), schema), "chunked")
+    made = stage(rows.mapInPandas(_chunked(path, end_id, c), schema), "chunked")
     refs = made.select("row", "hashes").mapInPandas(_refs, "row bigint, hash binary")
     owners = refs.groupBy("hash").agg(F.min("row").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "owner")
     away = stage(refs.join(owners, "hash").where("row <> owner"), "foreign-chunks")
@@ -240,7 +246,7 @@ def write_store(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     # One shuffle of the bodies: partition k takes what was partition k, so the files are in ascending order.
     every = every.repartitionById(max(base, default=0) + 1, F.shiftright("row", 33).cast("int")).sortWithinPartitions("row", "kind")
     out = every.mapInArrow(_stored(base), f"id {kind}, row bigint, start bigint, n_tokens bigint, wide int, ends binary, hashes binary, root binary, absent binary, lent binary, payload binary")
-    out = stage(out, "store")
+    out = stage(out.withColumn("coding", F.lit(f"{hashlib.sha256(Path(path).read_bytes()).hexdigest()}:{end_id}")), "store")
     drop(made, away)
     return out
 
@@ -248,7 +254,8 @@ def write_store(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
 def read_store(store: DataFrame, root: str | None = None) -> DataFrame:
     """id, start, n_tokens, ids_crc32, ids (little-endian uint32), rebuilt from chunks and verified against the manifests.
 
-    root: of manifest() when the store was written; a store that lacks a document or has another doesn't match it.
+    root: of manifest() when the store was written; a store that lacks a document, has another, or another id, place or
+    coding, doesn't match it.
     Only chunks held elsewhere travel, and the documents that name them. A chunk that very many documents name is one row
     of a join on its hash, whose other side Spark splits when it is skewed.
     """
