@@ -13,7 +13,7 @@ from urnspark.operators.draws import PARTS
 from urnspark.operators.draws import SQL as DRAWS
 from urnspark.operators.inference import SQL as INFERENCE
 from urnspark.operators.inference import resampled_deltas
-from urnspark.operators import backtests, chance, forecasts, ledger, nested, participation, popularity, tickets, uniformity, value, value_backtest
+from urnspark.operators import backtests, chance, chance_crowding, crowding, crowding_ledger, forecasts, ledger, nested, participation, popularity, tickets, uniformity, value, value_backtest
 from urnspark.operators.models import QUERIES as MODELS
 from urnspark.plans import lift
 from urnspark.streaming import scorer
@@ -46,6 +46,6 @@ def _resampled(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n", *(F.round(c, 9).alias(c) if isinstance(c, str) else F.round(c, 9).alias("p_value") for c in columns))
 
 
-QUERIES = {name: partial(_run, name) for name in SQL} | forecasts.QUERIES | chance.QUERIES | ledger.QUERIES | backtests.QUERIES | nested.QUERIES | uniformity.QUERIES | participation.QUERIES | value.QUERIES | value_backtest.QUERIES | popularity.QUERIES | tickets.QUERIES | MODELS | scorer.QUERIES
+QUERIES = {name: partial(_run, name) for name in SQL} | forecasts.QUERIES | chance.QUERIES | ledger.QUERIES | backtests.QUERIES | nested.QUERIES | uniformity.QUERIES | participation.QUERIES | value.QUERIES | value_backtest.QUERIES | popularity.QUERIES | crowding.QUERIES | crowding_ledger.QUERIES | chance_crowding.QUERIES | tickets.QUERIES | MODELS | scorer.QUERIES
 QUERIES |= {"block_bootstrap_ci": partial(_resampled, "interval"), "block_sign_permutation": partial(_resampled, "test")}
-ORACLE_SQL = {name: text(name, CHECK) for name in SQL} | forecasts.ORACLE_SQL | chance.ORACLE_SQL | ledger.ORACLE_SQL | scorer.ORACLE_SQL
+ORACLE_SQL = {name: text(name, CHECK) for name in SQL} | forecasts.ORACLE_SQL | chance.ORACLE_SQL | chance_crowding.ORACLE_SQL | ledger.ORACLE_SQL | scorer.ORACLE_SQL
