@@ -12,7 +12,7 @@ from urnspark.functions.predicates import recording_open
 from urnspark.operators.forecasts import DRAWN, EXPECTED, POOL, smoothed
 from urnspark.operators.resampling import resampled
 from urnspark.plans import lift
-from urnspark.plans.staging import folder
+from urnspark.plans.staging import folder, stage
 
 GENESIS = "0" * 64
 #: Scores that a cohort is judged on; its first ones.
@@ -105,8 +105,7 @@ def score_pending(spark: SparkSession, path: str, draws: DataFrame, now: Column)
     met = met.withColumn("reason", reason)
     ready = met.where("reason IS NULL").select("game", "target_date", F.col("hash").alias("forecast_hash"), "d.drawn", "d.drawn_chance", F.size(F.array_intersect("main", "d.drawn")).alias("main_hits"), (F.col("chance") == F.col("d.drawn_chance")).cast("int").alias("chance_hit"))
     text = F.to_json(F.struct("chance_hit", "drawn", "drawn_chance", "forecast_hash", "main_hits"))
-    left = met.where("reason IS NOT NULL").select("game", "target_date", "reason")
-    left.cache().count()  # before the scores are there
+    left = stage(met.where("reason IS NOT NULL").select("game", "target_date", "reason"), "ledger-left")  # before the scores are there
     out = chained(ready.withColumn("record", text), ["target_date"], _heads(scores(spark, path)))
     out.select(*(c.split()[0] for c in SCORE.split(", "))).coalesce(1).write.mode("append").parquet(f"{path}/scores")
     return left
