@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from urnspark.operators import chance_crowding, crowding, crowding_ledger
+from urnspark.plans import lift
 from urnspark.plans.staging import folder
 
 SF = "/root/testdata/sf0.01"
@@ -186,3 +187,14 @@ def test_ledger_keeps_and_refuses(spark, ledger):
     crowding_ledger.forecasts(spark, own).withColumn("baseline", F.lit(2.0)).write.parquet(f"{other}/crowding-forecasts")
     crowding_ledger.scores(spark, own).write.parquet(f"{other}/crowding-scores")
     assert {(r["kind"], r["problem"]) for r in crowding_ledger.verify(spark, other).collect()} == {("forecast", "columns"), ("score", "value")}
+
+
+def test_no_draws(spark):
+    """Without draws there are no rows, and nothing to freeze."""
+    none = lift.only(spark, SF, game="none")
+    assert chance_crowding.report(spark, none).collect() == []
+    assert chance_crowding.chance_popularity_folds(spark, none).collect() == []
+    assert crowding.report(spark, none).collect() == []
+    assert crowding_ledger.proposals(spark, none).collect() == []
+    path = folder(spark, "ledger")
+    assert crowding_ledger.cohorts(spark, path).collect() == [] and crowding_ledger.verify(spark, path).collect() == []
