@@ -198,3 +198,14 @@ def test_no_draws(spark):
     assert crowding_ledger.proposals(spark, none).collect() == []
     path = folder(spark, "ledger")
     assert crowding_ledger.cohorts(spark, path).collect() == [] and crowding_ledger.verify(spark, path).collect() == []
+
+
+def test_multiplier_of_each_set(spark):
+    """The column form against the matrix form, coefficients at random."""
+    rng = np.random.default_rng(3)
+    mains = np.array([sorted(rng.choice(49, 5, replace=False) + 1) for _ in range(50)])
+    for kind, size in crowding_ledger.SIZES.items():
+        beta = rng.normal(0, 0.3, size)
+        df = spark.createDataFrame([(i, m.tolist(), kind, beta.tolist()) for i, m in enumerate(mains)], "i int, m array<bigint>, kind string, beta array<double>")
+        got = [r["x"] for r in df.select("i", crowding_ledger.multiplier(F.col("m"), F.col("kind"), F.col("beta")).alias("x")).orderBy("i").collect()]
+        assert got == pytest.approx(np.exp(beta[0] + crowding.features(mains, kind) @ beta[1:]))
