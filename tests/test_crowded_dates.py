@@ -1,0 +1,30 @@
+"""Sources whose first date alone has more draws than a fold needs before it."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from urnspark.operators import participation, value_backtest
+from urnspark.plans.staging import folder
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """The draws of sf0.01, the earlier half of them on one date."""
+    path, orders = folder(spark, "crowded"), spark.read.parquet(f"{SF}/orders.parquet")
+    (day,) = orders.select(F.to_date("o_orderdate").alias("d")).agg(F.percentile_approx("d", 0.5)).first()
+    orders.withColumn("o_orderdate", F.greatest("o_orderdate", F.lit(day).cast("timestamp"))).write.parquet(f"{path}/orders.parquet")
+    spark.read.parquet(f"{SF}/lineitem.parquet").write.parquet(f"{path}/lineitem.parquet")
+    return path
+
+
+def test_value_backtest(spark, crowded):
+    """Refits begin as soon as two dates lie before, one to train on and one to test."""
+    rows = {r["period"]: r for r in value_backtest.value_backtest(spark, crowded, folds=2, samples=100, interval=300, models=("ridge",)).collect()}
+    seen = participation.participation(spark, crowded)
+    days = sorted(r[0] for r in seen.select("draw_date").distinct().collect())
+    assert rows[1]["first_test_date"] >= str(days[2]) > rows[1]["training_last_date"] >= str(days[1])
+    assert sum(r["observations"] for p, r in rows.items() if p) == rows[0]["observations"] > 500

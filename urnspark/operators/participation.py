@@ -253,8 +253,8 @@ def evaluate(spark: SparkSession, source: str, *, before: date | None = None, mi
 def walk(rows: DataFrame, befores: list[date], *, n: int = 2, replicates: int = 500, trees: int = 150, models: tuple[str, ...] = MODELS) -> dict[date, Forecaster]:
     """The forecasters of evaluate for many dates at once, each from what lies before its date, in passes that all share.
 
-    rows: participation with jackpot_level. Of a date's observations half, or a hundred at least, are before its n folds;
-    a date with no more than these is an error. Ridge sums are differences of running ones; an observation is tested once by
+    rows: participation with jackpot_level. Of a date's observations half, or a hundred at least, are before its n folds, and
+    its first date always; a date with no more than these is an error. Ridge sums are differences of running ones; an observation is tested once by
     each date whose folds hold it, so rows grow with the number of dates, which the calendar bounds.
     """
     spark = rows.sparkSession
@@ -264,12 +264,13 @@ def walk(rows: DataFrame, befores: list[date], *, n: int = 2, replicates: int =
     for k, before in enumerate(befores):
         m = bisect_left(days, before)
         seen = int(run[m - 1]) if m else 0
-        if seen <= (least := max(100, seen // 2)):
+        if m < 2 or seen <= (least := max(100, seen // 2)):
             raise ValueError(f"too few observations before {before}")
-        parts = [p for p in np.array_split(np.arange(np.searchsorted(run, least, side="right"), m), n) if len(p)]
+        parts = [p for p in np.array_split(np.arange(max(1, np.searchsorted(run, least, side="right")), m), n) if len(p)]
         zero[k] = int(run[parts[0][0] - 1])
         at = [(j, int(p[0]), days[p[0]], int(p[-1]) + 1) for j, p in enumerate(parts, 1)] + [(0, m, days[m - 1] + timedelta(days=1), m)]
-        spans += [(k, j, first, days[min(i - 1, max(1, int(i * 0.8)))], days[end - 1] + timedelta(days=1)) for j, i, first, end in at]
+        # After one date alone there is no inner split: it is the fold's first, as in evaluate.
+        spans += [(k, j, first, days[max(1, int(i * 0.8))], days[end - 1] + timedelta(days=1)) for j, i, first, end in at]
     grid = _grid(models)
     made = {(text, d): make(day_of(d)) for _, text, make in grid for _, _, first, split, _ in spans for d in (first, split)}
     blocks = learners.observed(rows, FEATURES, "y")

@@ -33,13 +33,14 @@ REPORT = (
 def refits(spark: SparkSession, source: str, rows: DataFrame, observations: DataFrame, *, game: str, min_train: int, folds: int, interval: int) -> list[dict]:
     """Each refit: key, fold, first (date), end (the first date after its own), last (of its training), n, lower, code, known.
 
-    The dates after min_train observations of any game are cut into folds, and these into runs of interval dates. first:
+    The dates after min_train observations of any game, and after two dates with more than a hundred, which the forecaster
+    needs, are cut into folds, and these into runs of interval dates. first:
     the game's first draw there; n, lower, code, known: the draws before, their mean of lower_ev, the mean of their pools above 0,
     and how many pools they have. Runs without a draw, or with too few draws before, are left out. A row a date on the driver.
     """
     counted = observations.groupBy("draw_date").agg(F.count(F.lit(1)).alias("c")).orderBy("draw_date").collect()
     dates, run = [r["draw_date"] for r in counted], np.cumsum([r["c"] for r in counted])
-    late = dates[int(np.searchsorted(run, min_train, side="right")) :]
+    late = dates[max(2, int(np.searchsorted(run, min_train, side="right")), int(np.searchsorted(run, 100, side="right")) + 1) :]
     sums = (F.count(F.lit(1)), F.sum("lower_ev"), F.count("code"), F.sum("code"), F.count("pool"))
     own = rows.groupBy("draw_date").agg(*(s.cast("double").alias(f"s{i}") for i, s in enumerate(sums))).orderBy("draw_date").fillna(0.0).collect()
     days = [r["draw_date"] for r in own]
