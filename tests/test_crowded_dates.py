@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from urnspark.operators import participation, value_backtest
+from urnspark.operators import models, participation, value_backtest
 from urnspark.plans.staging import folder
 
 SF = "/root/testdata/sf0.01"
@@ -28,3 +29,23 @@ def test_value_backtest(spark, crowded):
     days = sorted(r[0] for r in seen.select("draw_date").distinct().collect())
     assert rows[1]["first_test_date"] >= str(days[2]) > rows[1]["training_last_date"] >= str(days[1])
     assert sum(r["observations"] for p, r in rows.items() if p) == rows[0]["observations"] > 500
+
+
+def test_participation_backtest(spark, crowded):
+    """All dates but the first are tested; the first fold learns from the first date."""
+    got = models.participation_backtest(spark, crowded).toPandas().set_index("draw_id")
+    rows = models.participation(spark, crowded).toPandas()
+    days = np.unique(rows["draw_date"])
+    assert set(got.index) == set(rows[rows["draw_date"] > days[0]]["draw_id"]) and set(got["fold"]) == {1, 2, 3}
+    train, test = rows[rows["draw_date"] == days[0]], rows[rows["draw_date"] == days[1]]
+    x, y = train[list(models.FEATURES)].to_numpy(float), train["y"].to_numpy()
+    b = np.linalg.solve((x - x.mean(0)).T @ (x - x.mean(0)) + np.eye(x.shape[1]), (x - x.mean(0)).T @ (y - y.mean()))
+    assert got.loc[test["draw_id"], "predicted"].to_numpy() == pytest.approx(y.mean() + (test[list(models.FEATURES)].to_numpy(float) - x.mean(0)) @ b, abs=2e-6)
+    assert (got[got["fold"] == 1]["smearing"] == 1).all()
+    assert [r["n"] for r in models.participation_summary(spark, crowded).orderBy("fold").collect()] == got.groupby("fold").size().tolist()
+
+
+def test_evaluate(spark, crowded):
+    """The report and the forecaster come of the same folds."""
+    rows, forecaster = participation.evaluate(spark, crowded, models=("ridge",), replicates=100)
+    assert rows[0]["folds"] == 3 and rows[0]["smearing"][0] == 1 and forecaster.observations == rows[0]["observations"]

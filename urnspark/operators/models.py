@@ -28,10 +28,13 @@ def participation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folds(df: DataFrame, *, min_train: int, n: int) -> DataFrame:
-    """df with fold: 0 before the date of observation min_train, then n runs of whole dates, the first of them longer by one."""
+    """df with fold: 0 before the date of observation min_train, then n runs of whole dates, the first of them longer by one.
+
+    The first date is never tested, as nothing lies before it, also where it has more than min_train observations.
+    """
     days = df.groupBy("draw_date").agg(F.count(F.lit(1)).alias("c"))
     seen = days.withColumn("seen", F.sum("c").over(Window.orderBy("draw_date")))  # the calendar bounds it
-    late = seen.where(F.col("seen") > min_train).select("draw_date", F.ntile(n).over(Window.orderBy("draw_date")).alias("fold"))
+    late = seen.where((F.col("seen") > min_train) & (F.col("seen") > F.col("c"))).select("draw_date", F.ntile(n).over(Window.orderBy("draw_date")).alias("fold"))
     return df.join(late, "draw_date", "left").withColumn("fold", F.coalesce("fold", F.lit(0)))
 
 
