@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from urnspark.operators import chance_crowding, models, participation, value_backtest
+from urnspark.operators import chance_crowding, learners, models, participation, value_backtest
 from urnspark.plans.staging import folder
 
 SF = "/root/testdata/sf0.01"
@@ -61,3 +62,22 @@ def test_chance_popularity_folds(spark, crowded):
     got = [tuple(r) for r in chance_crowding.chance_popularity_folds(spark, crowded).collect()]
     assert sorted(r[:4] for r in got) == sorted(r[:4] for r in want) and got
     assert [r[4:] for r in sorted(got)] == [pytest.approx(r[4:], abs=2e-9) for r in sorted(want)]
+
+
+def test_equal_bins_are_one(spark):
+    """Boosted values grow the same trees from observations and from their sums."""
+    rng = np.random.default_rng(3)
+    made = [(d, "loto", float(rng.integers(0, 12)), float(rng.integers(0, 5))) for d in pd.date_range("2000-01-01", periods=40).date for _ in range(20)]
+    rows = [(*r, r[2] * 0.3 - r[3] * r[3] * 0.1 + float(rng.normal(0, 0.1))) for r in made]
+    df = spark.createDataFrame(rows, "draw_date date, game string, a double, b double, y double").repartition(3)
+    blocks, first = learners.observed(df, ("a", "b"), "y"), learners.day_of(rows[-1][0])
+    edges = [np.arange(0.5, 11), np.arange(0.5, 4)]
+    merged = learners._merged(blocks, edges).collect()
+    days = sum(len(r["days"]) // 4 for r in merged)
+    assert days == len({(r[0], r[2], r[3]) for r in rows}) < len(rows)
+    assert sum(np.frombuffer(r["n"]).sum() for r in merged) == len(rows)
+    (model,) = learners.fit_boosted(df.withColumn("n", F.lit(1)), ("a", "b"), [learners.Boosted(first, 0.3, 7, 1.0, value=True)], trees=20, data=blocks)
+    x = np.array([r[2:4] for r in rows])[:, None, :]
+    y = np.array([r[4] for r in rows])
+    error = model.predict(np.zeros(len(x), dtype=int), x)[:, 0] - y
+    assert np.sqrt((error**2).mean()) < 0.15 < y.std()

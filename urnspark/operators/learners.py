@@ -327,6 +327,31 @@ class Growth:
             self.done = True
 
 
+def _merged(data: DataFrame, edges: list[np.ndarray]) -> DataFrame:
+    """Blocks of observations as blocks of bins, in x: those of a day and the same bins as one, with their number and the sum of their values.
+
+    Least squares needs no more of them, so passes grow with the calendar and the bins, however many observations there are.
+    """
+    width = len(edges) + 1
+
+    def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for r in x.itertuples(index=False):
+                days, v, n, k = unpacked(r)
+                rows = np.concatenate([np.ascontiguousarray(days.astype("<i4")).view(np.uint8).reshape(-1, 4), binned(v, edges).T], axis=1)
+                keys, of = np.unique(np.ascontiguousarray(rows).view(f"V{4 + width}")[:, 0], return_inverse=True)
+                yield pd.DataFrame({"cell": [key.tobytes() for key in keys], "n": np.bincount(of, weights=n), "k": np.bincount(of, weights=k[:, 0])})
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            rows = np.frombuffer(b"".join(x["cell"]), dtype=np.uint8).reshape(len(x), -1)
+            days, b = np.ascontiguousarray(rows[:, :4]).view("<i4")[:, 0], np.ascontiguousarray(rows[:, 4:].T)
+            yield pd.DataFrame({"days": [days.tobytes()], "x": [b.tobytes()], "n": [x["n"].to_numpy(float).tobytes()], "k": [x["k"].to_numpy(float).tobytes()]})
+
+    cells = data.mapInPandas(bins, "cell binary, n double, k double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    return cells.repartition(data.sparkSession.sparkContext.defaultParallelism, "cell").mapInPandas(pack, "days binary, x binary, n binary, k binary")
+
+
 def fit_boosted(cells: DataFrame, columns: tuple[str, ...], models: list[Boosted], *, trees: int = 100, bins: int = 64, least: int = 20, refresh: int = 10, data: DataFrame | None = None) -> list[Boosted]:
     """Boosted classification trees of hits, grown level by level from histograms of gradients by (leaf, column, bin).
 
@@ -362,11 +387,12 @@ def fit_boosted(cells: DataFrame, columns: tuple[str, ...], models: list[Boosted
     def first_scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for r in x.itertuples(index=False):
-                days, v, n, k = unpacked(r)
-                b = binned(v, edges)
+                b = np.frombuffer(r.x, dtype=np.uint8).reshape(len(edges) + 1, -1) if group == 1 else binned(unpacked(r)[1], edges)
                 yield pd.DataFrame({"days": [r.days], "n": [r.n], "k": [r.k], "b": [b.tobytes()], "score": [np.repeat(bases, b.shape[1]).tobytes()]})
 
     held = "days binary, n binary, k binary, b binary, score binary"
+    if group == 1:
+        data = _merged(data, edges)
     data = stage(data.mapInPandas(first_scores, held), "binned")
     kept = [0] * len(models)
     growing = {i: Growth(m, sizes, least) for i, m in enumerate(models)}
