@@ -125,3 +125,21 @@ def test_next_draw(spark):
         assert len(set(out["numbers"])) == 5 and set(out["certain"]) <= set(out["numbers"])
     still = nested.next_draw(spark, SF, models=("bayesian",), min_train=200, outer=2, replicates=100).first()
     assert still["status"] in ("abstention", "qualified")
+
+
+def test_columns_resampled_together(spark):
+    """Each column as by itself; a chunk's weights are drawn once for all columns."""
+    rng = np.random.default_rng(6)
+    rows = [(g, i, float(v), float(w)) for g, n in (("a", 300), ("b", 5)) for i, (v, w) in enumerate(rng.normal(0, 1, (n, 2)))]
+    df = spark.createDataFrame(rows, "g string, i long, v double, w double")
+    got = {(r["g"], r["value"]): r for r in resampling.together(df, ["g"], ["v", "w"], "i", block=12, chunk=64).collect()}
+    assert len(got) == 4
+    for c in "vw":
+        for r in resampling.resampled(df, ["g"], c, "i", block=12, chunk=64).collect():
+            assert tuple(got[r["g"], c])[2:] == pytest.approx(tuple(r)[1:], abs=1e-12)
+
+
+def test_weights_are_places_among_the_ends():
+    ends = resampling.poisson_ends(1 / 12)
+    bits = np.array([[0, 1, 2**32 - 1, *ends, *(e - 1 for e in ends), *(min(e + 1, 2**32 - 1) for e in ends)]], dtype=np.uint32)
+    assert (resampling._weights(bits, ends) == np.searchsorted(np.array(ends, dtype=np.uint64), bits.astype(np.uint64), side="right")).all()

@@ -19,7 +19,7 @@ from urnspark.operators.backtests import ALPHAS, BLENDS, PLAIN, PRIORS, ROLLING,
 from urnspark.operators.forecasts import DRAWN, EXPECTED, POOL, TIE, UNIFORM, WINDOWS, features
 from urnspark.operators.learners import EPOCH, Boosted, Logistic, day_of, summed, unpacked
 from urnspark.operators.quantiles import exact_quantiles
-from urnspark.operators.resampling import resampled
+from urnspark.operators.resampling import together
 from urnspark.plans import lift
 from urnspark.plans.staging import stage
 
@@ -296,8 +296,8 @@ def evaluate(spark: SparkSession, source: str, *, models: tuple[str, ...] = MODE
     predicted = predictions(data, tested, spans)
     draws = by_draw(spark, source, predicted)
     means = {r["model"]: r for r in draws.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("delta"), F.avg("uplift").alias("uplift"), F.sum("uplift").alias("sum"), F.avg("loss").alias("loss")).collect()}
-    deltas = {r["model"]: r for r in resampled(draws, ["model"], "delta", "i", replicates=replicates, block=block).collect()}
-    hits = {r["model"]: r for r in resampled(draws, ["model"], "uplift", "i", replicates=replicates, block=block).collect()}
+    both = together(draws, ["model"], ["delta", "uplift"], "i", replicates=replicates, block=block).collect()
+    deltas, hits = ({r["model"]: r for r in both if r["value"] == c} for c in ("delta", "uplift"))
     shapes: dict[str, dict] = {}
     for r in predicted.groupBy("model", "above", "tied", "places").agg(F.sum("n").alias("n")).collect():  # at most 49 ties by five places
         shapes.setdefault(r["model"], {})[r["above"], r["tied"], r["places"]] = int(r["n"])
