@@ -108,8 +108,7 @@ def _contexts(classes, first: int) -> object:
                 ok = (ids >= 0) & (ids < first)
                 for side, near in ((0, before), (1, after)):
                     m = ok & (near >= 0)
-                    at, n = np.unique(ids[m].astype(np.int64) * (2 * k) + side * k + near[m], return_counts=True)
-                    cells[at] += n
+                    np.add.at(cells, ids[m].astype(np.int64) * (2 * k) + side * k + near[m], 1)
         rows = cells.reshape(first, 2 * k)
         part = [(b, rows[b * BLOCK : (b + 1) * BLOCK]) for b in range(-(-first // BLOCK))]
         yield pd.DataFrame({"block": [b for b, r in part if r.any()], "cells": [r.astype("<i8").tobytes() for _, r in part if r.any()]})
@@ -131,9 +130,12 @@ def _gather(spark, docs: DataFrame, cls: np.ndarray, k: int, first: int) -> np.n
     sent = spark.sparkContext.broadcast((cls, k))
     parts = docs.select("ids").mapInPandas(_contexts(sent, first), "block int, cells binary")
     out = np.zeros((first, 2 * k), dtype=np.int64)
-    for r in parts.repartition("block").mapInPandas(_sum_blocks, "block int, cells binary").collect():
+    # Staged, since Spark keeps the shuffle files of a plain collect for as long as the driver holds its plan.
+    summed = stage(parts.repartition("block").mapInPandas(_sum_blocks, "block int, cells binary"), "contexts")
+    for r in summed.collect():
         rows = np.frombuffer(r["cells"], dtype="<i8").reshape(-1, 2 * k)
         out[r["block"] * BLOCK : r["block"] * BLOCK + len(rows)] = rows
+    drop(summed)
     sent.unpersist()
     return out
 
@@ -309,6 +311,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", p: Brown
     unseen = max(int(t["one"]), 1) / (total + 1)
     freq = counts.where((F.col("c") * (1 << p.common) >= total) & (F.length("word") <= p.longest) & (F.col("word") != F.lit(END))).orderBy(F.desc("c"), "word").collect()
     ends = counts.where(F.col("word") == F.lit(END)).collect()
+    drop(counts)
     common = [bytes(r["word"]) for r in freq] + [END]
     count = np.array([r["c"] for r in freq] + [ends[0]["c"] if ends else 0], dtype=np.int64)
     sent = sc.broadcast(common)
@@ -342,8 +345,10 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", p: Brown
     p_class = size / max(size.sum(), 1.0)
     asked = made.where(F.size("rest") > 0).select("row", F.posexplode("rest").alias("slot", "word"))
     got = asked.join(rare, "word").groupBy(F.col("row").alias("_row")).agg(F.collect_list("slot").alias("slot"), F.collect_list("c").alias("c"), F.collect_list("cls").alias("kind"))
+    # Staged, so that the words' shuffles are gone before the ids travel.
+    got = stage(got, "rare-slots")
     texts = stage(made.join(got, F.col("row") == F.col("_row"), "left").select("id", "held", "ids", "slot", "c", "kind"), "classed")
-    drop(made)
+    drop(made, got)
     cells = texts.where("not held").select("ids", "slot", "c", "kind").mapInPandas(_bigrams(sc.broadcast((cls, count, k))), "at bigint, n bigint")
     moves = np.zeros(k * k)
     for r in cells.groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row per pair of classes
