@@ -15,7 +15,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from urnspark.llm import align, manifest, search
+from urnspark.llm import align, manifest, neardup, search
 
 SF = "/root/testdata/sf0.01"
 KEY = lambda row: tuple(map(str, row))
@@ -212,3 +212,30 @@ def test_merge_of_runs():
     got = [(k, n, best) for keys, counts, marks in align.with_maxima(align.merged([*runs, b""]), 10) for k, n, best in zip(keys.tolist(), counts.tolist(), marks.tolist())]
     assert [k for k, _, _ in got] == sorted(want) and dict((k, n) for k, n, _ in got) == want
     assert all(best == (n == max(v for j, v in want.items() if j // 10 == k // 10)) for k, n, best in got)
+
+
+def test_near_duplicates_of_a_bucket_that_stays_apart(spark, monkeypatch):
+    """Long texts that share sketches but aren't similar make no rows of pairs; links between the blocks of a bucket are found."""
+    rng, base = np.random.default_rng(5), [f"w{i}" for i in range(600)]
+    texts = []
+    for i in range(90):
+        own = list(base)
+        for k in rng.choice(600, 14, replace=False):
+            own[k] = f"own{i}x{k}"
+        texts.append(" ".join(own))
+    texts += [t + " more" for t in texts[:20]]
+    p, made = neardup.OrderMinHash(), []
+    stage, append = neardup.stage, neardup.append
+    monkeypatch.setattr(neardup, "stage", lambda df, name: (out := stage(df, name), name == "open-pairs" and made.append(out.count()))[0])
+    monkeypatch.setattr(neardup, "append", lambda df, path, k: (out := append(df, path, k), made.append(out.count()))[0])
+    monkeypatch.setattr(neardup, "BLOCK", 8, raising=False)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(rows, p=p).collect()}
+    h = [neardup.kmers(t, p.k) for t in texts]
+    want = {i: i for i in range(len(texts))}
+    for i in range(len(texts)):
+        for j in range(i):
+            if neardup.aligned(h[i], h[j], p):
+                want = {k: min(want[i], want[j]) if v in (want[i], want[j]) else v for k, v in want.items()}
+    assert got == want and len(set(want.values())) == 90
+    assert made[-1] < 2 * len(texts)

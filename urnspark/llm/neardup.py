@@ -16,6 +16,10 @@ from urnspark.llm.graph import components
 from urnspark.llm.shared import append, drop, folder, read, ship, stage
 
 
+#: Texts of a bucket in a block, on average, and pairs that are compared at once.
+BLOCK, AT_ONCE = 2048, 1 << 15
+
+
 @dataclass(frozen=True)
 class OrderMinHash:
     """k: words of a k-mer. picks: k-mers a sketch holds, in text order. sketches: drawn for each text.
@@ -159,6 +163,56 @@ def _may(p: OrderMinHash):
     return run
 
 
+def _apart(p: OrderMinHash):
+    """u, v: pairs of a bucket whose labels differ and whose parities by all bits leave room for the similarity.
+
+    Rows come in order of key, i, j, block; those of blocks i and j meet, or of i alone where it is j. Pairs are counted out
+    a few thousand at once and never leave the task unless they pass, so memory is bounded whatever the bucket holds.
+    """
+
+    def met(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        n, label, ck = x["size"].to_numpy(), pd.factorize(x["label"])[0], x["ck"].to_numpy()
+        marks = np.frombuffer(b"".join(x["marks"]), dtype=np.uint64).reshape(len(x), -1)
+        at, own = np.arange(len(x)), (x["i"] == x["block"]).to_numpy()
+        new = np.r_[True, (x[["key", "i", "j"]].to_numpy()[1:] != x[["key", "i", "j"]].to_numpy()[:-1]).any(axis=1)]
+        begin = np.flatnonzero(new)
+        end = np.repeat(np.r_[begin[1:], len(x)], np.diff(np.r_[begin, len(x)]))
+        # The rows of block i come first.
+        other = np.repeat(begin + np.add.reduceat(own.astype(np.int64), begin), np.diff(np.r_[begin, len(x)]))
+        start = np.where((x["i"] == x["j"]).to_numpy(), at + 1, np.where(own, other, end))
+        sums = np.r_[0, (end - start).cumsum()]
+        for lo in range(0, int(sums[-1]), AT_ONCE):
+            k = np.arange(lo, min(lo + AT_ONCE, int(sums[-1])))
+            a = np.searchsorted(sums, k, side="right") - 1
+            b = start[a] + k - sums[a]
+            both = n[a] + n[b]
+            most = both - 2 * -(-p.num * both // (p.num + p.den))
+            ok = (label[a] != label[b]) & (np.abs(n[a] - n[b]) <= most)
+            a, b, most = a[ok], b[ok], most[ok]
+            # A part of the bits that differs too much settles most pairs.
+            for bits in (marks[:, :4], marks):
+                ok = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= most
+                a, b, most = a[ok], b[ok], most[ok]
+            if len(a):
+                yield pd.DataFrame({"u": np.minimum(ck[a], ck[b]), "v": np.maximum(ck[a], ck[b])}).drop_duplicates()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for x in batches:
+            if len(x):
+                held.append(x)
+                whole = pd.concat(held, ignore_index=True) if len(held) > 1 else x
+                last = (whole[["key", "i", "j"]] == whole[["key", "i", "j"]].iloc[-1]).all(axis=1).to_numpy()
+                cut = len(whole) - int(last.sum())
+                if cut:
+                    yield from met(whole.iloc[:cut])
+                held = [whole.iloc[cut:]]
+        if held:
+            yield from met(held[0])
+
+    return run
+
+
 def _verify(p: OrderMinHash):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -208,9 +262,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         differ = sum((F.bit_count(F.col(f"{u}.b{i}").bitwiseXOR(F.col(f"{v}.b{i}"))) for i in range(1, 4)), F.bit_count(F.col(f"{u}.b0").bitwiseXOR(F.col(f"{v}.b0"))))
         return (F.least(F.col(f"{u}.size"), F.col(f"{v}.size")) >= need) & (both - differ >= 2 * need)
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def close_of(pairs: DataFrame) -> DataFrame:
         mu, mv = (marked.select(F.col("ck").alias(c), F.col("size").alias(f"n{c}"), F.col("marks").alias(f"m{c}")) for c in "uv")
-        close = stage(pairs.join(mu, "u").join(mv, "v").mapInPandas(_may(p), "u string, v string"), "close-pairs")
+        return stage(pairs.join(mu, "u").join(mv, "v").mapInPandas(_may(p), "u string, v string"), "close-pairs")
+
+    def linked(close: DataFrame) -> DataFrame:
         texts = close.join(words.select(F.col("ck").alias("u"), F.col("text").alias("tu")), "u").join(words.select(F.col("ck").alias("v"), F.col("text").alias("tv")), "v")
         out = stage(texts.mapInPandas(_verify(p), "u string, v string"), "near-links")
         drop(close)
@@ -218,12 +274,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
 
     path = folder(spark, "near-pairs")
 
-    def met(pairs: DataFrame, k: int) -> DataFrame:
-        """Links among pairs that haven't met in an earlier round."""
+    def unmet(pairs: DataFrame, k: int) -> DataFrame:
+        """Pairs that haven't met in an earlier round."""
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         if k:
             pairs = pairs.join(spark.read.schema(pairs.schema).parquet(f"{path}/*"), ["u", "v"], "left_anti")
-        return linked(append(pairs, path, k))
+        return pairs
+
+    def met(pairs: DataFrame, k: int) -> DataFrame:
+        return linked(close_of(append(unmet(pairs, k), path, k)))
 
     at = lambda: buckets.join(labels.select(F.col("node").alias("ck"), "label").join(own, "ck"), "ck")
     most = 0
@@ -239,11 +298,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         most = max(most, n)
         if n * 20 <= most:
             break
-    now = at()
-    open_ = now.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-    now = stage(now.join(open_, "key", "left_semi"), "open-buckets")
-    x, y = (now.select("key", F.col("ck").alias(c), F.col("label").alias(f"l{c}"), F.col("own").alias(f"o{c}")) for c in "uv")
-    labels = components(labels, met(x.join(y, "key").where((F.col("lu") < F.col("lv")) & may("ou", "ov")).select("u", "v"), p.stars))
+    now = buckets.join(labels.select(F.col("node").alias("ck"), "label"), "ck")
+    open_ = now.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b")
+    # Blocks of a bucket meet two by two, each pair of blocks in a group of its own.
+    now = now.join(open_.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("ck"), F.col("blocks")))
+    now = now.join(marked, "ck").withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    now = now.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "ck", "label", "size", "marks")
+    now = now.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block").mapInPandas(_apart(p), "u string, v string")
+    close = stage(unmet(now, p.stars), "open-pairs")
+    labels = components(labels, linked(close))
     all_ = node.join(labels.select(F.col("node").alias("ck"), "label"), "ck", "left").select("ck", "first", F.coalesce("label", "ck").alias("label"))
     groups = all_.groupBy("label").agg(F.min("first").alias("class_id"), F.count(F.lit(1)).alias("n_texts"))
     classes = stage(all_.join(groups, "label").select("ck", "class_id", "n_texts"), "classes")
