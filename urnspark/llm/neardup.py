@@ -228,6 +228,23 @@ def _verify(p: OrderMinHash):
     return run
 
 
+def _sieve(inside: DataFrame):
+    """Leaves out most rows whose ck isn't inside, before they are shuffled to be joined with it.
+
+    A table of 16 bits for each text inside goes to every task; a row stays if the bit of its ck's hash is set.
+    """
+    slots = F.lit(max(64, 16 * inside.count()))
+    slot = F.pmod(F.xxhash64("ck"), slots)
+    bit = lambda s: F.call_function("shiftleft", F.lit(1).cast("bigint"), s.bitwiseAND(F.lit(63)).cast("int"))
+    words = inside.groupBy(F.shiftright(slot, 6).alias("_word")).agg(F.bit_or(bit(slot)).alias("_bits"))
+
+    def sifted(df: DataFrame) -> DataFrame:
+        met = df.withColumn("_slot", slot).join(F.broadcast(words), F.shiftright("_slot", 6) == F.col("_word"))
+        return met.where(F.col("_bits").bitwiseAND(bit(F.col("_slot"))) != 0).drop("_slot", "_word", "_bits")
+
+    return sifted
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", p: OrderMinHash = OrderMinHash()) -> DataFrame:
     """id, ck, class_id, n_texts for each distinct (id, text): the class is the least id that the text is linked to, over any chain.
 
@@ -249,10 +266,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     shared = flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets = stage(flat.join(shared, "key", "left_semi"), "buckets")
     inside = stage(buckets.select("ck").distinct(), "bucket-texts")
-    words = rows.join(inside, "ck", "left_semi").dropDuplicates(["ck"]).select("ck", "text")
+    sifted = _sieve(inside)
+    # Inner joins: Spark would push a semi join below the sieve.
+    words = sifted(rows).join(inside, "ck").dropDuplicates(["ck"]).select("ck", "text")
     words = stage(words, "candidate-texts")
-    own = stage(node.join(inside, "ck", "left_semi").select("ck", "own"), "bucket-sizes")
-    marked = stage(node.join(inside, "ck", "left_semi").select("ck", "own.size", "marks"), "bucket-marks")
+    own = stage(sifted(node).join(inside, "ck").select("ck", "own"), "bucket-sizes")
+    marked = stage(sifted(node).join(inside, "ck").select("ck", "own.size", "marks"), "bucket-marks")
     labels = inside.select(F.col("ck").alias("node"), F.col("ck").alias("label"))
 
     def may(u: str, v: str):
