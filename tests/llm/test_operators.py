@@ -455,3 +455,17 @@ def test_many_small_members():
     assert data.endswith(b"token=abcdef12") and len(data) == 100_014 and not cut and used == len(one) * 100_000 + len(gzip.compress(b"token=abcdef12"))
     assert process_time() - began < 20
     assert secrets._unpack(gzip.compress(b"x" * 5000), 1000) == (b"x" * 1000, len(gzip.compress(b"x" * 5000)), True)
+
+
+def test_memory_of_runs():
+    """A new run of letters is made once and kept once; the older generation is still known, and no run is lost when it goes."""
+    made = []
+    m = tokens.Memory(lambda k: made.append(k) or k.encode(), 3)
+    assert m.all(["a", "b", "a", "c", "d", "a", "e", "d"]) == [k.encode() for k in "abacdaed"]
+    assert made == ["a", "b", "c", "d", "e"] and len(m) <= 3
+    assert m.all(list("fghijab")) == [k.encode() for k in "fghijab"] and len(m) + len(m.old) <= 6
+    enc = tokens.Encoder(tokens.vocabulary(tokens.WORD_BPE))
+    text = "Some plain words, don't élan plain 42x words"
+    assert enc(text).tolist() == enc(text).tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+    assert "plain" in enc.runs and not {"plain", "some", "élan"} & set(enc.words)
+    assert {"words", "don", "'t", "4", "2", "x"} <= set(enc.words)

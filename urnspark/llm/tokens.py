@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 END_ID = 1
 #: Words, and runs of words without a blank, that a worker remembers in each of two generations.
-WORDS, RUNS = 500_000, 300_000
+WORDS, RUNS = 200_000, 600_000
 
 L = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Texts of these characters are split here as the files' own patterns split them.
@@ -44,28 +46,28 @@ def _ranked(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class Memory:
-    """What is made of a text that was met before; the older of two generations goes when the newer one is full."""
+class Memory(dict):
+    """What is made of a text that was met before; the older of two generations goes when the newer one is full.
+
+    A key that is there is found without a call of Python's.
+    """
 
     def __init__(self, make, size: int):
+        super().__init__()
         self.make, self.size = make, size
-        self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def __missing__(self, k: str) -> bytes:
+        if (v := self.old.get(k)) is None:
+            v = self.make(k)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[k] = v
+        return v
+
     def all(self, keys: list[str]) -> list[bytes]:
-        try:
-            return list(map(self.new.__getitem__, keys))
-        except KeyError:
-            out = []
-            for k in keys:
-                if (v := self.new.get(k)) is None:
-                    if (v := self.old.get(k)) is None:
-                        v = self.make(k)
-                    if len(self.new) >= self.size:
-                        self.old, self.new = self.new, {}
-                    self.new[k] = v
-                out.append(v)
-            return out
+        return list(map(self.__getitem__, keys))
 
 
 class Encoder:
@@ -91,10 +93,14 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         y = word if word.isascii() else word.encode().decode("latin-1").translate(_stand_in)
-        return np.array([t.id for t in self.tok.model.tokenize(y)], dtype="<u4").tobytes()
+        ids = array("I", [t.id for t in self.tok.model.tokenize(y)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _run(self, run: str) -> bytes:
-        return b"".join(self.words.all(self.split.findall(run)))
+        # A run of letters is one word, which isn't kept twice.
+        return self._word(run) if run.isalpha() else b"".join(self.words.all(self.split.findall(run)))
 
     def __call__(self, text: str) -> np.ndarray:
         if (self.split is None and not self.ranked) or not _plain.fullmatch(text) or (self.special and self.special.search(text)):
