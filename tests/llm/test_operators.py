@@ -469,3 +469,16 @@ def test_memory_of_runs():
     assert enc(text).tolist() == enc(text).tolist() == enc.tok.encode(text, add_special_tokens=False).ids
     assert "plain" in enc.runs and not {"plain", "some", "élan"} & set(enc.words)
     assert {"words", "don", "'t", "4", "2", "x"} <= set(enc.words)
+
+
+def test_line_table_is_made_without_a_shuffle_of_texts(spark, monkeypatch):
+    """Only hashes and places travel to find the first of equal lines; the second reads of texts are sifted."""
+    plans, real = {}, lines.stage
+    monkeypatch.setattr(lines, "stage", lambda df, name, **k: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), real(df, name, **k))[1])
+    rows = [(d, f"common line of some words here\nown line {d} {' '.join(f'w{d}x{i}' for i in range(30))}") for d in (5, 2, 9)] + [(7, "tab\tand  blanks\r\n\x0b"), (1, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r["_lines"]["n_kept"] for r in lines.dedup_lines(df).collect()}
+    assert got == {2: 2, 5: 1, 9: 1, 7: 1, 1: 0}
+    # What stands below the staging is the exchange that dealt out the rows here.
+    assert plans["lines"].count("Exchange") == df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert "line#" not in plans["line-order"]

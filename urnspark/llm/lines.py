@@ -45,8 +45,9 @@ def _wordy(s):
 
 def _rarity(rows: DataFrame, p: LineJoin):
     """Column: for each bucket of words, half octaves of how often its words occur in all texts; and those of the mean."""
-    lines = rows.select(F.explode_outer(F.split("text", "\n")).alias("line"))
-    seen = lines.select(F.explode_outer(words_of(F.col("line"))).alias("w")).groupBy(_bucket(F.xxhash64("w"), p).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    # Words don't cross lines, and one explode is faster than one of lines and one of words.
+    flat = rows.select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("t"))
+    seen = flat.select(F.explode_outer(words_of(F.col("t"))).alias("w")).groupBy(_bucket(F.xxhash64("w"), p).alias("b")).agg(F.count("w").alias("n"))
     table, total, half = [0] * (1 << p.bits), 0, lambda n: int(2 * log2(n + 1))
     for r in seen.collect():  # a row per bucket at most
         table[r["b"]] = half(r["n"])
@@ -58,10 +59,10 @@ def _bucket(h, p: LineJoin):
     return F.shiftrightunsigned(h, 64 - p.bits)
 
 
-def _unique_lines(rows: DataFrame, p: LineJoin) -> DataFrame:
-    """lid, id, at, line, n, bits, more, prefix, leads: each distinct line with a word, staged.
+def _every_line(rows: DataFrame, p: LineJoin) -> DataFrame:
+    """lid, id, at, a, b, c, line, n, bits, more, prefix, leads: each line with a word, staged as the rows are read.
 
-    id, at: where it stands first by (id, line number). n: its distinct words. prefix: the keys of its rarest words,
+    id, at: where it stands, by (id, line number). a, b, c: what equal lines have in common. n: its distinct words. prefix: the keys of its rarest words,
     which lines at the similarity share one of. bits: the parity of the keys by their last six bits. more: in
     long lines, that of the keys whose seventh bit is set; with bits it gives the parity by seven bits. leads: of
     its three rarest usual words, which words that one copy alone has don't shift; of the next three; and of its three
@@ -70,20 +71,23 @@ def _unique_lines(rows: DataFrame, p: LineJoin) -> DataFrame:
     table, mean = _rarity(rows, p)
     # The outer forms don't make Spark evaluate an array once more to see whether it is empty.
     lines = rows.select("id", F.posexplode_outer(F.split("text", "\n")).alias("no", "line")).where(_wordy(F.col("line")))
-    first = lines.groupBy(F.xxhash64("line").alias("a"), F.hash("line").alias("b"), F.length("line").alias("c")).agg(F.min(F.struct("id", "no", "line")).alias("m"))
-    key = lambda h: F.shiftleft(F.get(table, _bucket(h, p).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    # A key that can't be null lets Spark sort plain longs.
+    key = lambda h: F.coalesce(F.shiftleft(F.get(table, _bucket(h, p).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8)), F.lit(0).cast("bigint"))
     one = F.lit(1).cast("bigint")
     parity = lambda keys: F.aggregate(keys, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
-    out = first.select("m.*").withColumn("h", F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))))
+    out = lines.withColumn("h", F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))))
     out = out.select("id", "no", "line", F.sort_array(F.transform("h", key)).alias("keys"))
     # Four and sixteen times the mean of a bucket.
     out = out.withColumn("usual", F.filter("keys", lambda x: x >= F.lit(mean + 4 << 56)))
     out = out.withColumn("common", F.filter("usual", lambda x: x >= F.lit(mean + 8 << 56)))
     lead = lambda c, at: F.when(F.size(c) > at, F.xxhash64(F.slice(c, at, 3)))
-    return out.select(
+    out = out.select(
         F.monotonically_increasing_id().alias("lid"),
         "id",
         _place(F.col("no"), F.col("line")).alias("at"),
+        F.xxhash64("line").alias("a"),
+        F.hash("line").alias("b"),
+        F.length("line").alias("c"),
         "line",
         F.size("keys").alias("n"),
         parity(F.col("keys")).alias("bits"),
@@ -91,13 +95,38 @@ def _unique_lines(rows: DataFrame, p: LineJoin) -> DataFrame:
         F.slice("keys", F.lit(1), F.size("keys") - _ceil(F.size("keys") * p.num, p.den) + 1).alias("prefix"),
         F.array_distinct(F.array_compact(F.array(lead("usual", 1), lead("usual", 4), lead("common", 1)))).alias("leads"),
     )
+    return stage(out, "lines")
+
+
+def _ordered(lines: DataFrame, parts: int) -> DataFrame:
+    """lid, pos of the first of each set of equal lines, staged. pos rises with (id, line number). No text is shuffled for it."""
+    at = lines.select("lid", "id", "at", "a", "b", "c").repartitionByRange(parts, "id", "at", "lid").sortWithinPartitions("id", "at", "lid")
+    at = at.select("lid", "a", "b", "c", F.monotonically_increasing_id().alias("pos"))
+    return stage(at.groupBy("a", "b", "c").agg(F.min_by("lid", "pos").alias("lid"), F.min("pos").alias("pos")).select("lid", "pos"), "line-order")
+
+
+#: Lets Spark sift the scan of all lines by a Bloom filter of those asked for, before their texts are shuffled.
+_SIFT = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+
+
+def _texts(ends: DataFrame, lines: DataFrame) -> DataFrame:
+    """pos, h: the word hashes of the lines asked for (pos, lid), staged."""
+    spark = ends.sparkSession
+    words = F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)))
+    before = spark.conf.get(_SIFT)
+    spark.conf.set(_SIFT, "0")
+    try:
+        # Spark sifts by a side that has a condition; all lids are 0 or more.
+        return stage(lines.select("lid", "line").join(ends.where("lid >= 0"), "lid").select("pos", words.alias("h")), "line-ends")
+    finally:
+        spark.conf.set(_SIFT, before)
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, order: DataFrame, p: LineJoin) -> DataFrame:
     """x, y of the pairs whose word sets reach the similarity; each line of them is split into words once."""
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("pos")).distinct().join(order, "pos")
-    words = F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)))
-    ends = stage(ends.join(lines.select("lid", "line"), "lid").select("pos", words.alias("h")), "line-ends")
+    asked = stage(pairs.select(F.explode(F.array("x", "y")).alias("pos")).distinct().join(order, "pos"), "asked-lines")
+    ends = _texts(asked, lines)
+    drop(asked)
     hx, hy = (ends.select(F.col("pos").alias(s), F.col("h").alias(f"h{s}")) for s in "xy")
     met = pairs.join(hx, "x").join(hy, "y")
     shared = F.size(F.array_intersect("hx", "hy"))
@@ -171,19 +200,17 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     """
     others = [c for c in docs.columns if c not in (text, "_lines")]
     rows = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in others)).alias("doc"), F.col(id_col).alias("id"), F.col(text).alias("text"))
-    lines = stage(_unique_lines(rows, p), "lines")
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    at = lines.select("lid", "id", "at").repartitionByRange(parts, "id", "at", "lid").sortWithinPartitions("id", "at", "lid")
-    order = stage(at.select("lid", F.monotonically_increasing_id().alias("pos")), "line-order")
+    lines = _every_line(rows, p)
+    order = _ordered(lines, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     stars = _starred(lines, order, p)
     settled = stage(order.join(stars.select(F.col("x").alias("pos")).distinct(), "pos"), "settled-lines")
     more = _prefixed(lines, order, settled, p)
-    gone = order.join(settled.select("pos").union(more.select("x")).distinct(), "pos").select("lid", F.lit(True).alias("gone"))
-    held = lines.select("lid", "id", "at").join(gone, "lid", "left").groupBy("id")
+    gone = settled.select("pos").union(more.select(F.col("x").alias("pos"))).distinct().withColumn("gone", F.lit(True))
+    held = lines.select("lid", "id", "at").join(order.join(gone, "pos", "left"), "lid").groupBy("id")
     held = held.agg(F.collect_list(F.when(F.col("gone").isNull(), F.col("at"))).alias("at"), F.count("gone").alias("n_links")).select(F.col("id").alias("hid"), "at", "n_links")
     held = stage(held, "kept-lines")
     drop(lines, order, stars, settled, more)
-    out = rows.join(held, F.col("id").eqNullSafe(F.col("hid")), "left")
+    out = rows.join(held.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("hid")), "left")
     out = out.withColumn("old", F.split("text", "\n"))
     old = F.col("old")
     blank = F.array_compact(F.transform(old, lambda s, i: F.when(~_wordy(s), _place(i, s))))
