@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from bisect import bisect_left
 from dataclasses import dataclass
 from datetime import date, timedelta
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from urnspark.functions.probability import holm
-from urnspark.operators import learners
+from urnspark.operators import calendar_cells, calendar_trees, learners
 from urnspark.operators.learners import EPOCH, Boosted, day_of, summed, unpacked
 from urnspark.operators.models import FEATURES, GAMES, _inner, folds, participation
 from urnspark.operators.quantiles import exact_quantiles
@@ -124,7 +125,7 @@ class Forecaster:
     def log_medians(self, days: np.ndarray, games: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Of many observations with FEATURES x."""
         if self.predictor is None:
-            return np.array([self.baseline[g, int(d)] for g, d in zip(games, (days + WEEKDAY) % 7)])
+            return np.array([self.baseline.get((g, int(d)), self.baseline.get((g, -1), self.baseline["", -1])) for g, d in zip(games, (days + WEEKDAY) % 7)])
         return self.predictor.predict(days, x[:, None, :])[:, 0]
 
     def tickets(self, jackpot: float, target: date, game: str) -> float:
@@ -137,8 +138,10 @@ class Forecaster:
         return float(np.interp(p * STEPS, np.arange(STEPS + 1), self.multipliers))
 
     def draw(self, u: np.ndarray) -> np.ndarray:
-        """Multipliers at shares u of their law."""
-        return np.interp(u * STEPS, np.arange(STEPS + 1), self.multipliers)
+        """Multipliers at shares u, below 1, of their law."""
+        at = u * STEPS
+        low = at.astype(np.int64)
+        return self.multipliers[low] + (at - low) * np.diff(self.multipliers)[low]
 
 
 def features_of(jackpot: float, day: date, game: str) -> np.ndarray:
@@ -251,85 +254,115 @@ def evaluate(spark: SparkSession, source: str, *, before: date | None = None, mi
 
 
 def walk(rows: DataFrame, befores: list[date], *, n: int = 2, replicates: int = 500, trees: int = 150, models: tuple[str, ...] = MODELS) -> dict[date, Forecaster]:
-    """The forecasters of evaluate for many dates at once, each from what lies before its date, in passes that all share.
+    """The forecasters of many dates at once, each from what lies before its date, in passes that all share.
 
-    rows: participation with jackpot_level. Of a date's observations half, or a hundred at least, are before its n folds, and
-    its first date always; a date with no more than these is an error. Ridge sums are differences of running ones; an observation is tested once by
-    each date whose folds hold it, so rows grow with the number of dates, which the calendar bounds.
+    rows: participation. Of a date's observations half, or a hundred at least, are before its n folds, and its first
+    date always; a date with no more than these is an error. Models are fitted and judged on sums by date and kind
+    (calendar_cells), boosted ones each in one task (calendar_trees), which has bins of its own training dates; rows are read
+    again for medians, resampling and quantiles alone, however many dates are asked.
     """
-    spark = rows.sparkSession
-    counted = rows.groupBy("draw_date").agg(F.count(F.lit(1)).alias("c")).orderBy("draw_date").collect()  # the calendar
+    counted = rows.groupBy("draw_date").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("y")).orderBy("draw_date").collect()  # the calendar
     days, run = [r["draw_date"] for r in counted], np.cumsum([r["c"] for r in counted])
-    befores, spans, zero = sorted(set(befores)), [], {}
+    befores, spans = sorted(set(befores)), []
     for k, before in enumerate(befores):
         m = bisect_left(days, before)
         seen = int(run[m - 1]) if m else 0
         if m < 2 or seen <= (least := max(100, seen // 2)):
             raise ValueError(f"too few observations before {before}")
         parts = [p for p in np.array_split(np.arange(max(1, np.searchsorted(run, least, side="right")), m), n) if len(p)]
-        zero[k] = int(run[parts[0][0] - 1])
-        at = [(j, int(p[0]), days[p[0]], int(p[-1]) + 1) for j, p in enumerate(parts, 1)] + [(0, m, days[m - 1] + timedelta(days=1), m)]
-        # After one date alone there is no inner split: it is the fold's first, as in evaluate.
-        spans += [(k, j, first, days[max(1, int(i * 0.8))], days[end - 1] + timedelta(days=1)) for j, i, first, end in at]
-    grid = _grid(models)
-    made = {(text, d): make(day_of(d)) for _, text, make in grid for _, _, first, split, _ in spans for d in (first, split)}
-    blocks = learners.observed(rows, FEATURES, "y")
-    if lines := [p for p in made.values() if isinstance(p, Linear)]:
-        fit_linear(blocks, lines)
-    if boosts := [p for p in made.values() if isinstance(p, Boosted)]:
-        learners.fit_boosted(rows.withColumn("n", F.lit(1)), FEATURES, boosts, trees=trees, data=blocks)
-    asked = sorted({(text, split, first) for _, _, first, split, _ in spans for _, text, _ in grid if split < first})
-    error = dict(zip(asked, errors(blocks, [(made[text, split], day_of(split), day_of(first)) for text, split, first in asked])))
-    chosen = {}
-    for k, j, first, split, _ in spans:
-        for model in models:
-            texts = [text for name, text, _ in grid if name == model]
-            best = texts[0] if split >= first else min(texts, key=lambda t: (round(error[t, split, first][0], 14), texts.index(t)))
-            chosen[k, j, model] = (best, made[best, first], error[best, split, first][1] if split < first else 1.0)
-    starts = sorted({first for _, _, first, _, _ in spans})
-    base = stage(baselines(rows, list(enumerate(starts))), "baselines")
-    tests = [(k, starts.index(first), day_of(first), day_of(end), [chosen[k, j, m][1] for m in models]) for k, j, first, _, end in spans if j]
+        spans += [(k, j, int(p[0]), int(p[-1]) + 1) for j, p in enumerate(parts, 1)] + [(k, 0, m, m)]
+    cells, data = calendar_cells.gathered(rows, days, sum(r["y"] for r in counted) / float(run[-1]))
+    # Of each date that a fold begins with: model -> its parameters, smearing, what it predicts up to last, and a predictor.
+    last: dict[int, int] = {}
+    for _, _, first, end in spans:
+        last[first] = max(last.get(first, first), end)
+    final = {first for _, j, first, _ in spans if not j}
+    fitted = {"ridge": _ridges, "gradient_boosting": _boosted}
+    chosen = {m: fitted[m](rows.sparkSession, cells, last, final, trees) for m in models}
+    starts = sorted(last)
+    medians = dict(zip(starts, calendar_cells.medians(cells, data, starts, OWN)))
+    asked = []
+    for k in range(len(befores)):
+        own = [(first, end) for a, j, first, end in spans if a == k and j]
+        base = np.concatenate([calendar_cells.baseline(cells, medians[first], slice(first, end)) for first, end in own])
+        predicted = np.stack([np.concatenate([chosen[m][first][2][: end - first] for first, end in own]) for m in models])
+        asked.append((own[0][0], base, predicted))
+    champions = []
+    for tested in calendar_cells.tests(cells, data, asked, replicates):
+        adjusted = holm([t["p_lower"] for t in tested])
+        qualified = [m for m in range(len(models)) if tested[m]["high"] < 0 and adjusted[m] < 0.05]
+        best = min(qualified or range(len(models)), key=lambda m: tested[m]["rmse"])
+        champions.append((best, tested[best]["rmse"], bool(qualified)))
+    times = calendar_cells.multipliers(cells, data, [(z, p[m] if q else base) for (z, base, p), (m, _, q) in zip(asked, champions)], STEPS)
+    out = {}
+    for before, (m, rmse, qualified), own in zip(befores, champions, times):
+        past = bisect_left(days, before)
+        text, factor, _, predictor = chosen[models[m]][past]
+        champion = {"model": models[m], "parameters": text, "log_rmse": rmse, "qualified": qualified}
+        out[before] = Forecaster(champion, predictor if qualified else None, factor if qualified else 1.0, medians[past], own, {}, int(run[past - 1]), days[past - 1])
+    return out
 
-    def predict(batches):
-        for x in batches:
-            d = np.array([day_of(v) for v in x["draw_date"]])
-            v = x[list(FEATURES)].to_numpy(float)[:, None, :]
-            for k, start, first, end, ps in tests:
-                if (use := (d >= first) & (d < end)).any():
-                    for m, p in enumerate(ps):
-                        yield pd.DataFrame({"k": k, "start": start, "model": m, "game": x["game"][use], "weekday": (d[use] + WEEKDAY) % 7, "i": x["place"][use] - zero[k], "y": x["y"][use], "p": p.predict(d[use], v[use])[:, 0]})
 
-    calendar = spark.createDataFrame([(d, int(r - c["c"])) for d, r, c in zip(days, run, counted)], "_d date, _h bigint")
-    order = Window.partitionBy("draw_date").orderBy("game", "draw_id")
-    placed = rows.withColumn("_r", F.row_number().over(order) - 1).join(F.broadcast(calendar), F.col("draw_date") == F.col("_d")).withColumn("place", F.col("_h") + F.col("_r"))
-    long = placed.select("draw_date", "game", "y", "place", *FEATURES).mapInPandas(predict, "k int, start int, model int, game string, weekday int, i bigint, y double, p double")
-    at = base.select(F.col("fold").alias("_f"), F.col("game").alias("_g"), F.col("weekday").alias("_w"), "baseline")
-    long = long.join(F.broadcast(at), (F.col("start") == F.col("_f")) & (F.col("game") == F.col("_g")) & (F.col("weekday") == F.col("_w")))  # dates by games by weekdays
-    e, b = F.col("p") - F.col("y"), F.col("baseline") - F.col("y")
-    long = stage(long.select("k", "model", "i", "y", "p", "baseline", (e * e - b * b).alias("delta")), "predicted")
-    rmse = {(r["k"], r["model"]): r["e"] for r in long.groupBy("k", "model").agg(F.sqrt(F.avg(e * e)).alias("e")).collect()}
-    tested = {(r["k"], r["model"]): r for r in resampled(long, ["k", "model"], "delta", "i", replicates=replicates).collect()}
-    champions = []
-    for k in range(len(befores)):
-        adjusted = holm([tested[k, m]["p_lower"] for m in range(len(models))])
-        qualified = [m for m in range(len(models)) if tested[k, m]["high"] < 0 and adjusted[m] < 0.05]
-        champions.append((k, min(qualified or range(len(models)), key=lambda m: rmse[k, m]), bool(qualified)))
-    table = spark.createDataFrame(champions, "_k int, _m int, qualified boolean")  # a row a date
-    levels = long.join(F.broadcast(table), (F.col("k") == F.col("_k")) & (F.col("model") == F.col("_m"))).select("k", F.exp(F.col("y") - F.when(F.col("qualified"), F.col("p")).otherwise(F.col("baseline"))).alias("v"))
-    mean = {r["k"]: r["v"] for r in levels.groupBy("k").agg(F.avg("v").alias("v")).collect()}
-    steps: dict[int, list] = {}
-    for r in exact_quantiles(levels, ["k"], "v", [j / STEPS for j in range(STEPS + 1)]).orderBy("k", "p").collect():
-        steps.setdefault(r["k"], []).append(r["quantile"])
-    ends = {starts.index(first): k for k, j, first, _, _ in spans if not j}
-    medians: dict[int, dict] = {k: {} for k in range(len(befores))}
-    for r in base.where(F.col("fold").isin(list(ends))).collect():  # dates by games by weekdays
-        medians[ends[r["fold"]]][r["game"], r["weekday"]] = r["baseline"]
+def _inner_first(first: int) -> int:
+    """The first of the last fifth of the dates before the first-th; after one date alone there is none, and it is that date."""
+    return max(1, int(first * 0.8))
+
+
+def _ridges(spark: SparkSession, cells: calendar_cells.Cells, last: dict[int, int], final: set[int], trees: int) -> dict[int, tuple]:
+    """Of each first date: the best penalty's text, smearing, predictions up to its last date, and a Linear if it is a final one's."""
+    at = sorted({d for first in last for d in (first, _inner_first(first))})
+    betas = dict(zip([(d, a) for d in at for a in ALPHAS], calendar_cells.ridges(cells, [(d, a) for d in at for a in ALPHAS])))
+    value = lambda beta, dates: beta[0] + cells.x[dates] @ beta[1:]
+    out = {}
+    for first, end in last.items():
+        split, alpha, factor = _inner_first(first), ALPHAS[0], 1.0
+        if split < first:
+            told = {a: cells.errors(value(betas[split, a], slice(split, first)), slice(split, first)) for a in ALPHAS}
+            alpha = min(ALPHAS, key=lambda a: (round(told[a][0], 14), a))
+            factor = told[alpha][1]
+        beta = betas[first, alpha]
+        predictor = Linear(0, alpha, np.r_[beta[0] + cells.centre, beta[1:]]) if first in final else None
+        out[first] = (f"alpha={alpha:g}", factor, value(beta, slice(first, end)), predictor)
+    return out
+
+
+def _boosted(spark: SparkSession, cells: calendar_cells.Cells, last: dict[int, int], final: set[int], trees: int) -> dict[int, tuple]:
+    """_ridges of boosted trees: a task for each first date tries the parameters and fits the best; it holds the cells."""
+    firsts = sorted(last, reverse=True)
+    days, kinds = cells.days, cells.x[0][:, [0, 12, 13, 14]]
+    sums, tenth = np.stack([cells.n, cells.s]), cells.tenth
+    q, e = cells.q, cells.e
+
+    def model(upto: int, end: int, parameters: tuple):
+        """A model of the dates before upto-th, and its predictions up to the end-th."""
+        known = (np.arange(end) < upto)[:, None]
+        rate, leaves, l2 = parameters
+        return calendar_trees.grow(days[:end], kinds, sums[:, :end] * known, tenth[:, :end] * known, rate=rate, leaves=leaves, l2=l2, trees=trees)
+
+    def fit(batches):
+        for x in batches:
+            for i in x["id"]:
+                first = firsts[i]
+                split, choice, factor = _inner_first(first), 0, 1.0
+                if split < first:
+                    told, n = [], sums[0, split:first]
+                    for parameters in BOOSTS:
+                        p = model(split, first, parameters)[1][split:]
+                        told.append(((q[split:first] - 2 * p * sums[1, split:first] + p * p * n).sum() / n.sum(), (e[split:first] * np.exp(-p)).sum() / n.sum()))
+                    choice = min(range(len(BOOSTS)), key=lambda j: (round(told[j][0], 14), j))
+                    factor = told[choice][1]
+                grown, p = model(first, last[first], BOOSTS[choice])
+                yield pd.DataFrame({"first": [first], "choice": [choice], "factor": [factor], "p": [p[first:].tobytes()], "model": [pickle.dumps(grown) if first in final else None]})
+
+    told = spark.range(0, len(firsts), 1, len(firsts)).mapInPandas(fit, "first int, choice int, factor double, p binary, model binary")
     out = {}
-    for k, m, qualified in champions:
-        text, predictor, factor = chosen[k, 0, models[m]]
-        champion = {"model": models[m], "parameters": text, "log_rmse": rmse[k, m], "qualified": qualified}
-        past = bisect_left(days, befores[k])
-        out[befores[k]] = Forecaster(champion, predictor if qualified else None, factor if qualified else 1.0, medians[k], np.array(steps[k]) / mean[k], {}, int(run[past - 1]), days[past - 1])
+    for r in told.collect():  # a row a date asked, with its predictions of the calendar
+        predictor = None
+        if r["model"] is not None:
+            predictor = pickle.loads(r["model"])
+            predictor.base += cells.centre
+        rate, leaves, l2 = BOOSTS[r["choice"]]
+        out[r["first"]] = (f"rate={rate:g} leaves={leaves} l2={l2:g}", r["factor"], np.frombuffer(r["p"]).reshape(-1, len(cells.kinds)), predictor)
     return out
 
 

@@ -15,7 +15,7 @@ from urnspark.operators import participation
 from urnspark.operators.draws import LOWER
 from urnspark.operators.models import _base
 from urnspark.operators.participation import Forecaster
-from urnspark.operators.quantiles import exact_quantiles
+from urnspark.operators.ranks import added, ranked
 from urnspark.operators.resampling import bits32
 from urnspark.plans import lift
 from urnspark.plans.staging import stage
@@ -37,8 +37,7 @@ def history(spark: SparkSession, source: str, before: date | None = None) -> Dat
         spark,
         source,
         _base(
-            "whole AS (SELECT draw_id FROM prizes WHERE payout IS NOT NULL GROUP BY draw_id HAVING count(DISTINCT rank) = 9)",
-            f"low AS (SELECT p.draw_id, sum({LOWER} * payout) AS lower_ev FROM prizes p JOIN whole w ON p.draw_id = w.draw_id WHERE rank > 1 GROUP BY p.draw_id)",
+            f"low AS (SELECT draw_id, sum(CASE WHEN rank > 1 THEN {LOWER} * payout END) AS lower_ev FROM prizes WHERE payout IS NOT NULL GROUP BY draw_id HAVING bit_or(1 << rank) = {sum(1 << r for r in range(1, 10))})",
         )
         + """ SELECT d.draw_id, draw_date, game, lower_ev, CASE WHEN d.draw_id % 6 = 0 THEN NULL ELSE (d.draw_id % 11) * (20000e0 + tp % 1000) END AS pool FROM draws d JOIN low ON d.draw_id = low.draw_id""",
     )
@@ -65,28 +64,53 @@ def windows(rows: DataFrame, asked: list[tuple[str, str, int]]) -> dict[str, dic
 
     With fewer than twenty draws all of them are the window, with the tail 0.025 and a coverage of 1. Else the first four
     fifths give, for each window of their last draws and each tail, an interval of lower_ev; the one whose share of the
-    last fifth is nearest the target, then the narrowest, is chosen. The intervals' ends are exact, by counts.
+    last fifth is nearest the target, then the narrowest, is chosen. The intervals' ends are exact; all keys share each pass.
     """
     out = {key: {"window": n, "tail": 0.025, "coverage": 1.0} for key, _, n in asked if n < 20}
     cuts = {key: max(10, int(n * 0.8)) for key, _, n in asked}
     tries = [(key, game, n, w, cuts[key]) for key, game, n in asked if n >= 20 for w in sorted({min(w, cuts[key]) for w in (*WINDOWS, cuts[key])})]
     if not tries:
         return out
-    spark = rows.sparkSession
-    table = spark.createDataFrame(tries, "key string, g string, n long, window long, cut long")  # at most four rows a key
-    base = rows.join(F.broadcast(table), (F.col("game") == F.col("g")) & (F.col("i") < F.col("cut")) & (F.col("i") >= F.col("cut") - F.col("window")))
-    got = exact_quantiles(base, ["key", "window"], "lower_ev", sorted({p for t in TAILS for p in (t, 1 - t)}), nearest=True)
-    ends = {(r["key"], r["window"], r["p"]): r["quantile"] for r in got.collect()}
+    data = rows.select("game", "i", "lower_ev")
+    games = sorted({g for _, g, _, _, _ in tries})
+    ends, probs = {}, sorted({p for t in TAILS for p in (t, 1 - t)})
+    # All draws before a cut: each cut's are those of the cut before and some more.
+    parts = {g: np.unique([c for _, h, _, _, c in tries if h == g]) for g in games}
+    spans = {r["game"]: ((r["a"], r["b"]), r["n"]) for r in data.where(F.col("game").isin(games)).groupBy("game").agg(F.min("lower_ev").alias("a"), F.max("lower_ev").alias("b"), F.count(F.lit(1)).alias("n")).collect()}
+    places = {g: [(c, p) for c in parts[g] for p in probs] for g in games}
+    wanted = {k: (spans[g][0], np.searchsorted(parts[g], [c for c, _ in places[g]]), np.array([nearest(int(c), p) for c, p in places[g]])) for k, g in enumerate(games)}
+
+    def series(x: pd.DataFrame):
+        for k, g in enumerate(games):
+            own = x[x["game"] == g]
+            yield k, np.searchsorted(parts[g], own["i"].to_numpy(), side="right"), own["lower_ev"].to_numpy(float)
+
+    told = ranked(data, series, wanted, {k: spans[g][1] for k, g in enumerate(games)})
+    whole = {(g, int(c), p): float(v) for k, g in enumerate(games) for (c, p), v in zip(places[g], told[k])}
+    # The last draws before a cut, on the driver: as many as the longest window, of each that is asked.
+    few = rows.sparkSession.createDataFrame([(g, int(c) - 1 - j) for g in games for c in parts[g] for j in range(min(c, max(WINDOWS)))], "g string, at long").distinct()
+    recent = {(r["game"], r["i"]): r["lower_ev"] for r in data.join(F.broadcast(few), (F.col("game") == F.col("g")) & (F.col("i") == F.col("at"))).select("game", "i", "lower_ev").collect()}
     tried = []
     for key, game, n, w, cut in tries:
+        last = np.sort([recent[game, j] for j in range(cut - w, cut)]) if w < cut else None
         for tail in TAILS:
-            low, high = (ends[key, w, p] for p in (tail, 1 - tail))
+            low, high = (whole[game, cut, p] if last is None else float(last[nearest(w, p)]) for p in (tail, 1 - tail))
             tried.append((key, game, n, cut, w, tail, low, high))
-    bounds = spark.createDataFrame(tried, "key string, g string, n long, cut long, window long, tail double, low double, high double")
-    late = rows.join(F.broadcast(bounds), (F.col("game") == F.col("g")) & (F.col("i") >= F.col("cut")) & (F.col("i") < F.col("n")))  # twelve rows a key
-    near = 1e-12 * F.abs("lower_ev")
-    inside = (F.col("lower_ev") >= F.col("low") - near) & (F.col("lower_ev") <= F.col("high") + near)
-    got = {(r["key"], r["window"], r["tail"]): r["c"] for r in late.groupBy("key", "window", "tail").agg(F.avg(inside.cast("double")).alias("c")).collect()}
+
+    def inside(x: pd.DataFrame):
+        for g in games:
+            own = x[x["game"] == g].sort_values("i")
+            i, v = own["i"].to_numpy(), own["lower_ev"].to_numpy(float)
+            near = 1e-12 * np.abs(v)
+            up, down = v + near, v - near
+            for j, (_, game, n, cut, _, _, low, high) in enumerate(tried):
+                if game == g:
+                    a, b = np.searchsorted(i, (cut, n))
+                    if a < b:
+                        yield 0, np.bincount([j], weights=[np.count_nonzero((up[a:b] >= low) & (down[a:b] <= high))], minlength=len(tried))
+
+    counts = added(data, inside)[0]
+    got = {(key, w, tail): c / (n - cut) for (key, _, n, cut, w, tail, _, _), c in zip(tried, counts)}
     best: dict[str, tuple] = {}
     for key, _, _, _, w, tail, low, high in tried:
         goal = (round(abs(got[key, w, tail] - TARGET), 12), high - low)
@@ -106,6 +130,8 @@ def references(rows: DataFrame) -> dict[str, dict]:
 def share(rate: np.ndarray) -> np.ndarray:
     """The expected share of a jackpot with a Poisson number of other winners."""
     rate = np.asarray(rate, dtype=float)
+    if not (rate == 0).any():
+        return -np.expm1(-rate) / rate
     return np.where(rate == 0, 1.0, -np.expm1(-rate) / np.where(rate == 0, 1.0, rate))
 
 

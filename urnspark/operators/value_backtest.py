@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from urnspark.functions.probability import TOTAL, rank_probability
 from urnspark.operators import participation
+from urnspark.operators.calendar_cells import features
 from urnspark.operators.learners import day_of
-from urnspark.operators.models import FEATURES
-from urnspark.operators.resampling import bits32, resampled
+from urnspark.operators.resampling import bits32, together
 from urnspark.operators.value import PRICES, TARGET, history, nearest, share, windows
 from urnspark.plans import lift
 from urnspark.plans.staging import stage
@@ -87,39 +87,52 @@ def _samples(rows: DataFrame, found: list[dict], samples: int, seed: int) -> Non
 EVALUATED = "key string, draw_id bigint, draw_date date, predicted double, naive double, observed double, low double, high double"
 
 
+#: Draws whose samples a task holds at once.
+AT_ONCE = 128
+
+
 def evaluated(rows: DataFrame, observations: DataFrame, found: list[dict], forecasters: dict, *, samples: int, seed: int) -> DataFrame:
     """EVALUATED of each draw of the refits' dates with a jackpot and a count of tickets. A map over the draws.
 
     predicted: mean lower ranks, mean pool over the tickets forecast, and the jackpot's expected share. naive: lower ranks and
     the whole jackpot. low, high: the nearest quantiles, at the refit's tail, of as many samples, each a lower value and a
     pool of the window and a multiplier of the tickets. A refit's draws have its samples of the window in common; multipliers are the
-    draw's own. observed: with the draw's own lower value, tickets and pool (the mean one, if unknown).
+    draw's own. observed: with the draw's own lower value, tickets and pool (the mean one, if unknown). The forecasts
+    of all of a refit's dates and kinds (a game with a jackpot) are made before.
     """
     spark, first, runs = rows.sparkSession, rank_probability(1), np.arange(samples)
-    dates = spark.createDataFrame([(r["key"], d) for r in found for d in r["dates"]], "key string, d date")  # the calendar
-    told = {r["key"]: r for r in found}
+    dates = spark.createDataFrame([(r["key"], d, i) for r in found for i, d in enumerate(r["dates"])], "key string, d date, day int")  # the calendar
+    kinds = observations.select("game", "jackpot", "jackpot_level").distinct().collect()  # few: the lifting's payouts
+    table = spark.createDataFrame([(r["game"], r["jackpot"], i) for i, r in enumerate(kinds)], "g string, j double, kind int")
+    told, medians, jackpots = {r["key"]: r for r in found}, {}, np.array([r["jackpot_level"] for r in kinds], dtype=float)
+    for r in found:
+        days = np.repeat([day_of(d) for d in r["dates"]], len(kinds))
+        games, sizes = (np.tile([k[c] for k in kinds], len(r["dates"])) for c in ("game", "jackpot"))
+        medians[r["key"]] = forecasters[r["first"]].log_medians(days, games, features(days, games, sizes)).reshape(-1, len(kinds))
 
     def values(batches):
         for x in batches:
             for key, part in x.groupby("key"):
                 r, f = told[key], forecasters[told[key]["first"]]
-                days = np.array([day_of(d) for d in part["draw_date"]])
-                medians = f.log_medians(days, part["game"].to_numpy(), part[list(FEATURES)].to_numpy(float))
-                out = []
-                for i, day, m, jackpot, y, lower, pool in zip(part["draw_id"], part["draw_date"], medians, part["jackpot_level"], part["y"], part["lower_ev"], part["pool"]):
-                    n, tickets = np.exp(m) * f.smearing, np.exp(y)
-                    sold = n * f.draw((bits32(np.array([i]), runs, 43 + seed)[0] + 0.5) / 2**32)
-                    drawn = np.sort(r["lowers"] + r["pools"] / sold + first * jackpot * share(sold / TOTAL))
-                    own = r["code"] if pool is None or np.isnan(pool) else pool
-                    out.append((
-                        key, i, day, r["lower"] + r["code"] / n + first * jackpot * float(share(n / TOTAL)), r["lower"] + first * jackpot, lower + own / tickets + first * jackpot * float(share(tickets / TOTAL)),
-                        drawn[nearest(samples, r["tail"])], drawn[nearest(samples, 1 - r["tail"])],
-                    ))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in EVALUATED.split(", ")])
-
-    own = rows.join(F.broadcast(dates), F.col("draw_date") == F.col("d")).select("key", F.col("draw_id").alias("_id"), "lower_ev", "pool")
-    met = own.join(observations, F.col("_id") == F.col("draw_id"))
-    return stage(met.select("key", "draw_id", "draw_date", "game", "y", "jackpot_level", "lower_ev", "pool", *FEATURES).mapInPandas(values, EVALUATED), "evaluated")
+                low, high = (nearest(samples, p) for p in (r["tail"], 1 - r["tail"]))
+                for a in range(0, len(part), AT_ONCE):
+                    own = part.iloc[a : a + AT_ONCE]
+                    ids, kind, lower = own["draw_id"].to_numpy(), own["kind"].to_numpy(), own["lower_ev"].to_numpy(float)
+                    n, tickets, jackpot = np.exp(medians[key][own["day"].to_numpy(), kind]) * f.smearing, np.exp(own["y"].to_numpy(float)), jackpots[kind]
+                    sold = n[:, None] * f.draw((bits32(ids, runs, 43 + seed) + 0.5) / 2**32)
+                    drawn = r["lowers"] + r["pools"] / sold + (first * jackpot)[:, None] * share(sold / TOTAL)
+                    drawn.sort(axis=1)
+                    pool = own["pool"].to_numpy(float)
+                    pool = np.where(np.isnan(pool), r["code"], pool)
+                    yield pd.DataFrame({
+                        "key": key, "draw_id": ids, "draw_date": own["draw_date"].to_numpy(), "predicted": r["lower"] + r["code"] / n + first * jackpot * share(n / TOTAL), "naive": r["lower"] + first * jackpot,
+                        "observed": lower + pool / tickets + first * jackpot * share(tickets / TOTAL), "low": drawn[:, low], "high": drawn[:, high],
+                    })
+
+    own = rows.join(F.broadcast(dates), F.col("draw_date") == F.col("d")).select("key", "day", F.col("draw_id").alias("_id"), "lower_ev", "pool")
+    seen = observations.join(F.broadcast(table), (F.col("game") == F.col("g")) & (F.col("jackpot") == F.col("j"))).select("draw_id", "draw_date", "y", "kind")
+    met = own.join(seen, F.col("_id") == F.col("draw_id"))
+    return stage(met.select("key", "day", "draw_id", "draw_date", "y", "kind", "lower_ev", "pool").mapInPandas(values, EVALUATED), "evaluated")
 
 
 def _errors(price: float) -> list:
@@ -168,8 +181,8 @@ def value_backtest(spark: SparkSession, source: str, *, game: str = "loto", min_
     placed = draws.withColumn("r", F.row_number().over(Window.partitionBy("draw_date").orderBy("draw_id")) - 1).join(F.broadcast(days), F.col("draw_date") == F.col("d"))
     delta = F.abs(F.col("predicted") - F.col("observed")) - F.abs(F.col("naive") - F.col("observed"))
     inside = ((F.col("low") <= F.col("observed")) & (F.col("observed") <= F.col("high"))).cast("double")
-    units = placed.select((F.col("h") + F.col("r")).alias("i"), F.explode(F.array(F.struct(F.lit("delta").alias("of"), delta.alias("v")), F.struct(F.lit("coverage").alias("of"), inside.alias("v")))).alias("u"))
-    tests = {r["of"]: r for r in resampled(units.select("i", "u.of", "u.v"), ["of"], "v", "i", replicates=samples, block=block).collect()}
+    units = placed.select((F.col("h") + F.col("r")).alias("i"), delta.alias("delta"), inside.alias("coverage"))
+    tests = {r["value"]: r for r in together(units, [], ["delta", "coverage"], "i", replicates=samples, block=block).collect()}
     names = [c.split()[0] for c in REPORT.split(", ")]
     out = []
     for r in found:
