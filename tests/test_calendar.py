@@ -183,6 +183,18 @@ def test_tests(gathered):
         assert r["p_lower"] == pytest.approx((signed <= delta.mean()).mean(), abs=0.04)
 
 
+def test_query_has_boosted_trees(spark, monkeypatch):
+    """The registered query grows all boosted trees of each refit beside its ridge models, and chooses among both."""
+    walked, judged = [], []
+    walk, tests = participation.walk, calendar_cells.tests
+    monkeypatch.setattr(participation, "walk", lambda *a, **more: walked.append(walk(*a, **more)) or walked[-1])
+    monkeypatch.setattr(calendar_cells, "tests", lambda *a: judged.append([len(p) for _, _, p in a[2]]) or tests(*a))
+    monkeypatch.setattr(value_backtest, "refits", lambda *a, kept=value_backtest.refits, **k: kept(*a, **k)[::20])
+    rows = value_backtest.QUERIES["value_backtest"](spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == len(walked[0]) + 1 > 2 and judged == [[2] * len(walked[0])]
+    assert {r["participation_model"] for r in rows if r["period"]} <= {"ridge", "gradient_boosting", "baseline"}
+
+
 def test_boosted_forecasts(spark):
     """Tickets that bend with the jackpot: boosted trees are the champion, and their forecasts are the cells' own."""
     rng, first = np.random.default_rng(6), date(2000, 1, 3)

@@ -202,9 +202,4 @@ def value_backtest(spark: SparkSession, source: str, *, game: str = "loto", min_
     return table.select(*(F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in table.dtypes))
 
 
-def ridge_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the ridge model alone, which takes few passes; value_backtest has boosted trees too."""
-    return value_backtest(spark, sf_dir, models=("ridge",))
-
-
-QUERIES = {"value_backtest": ridge_backtest}
+QUERIES = {"value_backtest": value_backtest}
